@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CleanerConfig
 from ..functions import patterns as P
 from ..functions.html import html_to_text
+from ..functions.stages import pin
 from ..functions.text import (
     any_match,
     empty_to_null,
@@ -224,7 +225,7 @@ def clean_emails(df: DataFrame, src: str = "body_html", config: CleanerConfig =
     preview = F.concat(
         left_chars(F.col("core"), PREVIEW), F.when(F.length("core") > PREVIEW, "...").otherwise("")
     )
-    return (
+    df = (
         df.withColumn("pretext", F.when(F.col("_short"), "").otherwise(F.col("pretext")))
         .withColumn("posttext", F.when(F.col("_short"), "").otherwise(F.col("posttext")))
         .withColumn("clean_text", F.when(F.col("_short"), F.col("html_text")).otherwise(F.col("_full")))
@@ -238,3 +239,4 @@ def clean_emails(df: DataFrame, src: str = "body_html", config: CleanerConfig =
         .withColumn("warning", F.when(F.col("_short"), SHORT_WARNING))
         .drop("_short", "_full", *STAGES)
     )
+    return pin(df, *CLEAN_COLUMNS)

@@ -49,13 +49,13 @@ ANALYSIS = f"""case doc_id % 14
     when 10 then concat('{{"classification":{{"category":"product_inquiry","priority":"low","sentiment":"neutral","confidence":0.9}},"confidence_scores":{{"overall":', {CONFIDENCE}, '}}}}')
     when 11 then '{{"classification":{{"category":"billing","confidence":0.9}},"action_items":{{"action":"a"}},"summary":"Bad items.","confidence_scores":{{"overall":0.9}}}}'
     when 12 then '{{"classification":"billing","summary":"Bad class.","confidence_scores":{{"overall":0.9}}}}'
-    else null end""".replace("{{", "{").replace("}}", "}")
+    else null end"""
 
 RESPONSES = [
     "doc_id as rec_id",
     f"{ANALYSIS} as analysis_text",
     "case doc_id % 4 when 0 then concat('\"Summary: it', chr(39), 's about billing\"') when 1 then concat('A plain summary of ', lang, ' text.') when 2 then '' else null end as summary_text",
-    f"case doc_id % 5 when 0 then concat('{{\"action\":\"Create new ticket\",\"confidence\":', {CONFIDENCE}, ',\"reasoning\":\"clear\"}}') when 1 then '{{\"confidence\":0}}' when 2 then 'no json' when 3 then '{{\"action\":\"Close it\",\"confidence\":7}}' else null end as action_text".replace("{{", "{").replace("}}", "}"),
+    f"case doc_id % 5 when 0 then concat('{{\"action\":\"Create new ticket\",\"confidence\":', {CONFIDENCE}, ',\"reasoning\":\"clear\"}}') when 1 then '{{\"confidence\":0}}' when 2 then 'no json' when 3 then '{{\"action\":\"Close it\",\"confidence\":7}}' else null end as action_text",
     "case when doc_id % 24 = 0 then null when doc_id % 16 = 0 then concat(chr(10), 'Hello support', chr(10), 'Please help') else concat('Account problem ', lang, chr(10), chr(10), 'Hello support, I cannot sign in.') end as translation_text",
     "100 + doc_id % 50 as in_tokens",
     "20 + doc_id % 7 as out_tokens",

@@ -92,3 +92,29 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*MESSAGES)
+
+# Landed JSON pages: every shape a source can send, around whole documents.
+ESCAPED_TEXT = (
+    "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"
+)
+MAIL_JSON = (
+    "concat('{\"RecId\":', cast(doc_id as varchar(20)), ',\"Subject\":\"Ticket ', source, '\",\"Comments\":\"',"
+    f" {ESCAPED_TEXT}, '\",\"Type\":\"Tickets\",\"CreatedDateTime\":\"2024-01-01T00:00:00Z\"}}')"
+)
+SHORT_JSON = "concat('{\"RecId\":', cast(1000000 + doc_id as varchar(20)), ',\"Subject\":null}')"
+ENVELOPES = [
+    "doc_id as page_no",
+    f"""case doc_id % 8
+      when 0 then concat('{{"Data":[', {MAIL_JSON}, '],"TotalCount":1}}')
+      when 1 then concat('{{"Items":[', {MAIL_JSON}, ',', {SHORT_JSON}, '],"TotalCount":', cast(n_chars as varchar(20)), '}}')
+      when 2 then concat('[', {MAIL_JSON}, ',', {SHORT_JSON}, ']')
+      when 3 then '{{"Message":"none"}}'
+      when 4 then '{{"Data":null,"Items":null}}'
+      when 5 then concat('{{"Data":[', {SHORT_JSON}, ',', {MAIL_JSON}, ']}}')
+      when 6 then '{{"Data":[],"Items":[]}}'
+      else concat('{{"Items":[', {SHORT_JSON}, ']}}') end as payload""",
+]
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*ENVELOPES)

@@ -9,7 +9,7 @@ from ..functions.stages import pin
 from ..operators.analysis import analyse, analysis_json
 from ..operators.cleaning import clean_emails
 from ..operators.inference import infer_batches
-from ..operators.keyed import join_unique, latest_per_key
+from ..operators.keyed import join_unique, latest_per_key, number_per_key
 from ..operators.prompts import action_prompts, analysis_prompts, summary_prompts
 from ..operators.reports import run_report
 from ..operators.translation import apply_email_translation, translation_prompts
@@ -18,8 +18,8 @@ from ..sources.emails import isolate_bad_rows, only_type
 from ..sources.tables import (
     CLEANED,
     REPROCESS,
-    append_reprocess,
     empty_snapshot,
+    labelled,
     original_email_json,
     upsert_cleaned,
 )
@@ -45,7 +45,7 @@ def process_emails(emails: DataFrame, responses: DataFrame, config: CleanerConfi
     return analyse(translated)
 
 
-def storage_rows(processed: DataFrame, arrival: str = "created_ts") -> DataFrame:
+def storage_rows(processed: DataFrame, arrival: str = "created_ts", *others: str) -> DataFrame:
     """Columns of the result tables."""
     return processed.select(
         F.col("rec_id").alias("req_id"),
@@ -56,6 +56,7 @@ def storage_rows(processed: DataFrame, arrival: str = "created_ts") -> DataFrame
         analysis_json().alias("analysis_result"),
         "summary", "requires_human_review", "review_reason", "processing_time_ms",
         F.col(arrival).alias("arrival"),
+        *others,
     )
 
 
@@ -75,11 +76,17 @@ def ingest_batch(emails: DataFrame, responses: DataFrame, current: DataFrame, ru
 
 def reprocess(emails: DataFrame, req_ids: DataFrame, responses: DataFrame, history: DataFrame, run_ts: Column,
               config: CleanerConfig = CleanerConfig()) -> DataFrame:
-    """New history rows for the mails of the requested ids (column ``req_id``)."""
-    tickets = only_type(emails)
+    """New history rows for the mails of the requested ids (column ``req_id``).
+
+    The process numbers depend on keys and arrival times only, so they are taken from the scan
+    before the expensive steps.
+    """
     wanted = req_ids.select(F.col("req_id").alias("rec_id"), F.lit(True).alias("wanted"))
-    chosen = join_unique(tickets, wanted, "rec_id").filter("wanted").drop("wanted")
-    return append_reprocess(history, storage_rows(process_emails(chosen, responses, config)), run_ts)
+    chosen = join_unique(only_type(emails), wanted, "rec_id").filter("wanted").drop("wanted")
+    start = history.groupBy(F.col("req_id").alias("rec_id")).agg(F.count("*").alias("start"))
+    numbered = number_per_key(chosen, "rec_id", "created_ts", "process_number", start)
+    rows = storage_rows(process_emails(numbered, responses, config), "created_ts", "process_number")
+    return labelled(rows, run_ts)
 
 
 def ingest_given(emails: DataFrame, responses: DataFrame, request_id: int = None,

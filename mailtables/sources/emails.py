@@ -1,6 +1,6 @@
 """Reading landed mails: scans, JSON page envelopes, pages, single lookups."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAIL_FIELDS = "RecId BIGINT, Subject STRING, Comments STRING, Type STRING, CreatedDateTime STRING"
 MAIL = f"STRUCT<{MAIL_FIELDS.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING')}>"
@@ -26,6 +26,11 @@ def only_type(df: DataFrame, type_filter: str = TICKETS) -> DataFrame:
     return df.filter(F.col("type") == type_filter)
 
 
+def bare_list(payload: str) -> Column:
+    """The page itself as a list; NULL for any other JSON (the reader would wrap an object)."""
+    return F.when(F.ltrim(payload).startswith("["), F.from_json(payload, f"ARRAY<{MAIL}>"))
+
+
 def unnest_envelope(df: DataFrame, payload: str = "payload", listing: bool = False) -> DataFrame:
     """Rows of landed JSON pages.
 
@@ -34,7 +39,7 @@ def unnest_envelope(df: DataFrame, payload: str = "payload", listing: bool = Fal
     """
     page = F.from_json(payload, ENVELOPE)
     if listing:
-        mails = F.coalesce(page["Items"], F.from_json(payload, f"ARRAY<{MAIL}>"))
+        mails = F.coalesce(page["Items"], bare_list(payload))
     else:
         mails = page["Data"]
     others = [c for c in df.columns if c != payload]
@@ -52,10 +57,8 @@ def unnest_envelope(df: DataFrame, payload: str = "payload", listing: bool = Fal
 def page_totals(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``total`` of each page: its count field, else the length of a bare array, else 0."""
     page = F.from_json(payload, ENVELOPE)
-    listed = F.from_json(payload, f"ARRAY<{MAIL}>")
     counted = F.nullif(page["TotalCount"], F.lit(0))
-    length = F.when(F.trim(payload).startswith("["), F.size(listed))
-    return df.withColumn("total", F.coalesce(counted, length, F.lit(0)).cast("long"))
+    return df.withColumn("total", F.coalesce(counted, F.size(bare_list(payload)), F.lit(0)).cast("long"))
 
 
 def page_emails(df: DataFrame, page: int = 1, size: int = 10, order_by: str = "created_ts",

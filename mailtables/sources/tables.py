@@ -60,16 +60,20 @@ def empty_snapshot(batch: DataFrame, run_ts: Column) -> DataFrame:
     return batch.select("req_id", *VALUES, run_ts.alias("created_at")).limit(0)
 
 
-def append_reprocess(history: DataFrame, batch: DataFrame, run_ts: Column, arrival: str = "arrival") -> DataFrame:
-    """Rows to append, labelled ``process1``, ``process2``, ... after the ones already there."""
-    start = history.groupBy("req_id").agg(F.count("*").alias("start"))
-    numbered = number_per_key(table_defaults(batch), "req_id", arrival, "process_number", start)
+def labelled(numbered: DataFrame, run_ts: Column) -> DataFrame:
+    """History rows of a batch that has its ``process_number``."""
     label = F.concat(F.lit("process"), F.col("process_number").cast("string"))
-    return numbered.select(
+    return table_defaults(numbered).select(
         "req_id", "process_number", label.alias("process_label"), *VALUES, run_ts.alias("created_at")
     )
 
 
+def append_reprocess(history: DataFrame, batch: DataFrame, run_ts: Column, arrival: str = "arrival") -> DataFrame:
+    """Rows to append, labelled ``process1``, ``process2``, ... after the ones already there."""
+    start = history.groupBy("req_id").agg(F.count("*").alias("start"))
+    return labelled(number_per_key(batch, "req_id", arrival, "process_number", start), run_ts)
+
+
 def list_cleaned(df: DataFrame, limit: int = 5, offset: int = 0) -> DataFrame:
     """Newest rows first; ties by request."""
     return df.orderBy(F.col("created_at").desc(), F.col("req_id").asc()).offset(offset or 0).limit(limit or 5)

@@ -145,13 +145,13 @@ def disclaimer_expr(x):
 
 
 def line_table(name, src, column):
-    """doc_id, i, line (trimmed, never blank), n = number of lines."""
+    """doc_id, i, line (trimmed, never blank), raw, n = number of lines."""
     return (
         name,
-        f"select doc_id, row_number() over (partition by doc_id order by j) as i, line, count(*) over (partition by doc_id) as n"
-        f" from (select doc_id, generate_subscripts(ls, 1) as j, unnest(ls) as line from"
-        f" (select doc_id, list_transform(string_split({column}, {NL}), lambda x: {trim('x')}) as ls from {src}))"
-        f" where line <> ''",
+        f"select doc_id, row_number() over (partition by doc_id order by j) as i, {trim('raw')} as line, raw, count(*) over (partition by doc_id) as n"
+        f" from (select doc_id, generate_subscripts(ls, 1) as j, unnest(ls) as raw from"
+        f" (select doc_id, string_split({column}, {NL}) as ls from {src}))"
+        f" where {trim('raw')} <> ''",
     )
 
 
@@ -219,7 +219,7 @@ def clean_ctes():
         ),
         (
             "parts",
-            f"select doc_id, {joined()} filter (i <= p) as pre, {joined()} filter (i > p and i < c) as mid, {joined()} filter (i >= c) as post"
+            f"select doc_id, {joined('raw')} filter (i <= p) as pre, {trim(joined('raw') + ' filter (i > p and i < c)')} as mid, {joined('raw')} filter (i >= c) as post"
             " from gl join ranges using (doc_id) group by doc_id",
         ),
         (

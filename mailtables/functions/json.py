@@ -1,70 +1,79 @@
-"""Reading loosely typed JSON: the JavaScript rules for truth, numbers and text."""
+"""Reading loosely typed JSON: the JavaScript rules for truth, numbers and text.
 
-from pyspark.sql import Column, functions as F
+Every function takes and returns SQL text, so that the rules nest inside lambdas and a whole rule
+is parsed in one go. Arguments are VARIANT expressions.
+"""
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+EXACT_TYPES = "'VOID', 'STRING', 'BOOLEAN'"
 
 
-def extract_object(text) -> Column:
-    """The JSON object inside a model reply as VARIANT; NULL when there is none or it is broken."""
-    bare = F.regexp_replace(text, r"```json\s*|```", "")
-    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    # A one-element list: the parser stops after one value, so text behind it would go unnoticed.
-    listed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when((found != "") & single, F.try_variant_get(listed, "$[0]", "variant"))
+def json_list(text: str) -> str:
+    """The JSON object inside a model reply, as a VARIANT list.
 
+    The parser stops after one value; inside a list, anything that follows makes it fail.
+    """
+    bare = rf"regexp_replace({text}, r'```json\s*|```', '')"
+    return rf"try_parse_json(concat('[', regexp_extract({bare}, r'(?s)\{{.*\}}', 0), ']'))"
 
-def member(value, name) -> Column:
-    """A member as VARIANT; NULL when it is missing (a JSON null is not NULL)."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
 
+def only_element(listed: str) -> str:
+    """The object, or NULL when there is none, or more than one value."""
+    second = f"try_variant_get({listed}, '$[1]', 'variant')"
+    return f"CASE WHEN {second} IS NULL THEN try_variant_get({listed}, '$[0]', 'variant') END"
 
-def kind(value) -> Column:
-    """One of NUMBER, STRING, BOOLEAN, NULL, ARRAY, OBJECT; NULL when missing."""
-    schema = F.schema_of_variant(value)
+
+def member(value: str, name: str, kind: str = "variant") -> str:
+    """A member; NULL when it is missing (as VARIANT, a JSON null is not NULL)."""
+    return f"try_variant_get({value}, '$.{name}', '{kind}')"
+
+
+def elements(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'array<variant>')"
+
+
+def kind(value: str) -> str:
+    """NUMBER, STRING, BOOLEAN, VOID (a JSON null), ARRAY or OBJECT; NULL when missing."""
+    schema = f"schema_of_variant({value})"
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(schema == "VOID", "NULL")
-        .when(schema.startswith("OBJECT"), "OBJECT")
-        .when(schema.startswith("ARRAY"), "ARRAY")
-        .when(schema.isin("STRING", "BOOLEAN"), schema)
-        .otherwise("NUMBER")
+        f"CASE WHEN {value} IS NULL THEN NULL WHEN {schema} IN ({EXACT_TYPES}) THEN {schema}"
+        f" WHEN startswith({schema}, 'OBJECT') THEN 'OBJECT' WHEN startswith({schema}, 'ARRAY') THEN 'ARRAY'"
+        " ELSE 'NUMBER' END"
     )
 
 
-def as_text(value) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def as_text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def as_double(value) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def as_double(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'double')"
 
 
-def to_number(value) -> Column:
+def to_number(value: str) -> str:
     """JavaScript ``Number(value)``; NULL stands for NaN and for a missing value."""
-    k, text = kind(value), as_text(value)
+    text = as_text(value)
     return (
-        F.when(k == "NULL", F.lit(0.0))
-        .when(k == "NUMBER", as_double(value))
-        .when(k == "BOOLEAN", (text == "true").cast("double"))
-        .when((k == "STRING") & (F.trim(text) == ""), F.lit(0.0))
-        .when((k == "STRING") & text.rlike(NUMBER), F.trim(text).try_cast("double"))
+        f"CASE {kind(value)} WHEN 'VOID' THEN 0D WHEN 'NUMBER' THEN {as_double(value)}"
+        f" WHEN 'BOOLEAN' THEN if({text} = 'true', 1D, 0D)"
+        f" WHEN 'STRING' THEN CASE WHEN trim({text}) = '' THEN 0D"
+        f" WHEN {text} RLIKE r'{NUMBER}' THEN try_cast(trim({text}) AS DOUBLE) END END"
     )
 
 
-def truthy(value) -> Column:
-    k, text = kind(value), as_text(value)
-    return F.coalesce(
-        F.when(k.isin("OBJECT", "ARRAY"), True)
-        .when(k == "NUMBER", as_double(value) != 0)
-        .when(k == "STRING", text != "")
-        .when(k == "BOOLEAN", text == "true"),
-        F.lit(False),
+def truthy(value: str) -> str:
+    text = as_text(value)
+    return (
+        f"coalesce(CASE {kind(value)} WHEN 'OBJECT' THEN true WHEN 'ARRAY' THEN true"
+        f" WHEN 'NUMBER' THEN {as_double(value)} != 0 WHEN 'STRING' THEN {text} != ''"
+        f" WHEN 'BOOLEAN' THEN {text} = 'true' END, false)"
     )
 
 
-def truthy_text(value) -> Column:
+def truthy_primitive(value: str) -> str:
+    return f"({truthy(value)} AND {kind(value)} IN ('STRING', 'NUMBER', 'BOOLEAN'))"
+
+
+def truthy_text(value: str) -> str:
     """Text of a scalar, NULL when it is falsy or not a scalar."""
-    scalar = kind(value).isin("STRING", "NUMBER", "BOOLEAN")
-    return F.when(scalar & truthy(value), as_text(value))
+    return f"CASE WHEN {truthy_primitive(value)} THEN {as_text(value)} END"

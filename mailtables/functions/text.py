@@ -45,23 +45,3 @@ def empty_to_null(col) -> Column:
 
 def left_chars(col, n) -> Column:
     return F.substring(col, 1, n)
-
-
-def first_sentence(body) -> Column:
-    """Text before the first sentence end; its first 100 characters when that is empty."""
-    head = F.regexp_extract(body, r"\A([^.!?]*)", 1)
-    return trim_ws(F.coalesce(empty_to_null(head), left_chars(body, 100)))
-
-
-def js_number_text(num) -> Column:
-    """A double the way JavaScript prints it."""
-    plain = num.cast("decimal(38,18)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    java = F.regexp_replace(num.cast("string"), r"(\.0)?E(\d)", "e+$2")
-    exponent = F.regexp_replace(java, r"(\.0)?E-", "e-")
-    size = F.abs(num)
-    return (
-        F.when(num == 0, F.lit("0"))
-        .when((size >= 1e-6) & (size < 1e19), trimmed)
-        .otherwise(exponent)
-    )

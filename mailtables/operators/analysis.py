@@ -2,21 +2,22 @@
 
 All projections over a table that already holds the replies (see ``plans.pipeline`` for the
 join). Column names: ``subject``, ``body``, ``analysis_text``, ``summary_text``, ``action_text``,
-``in_tokens``, ``out_tokens``, ``latency_ms``.
+``in_tokens``, ``out_tokens``, ``latency_ms``. The rules are SQL text built from
+``functions.json``; each step adds its columns in one projection.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import json as J
+from ..functions.patterns import WHITE_SPACE
 from ..functions.stages import pin
-from ..functions.text import empty_to_null, first_sentence, js_number_text, trim_ws
 
 # Defaults, thresholds and texts of the results.
-DEFAULT_CONFIDENCE = 0.7
-LOW_CONFIDENCE = 0.7
-LOW_FOR_OTHER = 0.8
-LOW_FOR_MEDIUM = 0.75
-FALLBACK_CONFIDENCE = 0.5
+DEFAULT_CONFIDENCE = "0.7D"
+LOW_CONFIDENCE = "0.7D"
+LOW_FOR_OTHER = "0.8D"
+LOW_FOR_MEDIUM = "0.75D"
+FALLBACK_CONFIDENCE = "0.5D"
 ESCALATE = "Escalate to agent"
 NO_REASONING = "Default escalation due to parsing error"
 PLAN_FAILED = "Fallback due to processing error"
@@ -25,266 +26,231 @@ ANALYSIS_FAILED = "Analysis failed - requires manual review"
 PIPELINE_FAILED = "Processing error occurred"
 
 SCORES = ["overall", "classification", "structured_data", "action_items"]
+PARTS = ["classification", "structured_data", "action_items", "summary", "confidence_scores"]
+LABELS = ["category", "priority", "sentiment", "confidence"]
+RAW = (
+    ["raw"] + [f"raw_{n}" for n in PARTS] + [f"raw_{n}" for n in LABELS]
+    + [f"raw_score_{n}" for n in SCORES] + ["raw_structured_confidence"]
+)
+WS = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+PAIRS_TYPE = "array<struct<key:string,value:string,confidence:double>>"
+ITEMS_TYPE = "array<struct<action:string,confidence:double>>"
 
 
-def clamp_confidence(value) -> Column:
+def add(df: DataFrame, **columns: str) -> DataFrame:
+    """SQL columns side by side; none of them reads another one of the same call."""
+    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
+
+
+def trimmed(sql: str) -> str:
+    return f"trim(BOTH '{WS}' FROM {sql})"
+
+
+def sentence(body: str) -> str:
+    """Text before the first sentence end; the first 100 characters when that is empty."""
+    return trimmed(rf"coalesce(nullif(regexp_extract({body}, r'\A([^.!?]*)', 1), ''), left({body}, 100))")
+
+
+def clamp_confidence(value: str) -> str:
     """Only a JSON number counts, held in 0..1; anything else is the default."""
-    number = F.least(F.lit(1.0), F.greatest(F.lit(0.0), J.as_double(value)))
-    return F.when(J.kind(value) == "NUMBER", number).otherwise(F.lit(DEFAULT_CONFIDENCE))
+    return (
+        f"CASE WHEN {J.kind(value)} = 'NUMBER' THEN least(1D, greatest(0D, {J.as_double(value)}))"
+        f" ELSE {DEFAULT_CONFIDENCE} END"
+    )
 
 
-def clamp_score(value) -> Column:
+def plain_confidence(value: str) -> str:
     """A falsy value or one that is no number is the default; numeric text counts."""
-    number = F.least(F.lit(1.0), F.greatest(F.lit(0.0), J.to_number(value)))
-    return F.when(J.truthy(value), F.coalesce(number, F.lit(DEFAULT_CONFIDENCE))).otherwise(
-        F.lit(DEFAULT_CONFIDENCE)
-    )
+    return f"coalesce(CASE WHEN {J.truthy(value)} THEN {J.to_number(value)} END, {DEFAULT_CONFIDENCE})"
 
 
-def plain_confidence(value) -> Column:
-    """Like :func:`clamp_score` without the limits."""
-    return F.when(J.truthy(value), F.coalesce(J.to_number(value), F.lit(DEFAULT_CONFIDENCE))).otherwise(
-        F.lit(DEFAULT_CONFIDENCE)
-    )
+def clamp_score(value: str) -> str:
+    return f"least(1D, greatest(0D, {plain_confidence(value)}))"
 
 
 def parse_analysis(df: DataFrame) -> DataFrame:
-    """Add ``raw_*`` VARIANT columns of the reply and the normalised parts."""
-    raw = F.col("raw")
-    df = df.withColumn("raw", J.extract_object(F.col("analysis_text")))
-    for name in ["classification", "structured_data", "action_items", "summary", "confidence_scores"]:
-        df = df.withColumn(f"raw_{name}", J.member(raw, name))
-    for name in ["category", "priority", "sentiment", "confidence"]:
-        df = df.withColumn(f"raw_{name}", J.member(F.col("raw_classification"), name))
-    return df.withColumn("raw_overall", J.member(F.col("raw_confidence_scores"), "overall"))
-
-
-RAW = [
-    "raw", "raw_classification", "raw_structured_data", "raw_action_items", "raw_summary",
-    "raw_confidence_scores", "raw_category", "raw_priority", "raw_sentiment", "raw_confidence",
-    "raw_overall",
-]
-
-
-def normal_classification() -> Column:
-    def text(name):
-        return J.as_text(F.col(f"raw_{name}"))
-
-    return F.struct(
-        text("category").alias("category"),
-        text("priority").alias("priority"),
-        text("sentiment").alias("sentiment"),
-        clamp_confidence(F.col("raw_confidence")).alias("confidence"),
+    """Add the :data:`RAW` columns, VARIANT members of the reply."""
+    df = add(df, _listed=J.json_list("analysis_text"))
+    df = add(df, raw=J.only_element("_listed")).drop("_listed")
+    df = add(df, **{f"raw_{n}": J.member("raw", n) for n in PARTS})
+    df = add(
+        df,
+        raw_structured_confidence=J.member("raw_structured_data", "confidence"),
+        **{f"raw_{n}": J.member("raw_classification", n) for n in LABELS},
+        **{f"raw_score_{n}": J.member("raw_confidence_scores", n) for n in SCORES},
     )
+    return pin(df, *RAW)
 
 
-def normal_structured_data() -> Column:
-    """Key/values as a list sorted by key; the scalar ``confidence`` is kept apart."""
-    members = F.try_variant_get(F.col("raw_structured_data"), "$", "map<string,variant>")
-    entries = F.filter(F.map_entries(members), lambda e: e["key"] != "confidence")
-    typed = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            F.when(J.kind(e["value"]) == "OBJECT", F.try_variant_get(e["value"], "$.value", "string"))
-            .otherwise(J.as_text(e["value"])).alias("value"),
-            F.try_variant_get(e["value"], "$.confidence", "double").alias("confidence"),
-        ),
+def normalise_analysis(df: DataFrame) -> DataFrame:
+    """Typed parts of the reply, with the default confidences.
+
+    Key/values become a list sorted by key; their scalar ``confidence`` is kept apart.
+    """
+    item_conf, pair_conf = J.member("x", "confidence"), J.member("e.value", "confidence", "double")
+    pair_value = (
+        f"CASE WHEN {J.kind('e.value')} = 'OBJECT' THEN {J.member('e.value', 'value', 'string')}"
+        f" ELSE {J.as_text('e.value')} END"
     )
-    empty = F.array().cast("array<struct<key:string,value:string,confidence:double>>")
-    return F.coalesce(F.array_sort(typed), empty)
-
-
-def normal_action_items() -> Column:
-    items = F.try_variant_get(F.col("raw_action_items"), "$", "array<variant>")
-    typed = F.transform(
-        items,
-        lambda item: F.when(
-            J.truthy(item),
-            F.struct(
-                F.try_variant_get(item, "$.action", "string").alias("action"),
-                clamp_confidence(F.try_variant_get(item, "$.confidence", "variant")).alias("confidence"),
-            ),
-        ),
+    entries = (
+        "filter(map_entries(try_variant_get(raw_structured_data, '$', 'map<string,variant>')), e -> e.key != 'confidence')"
     )
-    empty = F.array().cast("array<struct<action:string,confidence:double>>")
-    return F.coalesce(typed, empty)
-
-
-def normalise_analysis(df: DataFrame) -> DataFrame:
-    """Typed parts of the reply, with the default confidences."""
-    scores = [
-        clamp_score(J.member(F.col("raw_confidence_scores"), name)).alias(name) for name in SCORES
-    ]
-    return (
-        df.withColumn("classification", normal_classification())
-        .withColumn("structured_data", normal_structured_data())
-        .withColumn("structured_confidence", plain_confidence(J.member(F.col("raw_structured_data"), "confidence")))
-        .withColumn("action_items", normal_action_items())
-        .withColumn("confidence_scores", F.struct(*scores))
+    pairs = f"transform({entries}, e -> named_struct('key', e.key, 'value', {pair_value}, 'confidence', {pair_conf}))"
+    items = (
+        f"transform({J.elements('raw_action_items')}, x -> CASE WHEN {J.truthy('x')} THEN"
+        f" named_struct('action', {J.member('x', 'action', 'string')}, 'confidence', {clamp_confidence(item_conf)}) END)"
+    )
+    labels = ", ".join(f"'{n}', {J.as_text(f'raw_{n}')}" for n in LABELS if n != "confidence")
+    scores = ", ".join(f"'{n}', {clamp_score(f'raw_score_{n}')}" for n in SCORES)
+    return add(
+        df,
+        classification=f"named_struct({labels}, 'confidence', {clamp_confidence('raw_confidence')})",
+        structured_data=f"coalesce(array_sort({pairs}), CAST(array() AS {PAIRS_TYPE}))",
+        structured_confidence=plain_confidence("raw_structured_confidence"),
+        action_items=f"coalesce({items}, CAST(array() AS {ITEMS_TYPE}))",
+        confidence_scores=f"named_struct({scores})",
     )
 
 
-def low_overall() -> Column:
-    return F.coalesce(J.to_number(F.col("raw_overall")) < LOW_CONFIDENCE, F.lit(False))
+def needs_summary() -> str:
+    """The second model call: no summary, or a low overall confidence."""
+    low = f"coalesce({J.to_number('raw_score_overall')} < {LOW_CONFIDENCE}, false)"
+    return f"(NOT {J.truthy('raw_summary')} OR {low})"
 
 
-def needs_summary() -> Column:
-    """The second model call: no summary, or a low overall confidence."""
-    return ~J.truthy(F.col("raw_summary")) | low_overall()
+def scores_missing() -> str:
+    """A summary without a score object breaks the reading of the reply."""
+    return f"({J.truthy('raw_summary')} AND coalesce({J.kind('raw_confidence_scores')}, 'VOID') = 'VOID')"
 
 
-def analysis_failed() -> Column:
+def analysis_failed() -> str:
     """Conditions under which the whole analysis is replaced by the fixed fallback."""
+    return " OR ".join(
+        [
+            "raw IS NULL",
+            scores_missing(),
+            f"({J.truthy('raw_action_items')} AND {J.kind('raw_action_items')} != 'ARRAY')",
+            J.truthy_primitive("raw_classification"),
+            f"coalesce(exists({J.elements('raw_action_items')}, x -> {J.truthy_primitive('x')}), false)",
+            f"({needs_summary()} AND summary_text IS NULL)",
+        ]
+    )
 
-    def primitive(value):
-        return J.truthy(value) & J.kind(value).isin("STRING", "NUMBER", "BOOLEAN")
 
-    items = F.try_variant_get(F.col("raw_action_items"), "$", "array<variant>")
-    scores_kind = F.coalesce(J.kind(F.col("raw_confidence_scores")), F.lit("NULL"))
+def js_number_text(number: str) -> str:
+    """A double the way JavaScript prints it."""
+    plain = rf"regexp_replace(regexp_replace(CAST(CAST({number} AS DECIMAL(38,18)) AS STRING), r'(\.\d*?)0+$', '$1'), r'\.$', '')"
+    scientific = rf"regexp_replace(regexp_replace(CAST({number} AS STRING), r'(\.0)?E(\d)', 'e+$2'), r'(\.0)?E-', 'e-')"
     return (
-        F.col("raw").isNull()
-        | (J.truthy(F.col("raw_summary")) & (scores_kind == "NULL"))
-        | (J.truthy(F.col("raw_action_items")) & (J.kind(F.col("raw_action_items")) != "ARRAY"))
-        | primitive(F.col("raw_classification"))
-        | F.coalesce(F.exists(items, primitive), F.lit(False))
-        | (needs_summary() & F.col("summary_text").isNull())
+        f"CASE WHEN {number} = 0 THEN '0' WHEN abs({number}) >= 1e-6D AND abs({number}) < 1e19D THEN {plain}"
+        f" ELSE {scientific} END"
     )
 
 
-def js_text(value) -> Column:
+def js_text(value: str) -> str:
     """A JSON scalar inside a sentence."""
     return (
-        F.when(J.kind(value) == "NULL", "null")
-        .when(J.kind(value) == "NUMBER", js_number_text(J.as_double(value)))
-        .otherwise(J.as_text(value))
+        f"CASE {J.kind(value)} WHEN 'VOID' THEN 'null' WHEN 'NUMBER' THEN {js_number_text(J.as_double(value))}"
+        f" ELSE {J.as_text(value)} END"
     )
 
 
-def review_reasons() -> Column:
+def review_reasons() -> str:
     """The fired review rules in order, on the raw values; a missing value never fires."""
-    overall, confidence = F.col("raw_overall"), F.col("raw_confidence")
-    conf = J.to_number(confidence)
-    items = F.col("raw_action_items")
-    no_items = ~J.truthy(items) | (F.size(F.try_variant_get(items, "$", "array<variant>")) == 0)
-    item_score = J.to_number(J.member(F.col("raw_confidence_scores"), "action_items"))
+    overall, confidence = J.to_number("raw_score_overall"), J.to_number("raw_confidence")
+    no_items = f"(NOT {J.truthy('raw_action_items')} OR size({J.elements('raw_action_items')}) = 0)"
     rules = [
-        F.when(J.to_number(overall) < LOW_CONFIDENCE, F.concat(F.lit("low overall confidence ("), js_text(overall), F.lit(")"))),
-        F.when(conf < LOW_CONFIDENCE, F.concat(F.lit("low classification confidence ("), js_text(confidence), F.lit(")"))),
-        F.when((J.as_text(F.col("raw_category")) == "other") & (conf < LOW_FOR_OTHER), F.lit("uncertain category classification")),
-        F.when((J.as_text(F.col("raw_priority")) == "medium") & (conf < LOW_FOR_MEDIUM), F.lit("uncertain priority classification")),
-        F.when(no_items & (item_score > LOW_CONFIDENCE), F.lit("no action items despite high confidence")),
+        (f"{overall} < {LOW_CONFIDENCE}", f"concat('low overall confidence (', {js_text('raw_score_overall')}, ')')"),
+        (f"{confidence} < {LOW_CONFIDENCE}", f"concat('low classification confidence (', {js_text('raw_confidence')}, ')')"),
+        (
+            f"{J.as_text('raw_category')} = 'other' AND {confidence} < {LOW_FOR_OTHER}",
+            "'uncertain category classification'",
+        ),
+        (
+            f"{J.as_text('raw_priority')} = 'medium' AND {confidence} < {LOW_FOR_MEDIUM}",
+            "'uncertain priority classification'",
+        ),
+        (
+            f"{no_items} AND {J.to_number('raw_score_action_items')} > {LOW_CONFIDENCE}",
+            "'no action items despite high confidence'",
+        ),
     ]
-    return F.array_compact(F.array(*rules))
+    return f"array_compact(array({', '.join(f'CASE WHEN {test} THEN {reason} END' for test, reason in rules)}))"
 
 
 def review_flags(df: DataFrame) -> DataFrame:
-    reason = F.concat(F.lit("Requires review: "), F.array_join("_reasons", ", "))
-    return (
-        df.withColumn("_reasons", review_reasons())
-        .withColumn("requires_human_review", F.size("_reasons") > 0)
-        .withColumn("review_reason", F.when(F.size("_reasons") > 0, reason))
-        .drop("_reasons")
-    )
+    return add(
+        add(df, _reasons=review_reasons()),
+        requires_human_review="size(_reasons) > 0",
+        review_reason="CASE WHEN size(_reasons) > 0 THEN concat('Requires review: ', array_join(_reasons, ', ')) END",
+    ).drop("_reasons")
 
 
-def resolve_summary() -> Column:
+def resolve_summary() -> str:
     """Parsed summary, else the summary reply, else a sentence built from the classification."""
-    cleaned = F.regexp_replace(trim_ws(F.col("summary_text")), "[\"'`]", "")
-    reply = F.regexp_replace(cleaned, r"(?i)\A\s*Summary:\s*", "")
-    picked = F.when(needs_summary(), reply).otherwise(J.as_text(F.col("raw_summary")))
+    unquoted = f"translate({trimmed('summary_text')}, '\\'\"`', '')"
+    reply = rf"regexp_replace({unquoted}, r'(?i)\A\s*Summary:\s*', '')"
+    picked = f"CASE WHEN {needs_summary()} THEN {reply} ELSE {J.as_text('raw_summary')} END"
 
     def named(name, default):
-        return F.coalesce(J.truthy_text(F.col(f"raw_{name}")), F.lit(default))
+        return f"coalesce({J.truthy_text(f'raw_{name}')}, '{default}')"
 
-    built = F.concat(
-        F.lit("Email about "), named("category", "general inquiry"),
-        F.lit(" ("), named("priority", "medium"), F.lit(" priority, "),
-        named("sentiment", "neutral"), F.lit(" sentiment). "), first_sentence(F.col("body")),
+    built = (
+        f"concat('Email about ', {named('category', 'general inquiry')}, ' (', {named('priority', 'medium')},"
+        f" ' priority, ', {named('sentiment', 'neutral')}, ' sentiment). ', {sentence('body')})"
     )
-    return F.coalesce(empty_to_null(picked), built)
+    return f"coalesce(nullif({picked}, ''), {built})"
 
 
 def with_fallback(df: DataFrame) -> DataFrame:
     """Replace failed analyses; ``failure`` is NULL, ``analysis`` or ``pipeline`` (no body to quote)."""
-    subject = F.coalesce(F.col("subject"), F.lit(""))
-    quoted = F.concat(F.lit('Original subject: "'), subject, F.lit('". '))
-    failed_summary = F.concat(
-        F.lit("Email analysis failed. "), quoted,
-        F.lit('First sentence: "'), first_sentence(F.col("body")), F.lit('"'),
-    )
-    broken_summary = F.concat(F.lit("Email processing failed. "), quoted, F.lit("Requires manual review."))
-    half = F.lit(FALLBACK_CONFIDENCE)
-    fixed_class = F.struct(
-        F.lit("other").alias("category"), F.lit("medium").alias("priority"),
-        F.lit("neutral").alias("sentiment"), half.alias("confidence"),
-    )
-    fixed_scores = F.struct(*[half.alias(name) for name in SCORES])
-    failed, ok = F.col("failure").isNotNull(), F.col("failure").isNull()
+    quoted = """'Original subject: "', coalesce(subject, ''), '". '"""
+    half = FALLBACK_CONFIDENCE
+    fixed = {
+        "classification": f"named_struct('category', 'other', 'priority', 'medium', 'sentiment', 'neutral', 'confidence', {half})",
+        "structured_data": f"CAST(array() AS {PAIRS_TYPE})",
+        "structured_confidence": half,
+        "action_items": f"CAST(array() AS {ITEMS_TYPE})",
+        "confidence_scores": f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {half}' for n in SCORES)})",
+    }
+    df = add(df, _failed=analysis_failed(), summary=resolve_summary())
     # A summary that needs the body sentence cannot be built without a body.
-    no_sentence = F.col("body").isNull() & (F.col("_failed") | F.col("summary").isNull())
-    failure = F.when(no_sentence, "pipeline").when(F.col("_failed"), "analysis")
-
-    def keep(name, otherwise):
-        return F.when(ok, F.col(name)).otherwise(otherwise)
-
-    return (
-        df.withColumn("_failed", analysis_failed())
-        .withColumn("summary", resolve_summary())
-        .withColumn("failure", failure)
-        .withColumn("classification", keep("classification", fixed_class))
-        .withColumn("structured_data", keep("structured_data", F.array().cast("array<struct<key:string,value:string,confidence:double>>")))
-        .withColumn("structured_confidence", keep("structured_confidence", half))
-        .withColumn("action_items", keep("action_items", F.array().cast("array<struct<action:string,confidence:double>>")))
-        .withColumn("confidence_scores", keep("confidence_scores", fixed_scores))
-        .withColumn(
-            "summary",
-            F.when(F.col("failure") == "pipeline", broken_summary)
-            .when(F.col("failure") == "analysis", failed_summary)
-            .otherwise(F.col("summary")),
-        )
-        .withColumn("requires_human_review", failed | F.col("requires_human_review"))
-        .withColumn(
-            "review_reason",
-            F.when(F.col("failure") == "pipeline", PIPELINE_FAILED)
-            .when(F.col("failure") == "analysis", ANALYSIS_FAILED)
-            .otherwise(F.col("review_reason")),
-        )
-        .drop("_failed")
+    df = add(
+        df,
+        failure="CASE WHEN body IS NULL AND (_failed OR summary IS NULL) THEN 'pipeline' WHEN _failed THEN 'analysis' END",
     )
+    kept = {name: f"CASE WHEN failure IS NULL THEN {name} ELSE {sql} END" for name, sql in fixed.items()}
+    return add(
+        df,
+        summary=f"CASE failure WHEN 'pipeline' THEN concat('Email processing failed. ', {quoted}, 'Requires manual review.')"
+        f""" WHEN 'analysis' THEN concat('Email analysis failed. ', {quoted}, 'First sentence: "', {sentence('body')}, '"')"""
+        " ELSE summary END",
+        requires_human_review="failure IS NOT NULL OR requires_human_review",
+        review_reason=f"CASE failure WHEN 'pipeline' THEN '{PIPELINE_FAILED}' WHEN 'analysis' THEN '{ANALYSIS_FAILED}' ELSE review_reason END",
+        **kept,
+    ).drop("_failed")
 
 
 def plan_next_action(df: DataFrame) -> DataFrame:
     """Next action from the planner reply; mails under review are escalated without a call."""
-    plan = F.col("_plan")
-    review, broken = F.col("requires_human_review"), F.col("failure") == "pipeline"
 
     def choose(reviewed, unparsed, parsed):
-        return F.when(review, reviewed).when(plan.isNull(), unparsed).otherwise(parsed)
-
-    return (
-        df.withColumn("_plan", J.extract_object(F.col("action_text")))
-        .withColumn(
-            "next_best_action",
-            choose(F.lit(ESCALATE), F.lit(ESCALATE), F.coalesce(J.truthy_text(J.member(plan, "action")), F.lit(ESCALATE))),
-        )
-        .withColumn(
-            "action_confidence",
-            F.when(F.coalesce(broken, F.lit(False)), F.lit(FALLBACK_CONFIDENCE)).otherwise(
-                choose(F.lit(DEFAULT_CONFIDENCE), F.lit(DEFAULT_CONFIDENCE), clamp_score(J.member(plan, "confidence")))
-            ),
-        )
-        .withColumn(
-            "action_reasoning",
-            choose(
-                F.coalesce(F.col("review_reason"), F.lit(REVIEW_REQUIRED)),
-                F.lit(PLAN_FAILED),
-                F.coalesce(J.truthy_text(J.member(plan, "reasoning")), F.lit(NO_REASONING)),
-            ),
-        )
-        .withColumn("_planned", ~review & plan.isNotNull())
-        .drop("_plan")
-    )
+        return f"CASE WHEN requires_human_review THEN {reviewed} WHEN _plan IS NULL THEN {unparsed} ELSE {parsed} END"
+
+    action, reasoning = J.truthy_text(J.member("_plan", "action")), J.truthy_text(J.member("_plan", "reasoning"))
+    score = clamp_score(J.member("_plan", "confidence"))
+    df = add(df, _listed=J.json_list("action_text"))
+    df = add(df, _plan=J.only_element("_listed")).drop("_listed")
+    return add(
+        df,
+        next_best_action=choose(f"'{ESCALATE}'", f"'{ESCALATE}'", f"coalesce({action}, '{ESCALATE}')"),
+        action_confidence=f"CASE WHEN failure = 'pipeline' THEN {FALLBACK_CONFIDENCE} ELSE"
+        f" {choose(DEFAULT_CONFIDENCE, DEFAULT_CONFIDENCE, score)} END",
+        action_reasoning=choose(
+            f"coalesce(review_reason, '{REVIEW_REQUIRED}')", f"'{PLAN_FAILED}'", f"coalesce({reasoning}, '{NO_REASONING}')"
+        ),
+        _planned="NOT requires_human_review AND _plan IS NOT NULL",
+    ).drop("_plan")
 
 
 def sum_tokens(df: DataFrame) -> DataFrame:
@@ -294,62 +260,40 @@ def sum_tokens(df: DataFrame) -> DataFrame:
     ``plan_out_tokens`` are optional columns of the planner call.
     """
 
-    def used(name, when):
-        return F.when(when, F.coalesce(F.col(name).cast("long"), F.lit(0))).otherwise(0) if name in df.columns else F.lit(0)
-
-    analysed = F.col("failure").isNull()
-    total_in = used("in_tokens", analysed) + used("plan_in_tokens", F.col("_planned"))
-    total_out = used("out_tokens", analysed) + used("plan_out_tokens", F.col("_planned"))
-    return df.withColumn(
-        "token_usage",
-        F.struct(
-            total_in.cast("long").alias("input"),
-            total_out.cast("long").alias("output"),
-            (total_in + total_out).cast("long").alias("total"),
-        ),
-    )
-
+    def used(name):
+        own = f"if(failure IS NULL, coalesce(CAST({name} AS BIGINT), 0), 0)"
+        plan = f"if(_planned, coalesce(CAST(plan_{name} AS BIGINT), 0), 0)" if f"plan_{name}" in df.columns else "0"
+        return f"CAST({own} + {plan} AS BIGINT)"
 
-ANALYSIS_COLUMNS = [
-    "classification", "structured_data", "structured_confidence", "action_items",
-    "confidence_scores", "summary", "requires_human_review", "review_reason", "failure",
-    "next_best_action", "action_confidence", "action_reasoning", "token_usage", "processing_time_ms",
-]
+    got, made = used("in_tokens"), used("out_tokens")
+    return add(df, token_usage=f"named_struct('input', {got}, 'output', {made}, 'total', {got} + {made})")
 
 
-def analysis_json() -> Column:
-    """The whole result as one JSON object, key/values and their confidence in one object."""
+def structured_object() -> str:
+    """Key/values and their scalar confidence as one map of VARIANT."""
+    pair = "to_variant_object(named_struct('value', e.value, 'confidence', e.confidence))"
+    return (
+        f"map_from_entries(concat(transform(structured_data, e -> named_struct('key', e.key, 'value', {pair})),"
+        " array(named_struct('key', 'confidence', 'value', CAST(structured_confidence AS VARIANT)))))"
+    )
 
-    def pair(key, value):
-        return F.struct(key.alias("key"), value.cast("variant").alias("value"))
 
-    pairs = F.transform(
-        F.col("structured_data"),
-        lambda e: pair(e["key"], F.to_variant_object(F.struct(e["value"].alias("value"), e["confidence"].alias("confidence")))),
-    )
-    scalar = F.array(pair(F.lit("confidence"), F.col("structured_confidence")))
-    usage = F.col("token_usage")
-    return F.to_json(
-        F.struct(
-            "classification",
-            F.map_from_entries(F.concat(pairs, scalar)).alias("structured_data"),
-            "action_items", "confidence_scores", "summary", "requires_human_review",
-            "review_reason", "next_best_action", "action_confidence", "action_reasoning",
-            "processing_time_ms",
-            F.struct(
-                usage["input"].alias("inputTokens"),
-                usage["output"].alias("outputTokens"),
-                usage["total"].alias("totalTokens"),
-            ).alias("tokenUsage"),
-        )
+def analysis_json() -> Column:
+    """The whole result as one JSON object."""
+    names = [
+        "action_items", "confidence_scores", "summary", "requires_human_review", "review_reason",
+        "next_best_action", "action_confidence", "action_reasoning", "processing_time_ms",
+    ]
+    usage = "named_struct('inputTokens', token_usage.input, 'outputTokens', token_usage.output, 'totalTokens', token_usage.total)"
+    members = ", ".join(f"'{n}', {n}" for n in names)
+    return F.expr(
+        f"to_json(named_struct('classification', classification, 'structured_data', {structured_object()},"
+        f" {members}, 'tokenUsage', {usage}))"
     )
 
 
 def analyse(df: DataFrame) -> DataFrame:
     """All of the above on a table with subject, body and the replies."""
-    df = pin(parse_analysis(df), *RAW)
-    df = review_flags(normalise_analysis(df))
-    df = plan_next_action(with_fallback(df))
-    df = sum_tokens(df)
-    df = df.withColumn("processing_time_ms", F.coalesce(F.col("latency_ms"), F.lit(0)).cast("int"))
-    return df.drop(*RAW, "_planned")
+    df = review_flags(normalise_analysis(parse_analysis(df)))
+    df = sum_tokens(plan_next_action(with_fallback(df)))
+    return add(df, processing_time_ms="CAST(coalesce(latency_ms, 0) AS INT)").drop(*RAW, "_planned")

@@ -7,7 +7,6 @@ not need it.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import json as J
 from ..functions.patterns import ACTIONS, CATEGORIES, PRIORITIES, SENTIMENTS
 from ..functions.stages import pin
 from . import analysis as A
@@ -54,26 +53,13 @@ def analysis_prompts(df: DataFrame, template: str = ANALYSIS_TEMPLATE) -> DataFr
 
 def summary_prompts(df: DataFrame, template: str = SUMMARY_TEMPLATE) -> DataFrame:
     """Mails whose reply has no summary or a low overall confidence."""
-    df = pin(A.parse_analysis(df), *A.RAW)
-    no_scores = F.coalesce(J.kind(F.col("raw_confidence_scores")), F.lit("NULL")) == "NULL"
-    called = F.col("raw").isNotNull() & A.needs_summary() & ~(J.truthy(F.col("raw_summary")) & no_scores)
-    return prompt_rows(df.filter(called), "summary", fill(template, EMAIL=format_email_text()))
-
-
-def action_context() -> Column:
-    pairs = F.transform(
-        F.col("structured_data"),
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            F.to_variant_object(F.struct(e["value"].alias("value"), e["confidence"].alias("confidence"))).alias("value"),
-        ),
-    )
-    scalar = F.array(F.struct(F.lit("confidence").alias("key"), F.col("structured_confidence").cast("variant").alias("value")))
-    return F.to_json(F.struct("classification", F.map_from_entries(F.concat(pairs, scalar)).alias("structured_data")))
+    called = f"raw IS NOT NULL AND {A.needs_summary()} AND NOT {A.scores_missing()}"
+    return prompt_rows(A.parse_analysis(df).filter(called), "summary", fill(template, EMAIL=format_email_text()))
 
 
 def action_prompts(df: DataFrame, template: str = ACTION_TEMPLATE) -> DataFrame:
     """Mails that need no review, with the normalised classification and key/values."""
-    df = A.with_fallback(A.review_flags(A.normalise_analysis(pin(A.parse_analysis(df), *A.RAW))))
-    df = pin(df, "requires_human_review").filter(~F.col("requires_human_review"))
-    return prompt_rows(df, "action", fill(template, CONTEXT=action_context()))
+    df = A.with_fallback(A.review_flags(A.normalise_analysis(A.parse_analysis(df))))
+    df = pin(df, "requires_human_review").filter("NOT requires_human_review")
+    context = F.expr(f"to_json(named_struct('classification', classification, 'structured_data', {A.structured_object()}))")
+    return prompt_rows(df, "action", fill(template, CONTEXT=context))

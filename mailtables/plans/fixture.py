@@ -26,17 +26,17 @@ HTML_BODY = f"""case doc_id % 8
 
 EMAILS = [
     "case when n_chars % 97 = 0 then null else doc_id end as rec_id",
-    "case when doc_id % 8 = 0 then 'مشكلة في الحساب' when doc_id % 17 = 0 then null else concat('Ticket ', cast(doc_id as varchar(20)), ' ', source) end as subject",
+    "case when doc_id % 8 = 0 then 'مشكلة في الحساب' when doc_id % 17 = 0 then null else concat('Ticket ', cast(doc_id as string), ' ', source) end as subject",
     "case when doc_id % 10 = 9 then 'Invoices' else 'Tickets' end as type",
     "n_chars % 5000 as created_minute",
     f"case when n_chars % 89 = 0 then null else {HTML_BODY} end as body_html",
 ]
 
-CONFIDENCE = "concat('0.', lpad(cast(n_chars % 100 as varchar(20)), 2, '0'))"
+CONFIDENCE = "concat('0.', lpad(cast(n_chars % 100 as string), 2, '0'))"
 
 # One response row per document. NULL stands for a call that failed.
 ANALYSIS = f"""case doc_id % 14
-    when 0 then concat('```json', chr(10), '{{"classification":{{"category":"billing","priority":"high","sentiment":"negative","confidence":', {CONFIDENCE}, '}},"structured_data":{{"account":{{"value":"A-', cast(n_chars as varchar(20)), '","confidence":0.8}},"origin":{{"value":"', source, '","confidence":0.25}},"confidence":0.85}},"action_items":[{{"action":"refund","confidence":0.9}}],"summary":"Refund wanted.","confidence_scores":{{"overall":0.91,"classification":0.92,"structured_data":0.85,"action_items":0.9}}}}', chr(10), '```')
+    when 0 then concat('```json', chr(10), '{{"classification":{{"category":"billing","priority":"high","sentiment":"negative","confidence":', {CONFIDENCE}, '}},"structured_data":{{"account":{{"value":"A-', cast(n_chars as string), '","confidence":0.8}},"origin":{{"value":"', source, '","confidence":0.25}},"confidence":0.85}},"action_items":[{{"action":"refund","confidence":0.9}}],"summary":"Refund wanted.","confidence_scores":{{"overall":0.91,"classification":0.92,"structured_data":0.85,"action_items":0.9}}}}', chr(10), '```')
     when 1 then concat('Sure, here it is: {{"classification":{{"category":"complaint","priority":"urgent","sentiment":"frustrated","confidence":0.88}},"summary":"Angry about ', source, '.","confidence_scores":{{"overall":', {CONFIDENCE}, '}}}} Hope this helps')
     when 2 then 'I cannot help with that'
     when 3 then '{{"classification":{{"category":"billing","confidence":0.9}},"summary":"No scores."}}'
@@ -98,15 +98,15 @@ ESCAPED_TEXT = (
     "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"
 )
 MAIL_JSON = (
-    "concat('{\"RecId\":', cast(doc_id as varchar(20)), ',\"Subject\":\"Ticket ', source, '\",\"Comments\":\"',"
+    "concat('{\"RecId\":', cast(doc_id as string), ',\"Subject\":\"Ticket ', source, '\",\"Comments\":\"',"
     f" {ESCAPED_TEXT}, '\",\"Type\":\"Tickets\",\"CreatedDateTime\":\"2024-01-01T00:00:00Z\"}}')"
 )
-SHORT_JSON = "concat('{\"RecId\":', cast(1000000 + doc_id as varchar(20)), ',\"Subject\":null}')"
+SHORT_JSON = "concat('{\"RecId\":', cast(1000000 + doc_id as string), ',\"Subject\":null}')"
 ENVELOPES = [
     "doc_id as page_no",
     f"""case doc_id % 8
       when 0 then concat('{{"Data":[', {MAIL_JSON}, '],"TotalCount":1}}')
-      when 1 then concat('{{"Items":[', {MAIL_JSON}, ',', {SHORT_JSON}, '],"TotalCount":', cast(n_chars as varchar(20)), '}}')
+      when 1 then concat('{{"Items":[', {MAIL_JSON}, ',', {SHORT_JSON}, '],"TotalCount":', cast(n_chars as string), '}}')
       when 2 then concat('[', {MAIL_JSON}, ',', {SHORT_JSON}, ']')
       when 3 then '{{"Message":"none"}}'
       when 4 then '{{"Data":null,"Items":null}}'

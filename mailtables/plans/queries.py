@@ -6,7 +6,6 @@ All of them read whole tables. Results hold only flat columns.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.html import html_to_text, strip_html
-from ..functions.stages import pin
 from ..functions.text import normalise
 from ..operators import analysis as A, cleaning as C, inference as I, prompts as P, reports as R
 from ..operators import translation as T
@@ -224,13 +223,13 @@ def flat_analysis():
 @query
 def analysis_parsed(spark, sf_dir):
     """Normalised replies, before any fallback."""
-    parsed = A.normalise_analysis(pin(A.parse_analysis(X.responses(spark, sf_dir)), *A.RAW))
+    parsed = A.normalise_analysis(A.parse_analysis(X.responses(spark, sf_dir)))
     return parsed.select(F.col("raw").isNotNull().alias("parsed"), *flat_analysis())
 
 
 @query
 def review_flags(spark, sf_dir):
-    flagged = A.review_flags(pin(A.parse_analysis(X.responses(spark, sf_dir)), *A.RAW))
+    flagged = A.review_flags(A.parse_analysis(X.responses(spark, sf_dir)))
     return flagged.select("rec_id", "requires_human_review", "review_reason")
 
 

@@ -31,12 +31,12 @@ def any_match(col, patterns) -> Column:
 
 
 def text_before(col, regex) -> Column:
-    """Text in front of the first match, '' when there is none (or it is at the start)."""
-    return F.regexp_extract(col, rf"\A(?s:(.*?))(?im:{regex})", 1)
+    """Text in front of the first match; the whole text when there is none."""
+    return F.regexp_replace(col, rf"(?im:{regex})(?s:.*)", "")
 
 
 def remove_first(col, regex) -> Column:
-    return F.regexp_replace(col, rf"\A(?s:(.*?))(?im:{regex})", "$1")
+    return F.regexp_replace(col, rf"(?im:{regex})(?s:(?<rest>.*))", "${rest}")
 
 
 def empty_to_null(col) -> Column:

@@ -114,12 +114,13 @@ def cut_signature(df: DataFrame, src: str, out: str, config: CleanerConfig = DEF
         return F.struct(total.alias("total"), at.alias("at"), reached.alias("hit"))
 
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("at"), F.lit(0).alias("hit"))
-    delimiter = F.array_position(F.transform(lines, lambda x: trim_ws(x).rlike(P.SIGNATURE_DELIMITER)), True)
+    delimiter = F.array_position(F.transform("_trimmed", lambda x: x.rlike(P.SIGNATURE_DELIMITER)), True)
     df = (
         df.withColumn("_lines", split_lines(text))
+        .withColumn("_trimmed", F.transform("_lines", trim_ws))
         .withColumn("_delimiter", delimiter.cast("int"))
         .withColumn("_from", scan_from)
-        .withColumn("_tail", F.transform(F.slice(lines, F.col("_from") + 1, size), trim_ws))
+        .withColumn("_tail", F.slice("_trimmed", F.col("_from") + 1, size))
         .withColumn("_scores", F.transform("_tail", weak_score))
         .withColumn("_strong", F.array_position(F.transform("_tail", lambda x: any_match(x, P.SIGNATURE_STRONG)), True).cast("int"))
         .withColumn("_first", F.array_position(F.transform("_scores", lambda x: x > 0), True).cast("int"))
@@ -135,7 +136,7 @@ def cut_signature(df: DataFrame, src: str, out: str, config: CleanerConfig = DEF
         .otherwise(text)
     )
     return df.withColumn(out, cut).drop(
-        "_lines", "_delimiter", "_from", "_tail", "_scores", "_strong", "_first", "_reached"
+        "_lines", "_trimmed", "_delimiter", "_from", "_tail", "_scores", "_strong", "_first", "_reached"
     )
 
 

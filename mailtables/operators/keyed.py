@@ -18,6 +18,13 @@ def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.groupBy(key).agg(best).select(key, "_row.*").select(*df.columns)
 
 
+def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of each key, the one with the largest hash if there are several."""
+    payload = [c for c in df.columns if c not in keys]
+    best = F.max_by(F.struct(*payload), F.xxhash64(*payload)).alias("_row")
+    return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, keys: DataFrame = None,
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Left join to one row per key of ``right``, splitting the hot keys of ``left``.
@@ -26,8 +33,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, keys: DataFrame = N
     them, so the list is small next to the tables) get several salts: their rows on the left are
     spread by input partition, their row on the right is copied once per salt. ``keys`` may name
     a cheaper table with the same keys to count, such as the scan ``left`` was computed from.
-    If ``right`` repeats a key, the row with the largest hash is used; it is picked by an
-    aggregate on the join keys, so that ``right`` is shuffled once.
+    If ``right`` repeats a key, one of its rows is picked by an aggregate on the join keys, so
+    that ``right`` is shuffled once.
     """
     hot = (
         (keys if keys is not None else left).groupBy(key).count()
@@ -41,15 +48,12 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, keys: DataFrame = N
         .withColumn("_salt", F.coalesce(F.col("_part") % F.col("_salts"), F.lit(0)))
         .drop("_hot", "_salts", "_part")
     )
-    payload = [c for c in right.columns if c != key]
     salted_right = (
         right.join(F.broadcast(hot), is_hot, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .groupBy(key, "_salt")
-        .agg(F.max_by(F.struct(*payload), F.xxhash64(*payload)).alias("_row"))
-        .select(key, "_salt", "_row.*")
+        .drop("_hot", "_salts")
     )
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    return salted_left.join(one_per_key(salted_right, key, "_salt"), [key, "_salt"], "left").drop("_salt")
 
 
 def number_per_key(df: DataFrame, key: str, order: str, out: str, start: DataFrame = None,

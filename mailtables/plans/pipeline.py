@@ -9,7 +9,7 @@ from ..functions.stages import pin
 from ..operators.analysis import analyse, analysis_json
 from ..operators.cleaning import clean_emails
 from ..operators.inference import infer_batches
-from ..operators.keyed import join_unique, latest_per_key, number_per_key
+from ..operators.keyed import join_unique, latest_per_key, number_per_key, one_per_key
 from ..operators.prompts import action_prompts, analysis_prompts, summary_prompts
 from ..operators.reports import run_report
 from ..operators.translation import apply_email_translation, translation_prompts
@@ -20,8 +20,8 @@ from ..sources.tables import (
     REPROCESS,
     empty_snapshot,
     labelled,
+    merge_rows,
     original_email_json,
-    upsert_cleaned,
 )
 
 REPLIES = {
@@ -31,18 +31,27 @@ REPLIES = {
 }
 
 
-def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig()) -> DataFrame:
-    """Cleaned mails with their replies; the only shuffle of the pipeline, on ``rec_id``."""
+def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),
+                   unique: bool = False) -> DataFrame:
+    """Cleaned mails with their replies; the only shuffle of the pipeline, on ``rec_id``.
+
+    ``unique`` promises one mail per key. Such mails cannot be skewed, and if an aggregate made
+    them so, they already lie where the join needs them.
+    """
     cleaned = clean_emails(emails, "body_html", config).drop("body_html")
-    joined = join_unique(cleaned, responses.select("rec_id", *REPLIES), "rec_id", keys=emails.select("rec_id"))
+    replies = responses.select("rec_id", *REPLIES)
+    if unique:
+        joined = cleaned.join(one_per_key(replies, "rec_id"), "rec_id", "left")
+    else:
+        joined = join_unique(cleaned, replies, "rec_id", keys=emails.select("rec_id"))
     return joined.withColumn("body", F.col("clean_text"))
 
 
-def process_emails(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig()) -> DataFrame:
+def process_emails(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),
+                   unique: bool = False) -> DataFrame:
     """One analysed row per mail; mails without a key are left to ``isolate_bad_rows``."""
     good, _ = isolate_bad_rows(emails)
-    translated = apply_email_translation(clean_and_join(good, responses, config))
-    return analyse(translated)
+    return analyse(apply_email_translation(clean_and_join(good, responses, config, unique)))
 
 
 def storage_rows(processed: DataFrame, arrival: str = "created_ts", *others: str) -> DataFrame:
@@ -68,10 +77,10 @@ def ingest_batch(emails: DataFrame, responses: DataFrame, current: DataFrame, ru
     the expensive steps.
     """
     good, bad = isolate_bad_rows(only_type(emails))
-    processed = process_emails(latest_per_key(good, "rec_id", "created_ts"), responses, config)
-    batch = storage_rows(processed)
+    batch = storage_rows(process_emails(latest_per_key(good, "rec_id", "created_ts"), responses, config, unique=True))
     report = run_report(batch.withColumn("table", F.lit(CLEANED)).withColumnRenamed("translated", "was_translated"))
-    return upsert_cleaned(current if current is not None else empty_snapshot(batch, run_ts), batch, run_ts), report, bad
+    before = current if current is not None else empty_snapshot(batch, run_ts)
+    return merge_rows(before, batch, run_ts), report, bad
 
 
 def reprocess(emails: DataFrame, req_ids: DataFrame, responses: DataFrame, history: DataFrame, run_ts: Column,

@@ -423,7 +423,9 @@ def document_stream(spark, sf_dir):
 @query
 def stream_clean(spark, sf_dir):
     work = shared_dir(spark, "stream-clean")
-    cleaned = ST.stream_clean(X.compose_emails(document_stream(spark, sf_dir)))
+    # The whole table is one file, so one micro-batch of one split.
+    cores = spark.sparkContext.defaultParallelism
+    cleaned = ST.stream_clean(X.compose_emails(document_stream(spark, sf_dir)), tasks=cores)
     ST.append_stream(cleaned.select("rec_id", "core", "clean_text"), f"{work}/out", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/out")
 

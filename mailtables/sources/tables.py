@@ -39,14 +39,13 @@ def route_target(df: DataFrame, request_id: str = "request_id") -> tuple[DataFra
     return df.filter(target == CLEANED), df.filter(target == REPROCESS)
 
 
-def upsert_cleaned(current: DataFrame, batch: DataFrame, run_ts: Column, arrival: str = "arrival") -> DataFrame:
-    """The next snapshot: the last arrival of each request wins, ``created_at`` stays the first.
+def merge_rows(current: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
+    """The next snapshot from a batch with one row per request; ``created_at`` stays the first.
 
-    Both join sides have one row per key, so no key is hot; a ``current`` that is bucketed by
+    Both sides have one row per key, so no key is hot; a ``current`` that is bucketed by
     ``req_id`` is not shuffled. Write the result to a new path, never over the one being read.
     """
-    newest = latest_per_key(table_defaults(batch), "req_id", arrival).select("req_id", *VALUES)
-    new = newest.select("req_id", F.struct(*VALUES).alias("new"))
+    new = table_defaults(batch).select("req_id", F.struct(*VALUES).alias("new"))
     old = current.select("req_id", F.struct(*VALUES).alias("old"), F.col("created_at").alias("old_at"))
     row = F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old"))
     return (
@@ -56,6 +55,11 @@ def upsert_cleaned(current: DataFrame, batch: DataFrame, run_ts: Column, arrival
     )
 
 
+def upsert_cleaned(current: DataFrame, batch: DataFrame, run_ts: Column, arrival: str = "arrival") -> DataFrame:
+    """The next snapshot from any batch: the last arrival of each request wins."""
+    return merge_rows(current, latest_per_key(batch, "req_id", arrival), run_ts)
+
+
 def empty_snapshot(batch: DataFrame, run_ts: Column) -> DataFrame:
     return batch.select("req_id", *VALUES, run_ts.alias("created_at")).limit(0)
 

@@ -2,7 +2,7 @@
 
 All projections over a table that already holds the replies (see ``plans.pipeline`` for the
 join). Column names: ``subject``, ``body``, ``analysis_text``, ``summary_text``, ``action_text``,
-``in_tokens``, ``out_tokens``, ``latency_ms``. The rules are SQL text built from
+``latency_ms`` and the token columns of ``sum_tokens``. The rules are SQL text built from
 ``functions.json``; each step adds its columns in one projection.
 """
 
@@ -213,7 +213,7 @@ def with_fallback(df: DataFrame) -> DataFrame:
         "action_items": f"CAST(array() AS {ITEMS_TYPE})",
         "confidence_scores": f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {half}' for n in SCORES)})",
     }
-    df = add(df, _failed=analysis_failed(), summary=resolve_summary())
+    df = add(df, _failed=analysis_failed(), summary=resolve_summary(), _summarised=needs_summary())
     # A summary that needs the body sentence cannot be built without a body.
     df = add(
         df,
@@ -253,20 +253,38 @@ def plan_next_action(df: DataFrame) -> DataFrame:
     ).drop("_plan")
 
 
+# Model calls with the prefix of their token columns and the condition under which they count.
+STAGES = [
+    ("translation", "translation_", "was_translated"),
+    ("analysis", "", "failure IS NULL"),
+    ("summary", "summary_", "failure IS NULL AND _summarised"),
+    ("planning", "plan_", "_planned"),
+]
+BILLED = ["analysis", "planning"]
+
+
 def sum_tokens(df: DataFrame) -> DataFrame:
-    """Analysis plus planner tokens; the summary call is not part of the sum.
+    """Tokens by model call, and the sum of analysis plus planning (the other two are left out).
 
-    ``in_tokens`` and ``out_tokens`` belong to the analysis call; ``plan_in_tokens`` and
-    ``plan_out_tokens`` are optional columns of the planner call.
+    Token columns are ``in_tokens`` and ``out_tokens`` behind the prefix of the call; a call
+    without such columns counts 0.
     """
 
-    def used(name):
-        own = f"if(failure IS NULL, coalesce(CAST({name} AS BIGINT), 0), 0)"
-        plan = f"if(_planned, coalesce(CAST(plan_{name} AS BIGINT), 0), 0)" if f"plan_{name}" in df.columns else "0"
-        return f"CAST({own} + {plan} AS BIGINT)"
+    def used(name, condition):
+        return f"if({condition}, coalesce(CAST({name} AS BIGINT), 0L), 0L)" if name in df.columns else "0L"
 
-    got, made = used("in_tokens"), used("out_tokens")
-    return add(df, token_usage=f"named_struct('input', {got}, 'output', {made}, 'total', {got} + {made})")
+    parts = {
+        stage: (used(f"{prefix}in_tokens", condition), used(f"{prefix}out_tokens", condition))
+        for stage, prefix, condition in STAGES
+        if condition in df.columns or condition != "was_translated"
+    }
+    rows = ", ".join(f"named_struct('stage', '{n}', 'input', {i}, 'output', {o})" for n, (i, o) in parts.items())
+    got, made = (" + ".join(parts[stage][k] for stage in BILLED) for k in (0, 1))
+    return add(
+        df,
+        stage_tokens=f"array({rows})",
+        token_usage=f"named_struct('input', {got}, 'output', {made}, 'total', {got} + {made})",
+    )
 
 
 def structured_object() -> str:
@@ -296,4 +314,4 @@ def analyse(df: DataFrame) -> DataFrame:
     """All of the above on a table with subject, body and the replies."""
     df = review_flags(normalise_analysis(parse_analysis(df)))
     df = sum_tokens(plan_next_action(with_fallback(df)))
-    return add(df, processing_time_ms="CAST(coalesce(latency_ms, 0) AS INT)").drop(*RAW, "_planned")
+    return add(df, processing_time_ms="CAST(coalesce(latency_ms, 0) AS INT)").drop(*RAW, "_planned", "_summarised")

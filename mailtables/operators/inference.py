@@ -12,13 +12,13 @@ REPLY_FIELDS = [
 
 
 def infer_batches(prompts: DataFrame, fn: Callable[[list], list], key: str = "rec_id",
-                  concurrency: int = None) -> DataFrame:
-    """``fn(list of prompts) -> list of dicts`` over Arrow batches.
+                  concurrency: int = None, batch_size: int = 256) -> DataFrame:
+    """``fn(list of prompts) -> list of dicts``, called with at most ``batch_size`` prompts.
 
-    Adds ``reply``, ``in_tokens``, ``out_tokens``, ``latency_ms`` and ``error``. If a batch fails
-    its prompts are tried one by one, so one bad prompt loses only its own row. ``concurrency``
-    bounds the number of tasks that call the model at once. A lost executor repeats the calls of
-    its unfinished tasks, so write the result to a table before joining it.
+    Adds ``reply``, ``in_tokens``, ``out_tokens``, ``latency_ms`` and ``error``. A failing batch
+    is halved until the prompts that fail stand alone, so they lose only their own rows.
+    ``concurrency`` bounds the number of tasks that call the model at once. A lost executor
+    repeats the calls of its unfinished tasks, so write the result to a table before joining it.
     """
     dtype = dict(prompts.dtypes)[key]
     schema = (
@@ -35,15 +35,18 @@ def infer_batches(prompts: DataFrame, fn: Callable[[list], list], key: str = "re
         except Exception as failure:  # noqa: BLE001 - any model error becomes a row
             if len(texts) == 1:
                 return [{"error": f"{type(failure).__name__}: {failure}"}]
-            return [reply for text in texts for reply in call([text])]
+            half = len(texts) // 2
+            return call(texts[:half]) + call(texts[half:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies = [r or {} for r in call(batch["prompt"].to_pylist())]
-            made = [pa.array([r.get(name) for r in replies], kind) for name, kind in REPLY_FIELDS]
-            names = [key, "kind"] + [name for name, _ in REPLY_FIELDS]
-            yield pa.RecordBatch.from_arrays([batch[key], batch["kind"], *made], names=names)
+        names = [key, "kind"] + [name for name, _ in REPLY_FIELDS]
+        for arrived in batches:
+            for start in range(0, arrived.num_rows, batch_size):
+                batch = arrived.slice(start, batch_size)
+                replies = [r or {} for r in call(batch["prompt"].to_pylist())]
+                made = [pa.array([r.get(name) for r in replies], kind) for name, kind in REPLY_FIELDS]
+                yield pa.RecordBatch.from_arrays([batch[key], batch["kind"], *made], names=names)
 
     if concurrency:
-        prompts = prompts.repartition(concurrency, key)
+        prompts = prompts.repartition(concurrency)
     return prompts.select(key, "kind", "prompt").mapInArrow(run, schema)

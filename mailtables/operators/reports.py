@@ -65,17 +65,16 @@ def stage_removals(df: DataFrame) -> DataFrame:
 
 
 def token_usage_report(df: DataFrame) -> DataFrame:
-    """Tokens by failure class and in total (``failure`` NULL with ``level`` 1 is the total)."""
-    used = F.col("token_usage")
+    """Tokens by model call, and in total (``level`` 1)."""
     return (
-        df.select(F.coalesce("failure", F.lit("none")).alias("failure"), used["input"].alias("i"), used["output"].alias("o"))
-        .rollup("failure")
+        df.select(F.inline("stage_tokens"))
+        .rollup("stage")
         .agg(
-            F.grouping("failure").cast("int").alias("level"),
-            F.count("*").alias("mails"),
-            F.sum("i").alias("input_tokens"),
-            F.sum("o").alias("output_tokens"),
-            F.sum(F.col("i") + F.col("o")).alias("total_tokens"),
+            F.grouping("stage").cast("int").alias("level"),
+            F.count_if(F.col("input") + F.col("output") > 0).alias("calls"),
+            F.sum("input").alias("input_tokens"),
+            F.sum("output").alias("output_tokens"),
+            F.sum(F.col("input") + F.col("output")).alias("total_tokens"),
         )
     )
 

@@ -59,6 +59,12 @@ RESPONSES = [
     "case when doc_id % 24 = 0 then null when doc_id % 16 = 0 then concat(chr(10), 'Hello support', chr(10), 'Please help') else concat('Account problem ', lang, chr(10), chr(10), 'Hello support, I cannot sign in.') end as translation_text",
     "100 + doc_id % 50 as in_tokens",
     "20 + doc_id % 7 as out_tokens",
+    "30 + n_chars % 11 as plan_in_tokens",
+    "5 + n_chars % 3 as plan_out_tokens",
+    "60 + n_chars % 13 as summary_in_tokens",
+    "case when n_chars % 10 = 0 then null else 9 end as summary_out_tokens",
+    "n_chars as translation_in_tokens",
+    "n_chars + 3 as translation_out_tokens",
     "50 + doc_id % 400 as latency_ms",
 ]
 

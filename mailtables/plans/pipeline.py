@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CleanerConfig
 from ..functions.stages import pin
-from ..operators.analysis import analyse, analysis_json
+from ..operators.analysis import STAGES, analyse, analysis_json
 from ..operators.cleaning import clean_emails
 from ..operators.inference import infer_batches
 from ..operators.keyed import join_unique, latest_per_key, number_per_key, one_per_key
@@ -24,11 +24,8 @@ from ..sources.tables import (
     original_email_json,
 )
 
-REPLIES = {
-    "analysis_text": "string", "summary_text": "string", "action_text": "string",
-    "translation_text": "string", "in_tokens": "bigint", "out_tokens": "bigint",
-    "latency_ms": "bigint",
-}
+REPLIES = ["analysis_text", "summary_text", "action_text", "translation_text", "latency_ms"]
+TOKENS = [f"{prefix}{side}_tokens" for _, prefix, _ in STAGES for side in ("in", "out")]
 
 
 def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),
@@ -39,7 +36,7 @@ def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfi
     them so, they already lie where the join needs them.
     """
     cleaned = clean_emails(emails, "body_html", config).drop("body_html")
-    replies = responses.select("rec_id", *REPLIES)
+    replies = responses.select("rec_id", *REPLIES, *[c for c in TOKENS if c in responses.columns])
     if unique:
         joined = cleaned.join(one_per_key(replies, "rec_id"), "rec_id", "left")
     else:
@@ -133,14 +130,19 @@ def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency
     good, _ = isolate_bad_rows(emails)
     cleaned = stored(clean_emails(good, "body_html", config).drop("body_html"), "cleaned")
     mails = cleaned.withColumn("body", F.col("clean_text"))
-    mails = add(mails, ask(translation_prompts(mails), "translation"), translation_text="reply")
+    mails = add(mails, ask(translation_prompts(mails), "translation"), translation_text="reply",
+                translation_in_tokens="in_tokens", translation_out_tokens="out_tokens")
     mails = stored(apply_email_translation(mails), "translated")
     mails = stored(
         add(mails, ask(analysis_prompts(mails), "analysis"), analysis_text="reply",
             in_tokens="in_tokens", out_tokens="out_tokens", latency_ms="latency_ms"),
         "analysed",
     )
-    mails = stored(add(mails, ask(summary_prompts(mails), "summary"), summary_text="reply"), "summarised")
+    mails = stored(
+        add(mails, ask(summary_prompts(mails), "summary"), summary_text="reply",
+            summary_in_tokens="in_tokens", summary_out_tokens="out_tokens"),
+        "summarised",
+    )
     mails = add(mails, ask(action_prompts(mails), "action"), action_text="reply",
                 plan_in_tokens="in_tokens", plan_out_tokens="out_tokens")
     return analyse(mails)

@@ -394,6 +394,20 @@ def reprocess_batch(spark, sf_dir):
     return created_text(rows).select("req_id", "process_label", "core", "summary", "review_reason", "created_at")
 
 
+@query
+def run_rows(spark, sf_dir):
+    """What a reprocessing run reports for each mail."""
+    rows = TB.append_reprocess(history(spark, sf_dir), deliveries(spark, sf_dir).drop("lang"), at(RUN_TS))
+    return R.run_rows(rows.withColumnRenamed("translated", "was_translated"))
+
+
+@query
+def ingest_given(spark, sf_dir):
+    """Mails of any type, as handed in, bound for the reprocessing table."""
+    rows, _ = PL.ingest_given(mails(spark, sf_dir), X.responses(spark, sf_dir), request_id=1)
+    return rows.select("req_id", "table", "core", "summary", "processing_time_ms")
+
+
 @query
 def infer_batches(spark, sf_dir):
     """Prompts through a deterministic stand-in for a model that rejects some of them."""

@@ -185,10 +185,12 @@ ANALYSED = with_(*R.analysis_ctes())
 SQL["analysis_summary"] = ANALYSED + " select rec_id, summary from acted"
 SQL["analysis_fallback"] = ANALYSED + f" select rec_id, failure, requires_human_review, review_reason, {', '.join(R.FLAT)} from acted"
 SQL["next_action"] = ANALYSED + " select rec_id, next_best_action, action_confidence, action_reasoning from acted"
+CALLS = " union all ".join(
+    f"select '{stage}' as stage, {stage}_in as i, {stage}_out as o from counted" for stage in ("translation", "analysis", "summary", "planning")
+)
 SQL["token_usage"] = ANALYSED + (
-    " select failure, cast(grouping(failure) as integer) as level, count(*) as mails, cast(sum(ti) as bigint) as input_tokens,"
-    " cast(sum(to_) as bigint) as output_tokens, cast(sum(ti + to_) as bigint) as total_tokens"
-    " from (select coalesce(failure, 'none') as failure, ti, to_ from acted) group by rollup (failure)"
+    " select stage, cast(grouping(stage) as integer) as level, count(*) filter (i + o > 0) as calls, cast(sum(i) as bigint) as input_tokens,"
+    f" cast(sum(o) as bigint) as output_tokens, cast(sum(i + o) as bigint) as total_tokens from ({CALLS}) group by rollup (stage)"
 )
 
 
@@ -273,8 +275,8 @@ ORIGINAL = "case when original_subject is null then json_object('body', clean_te
 STORED = (
     "select rec_id as req_id, pretext, core, posttext, clean_text, was_translated as translated, summary, requires_human_review, review_reason,"
     f" cast(coalesce(latency_ms, 0) as integer) as processing_time_ms, cast({ORIGINAL} as varchar) as original_email,"
-    f" cast({R.CONTENT} as varchar) as translated_content, next_best_action, cast(ti + to_ as varchar) as total_tokens,"
-    " cast(created_ts as varchar) as arrival from acted"
+    f" cast({R.CONTENT} as varchar) as translated_content, next_best_action, cast(analysis_in + analysis_out + planning_in + planning_out as varchar) as total_tokens,"
+    " cast(created_ts as varchar) as arrival from counted"
 )
 SQL["pipeline_rows"] = ANALYSED + " " + STORED
 SQL["run_report"] = ANALYSED + (
@@ -291,6 +293,12 @@ SQL["reprocess_batch"] = with_(*R.analysis_ctes(), ("past", "select conv_id as r
     " select rec_id as req_id, 'process' || (done + 1) as process_label, core, summary, review_reason, '2025-03-01 12:00:00' as created_at"
     " from acted join past using (rec_id) where type = 'Tickets'"
 )
+SQL["run_rows"] = with_(*LABELS) + (
+    " select req_id, translated as was_translated, process_label, summary, requires_human_review, review_reason from labelled"
+)
+SQL["ingest_given"] = ANALYSED + (
+    " select rec_id as req_id, 'emails_reprocess' as \"table\", core, summary, cast(coalesce(latency_ms, 0) as integer) as processing_time_ms from acted"
+)
 SQL["infer_batches"] = (
     "select doc_id as rec_id, case when p like '%src3%' then null else replace(p, ' ', '_') end as reply,"
     " case when p like '%src3%' then null else length(p) end as in_tokens, p like '%src3%' as failed"

@@ -6,6 +6,7 @@ from . import duck as D
 from .duck import q
 
 NUMBER = q(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+TOKENS = [f"{p}{s}_tokens" for p in ('', 'plan_', 'summary_', 'translation_') for s in ('in', 'out')]
 PRIMITIVE = "('VARCHAR', 'BOOLEAN', 'UBIGINT', 'BIGINT', 'DOUBLE')"
 
 
@@ -139,7 +140,7 @@ def input_ctes():
         D.RESPONSES,
         (
             "joined0",
-            f"select clean.*, {', '.join(c.split(' as ')[-1] for c in ['analysis_text', 'summary_text', 'action_text', 'translation_text', 'in_tokens', 'out_tokens', 'latency_ms'])},"
+            f"select clean.*, {', '.join(c.split(' as ')[-1] for c in ['analysis_text', 'summary_text', 'action_text', 'translation_text', 'latency_ms', *TOKENS])},"
             f" {has} as has_arabic from clean left join responses using (rec_id) where rec_id is not null",
         ),
         (
@@ -217,8 +218,20 @@ def analysis_ctes():
             f" case when failure = 'pipeline' then 0.5 when requires_human_review or plan is null then 0.7 else {clamp_score(plan_conf)} end as action_confidence,"
             " case when requires_human_review then coalesce(review_reason, 'Human review required') when plan is null then 'Fallback due to processing error'"
             f" else case when {truthy(reasoning)} then {text(reasoning)} else 'Default escalation due to parsing error' end end as action_reasoning,"
-            " case when failure is null then coalesce(in_tokens, 0) else 0 end as ti, case when failure is null then coalesce(out_tokens, 0) else 0 end as to_"
-            " from final",
+            f" {NEEDS_SUMMARY} and failure is null as summarised, not requires_human_review and plan is not null as planned from final",
+        ),
+        (
+            "counted",
+            "select *,"
+            + ", ".join(
+                f" case when {test} then coalesce({prefix}{side}_tokens, 0) else 0 end as {stage}_{side}"
+                for stage, prefix, test in [
+                    ("translation", "translation_", "was_translated"), ("analysis", "", "failure is null"),
+                    ("summary", "summary_", "summarised"), ("planning", "plan_", "planned"),
+                ]
+                for side in ("in", "out")
+            )
+            + " from acted",
         ),
     ]
 

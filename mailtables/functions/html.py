@@ -21,7 +21,12 @@ NOISE = [
 
 DROPPED = [r"(?s)<!--.*?-->"] + [rf"(?is)<{e}\b[^>]*>.*?</{e}\s*>" for e in SKIPPED_ELEMENTS]
 
-LINK = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+LINK_START = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"'][^>]*>"
+LINKS = [
+    # The text is the address itself.
+    (LINK_START + r"\s*\1\s*</a\s*>", "$1"),
+    (LINK_START + r"(.*?)</a\s*>", "$2 [$1]"),
+]
 
 LINE_BREAK = r"(?i)<br\b[^>]*>"
 LIST_ITEM = r"(?i)<li\b[^>]*>"
@@ -101,16 +106,10 @@ def decode_entities(col) -> Column:
     return F.when(col.contains("&"), F.array_join(pieces, "")).otherwise(col)
 
 
-def hide_same_link(col) -> Column:
-    """``text [href]``, or only the text when it is the address itself."""
-    shown = F.regexp_replace(col, LINK, "$2 [$1]")
-    return F.regexp_replace(shown, r"(\S+) \[\1\]", "$1")
-
-
 def markup_to_text(col, config: CleanerConfig) -> Column:
     """Turn tags into line breaks and blanks; ``col`` has no skipped elements any more."""
     if config.preserve_links:
-        col = hide_same_link(col)
+        col = replace_all(col, LINKS)
     steps = [(LINE_BREAK, "\n"), (LIST_ITEM, "\n* ")]
     steps += [(CELL_END, " ")] if config.preserve_tables else [(TABLE_PART, "")]
     return replace_all(col, steps + [(BLOCK_EDGE, "\n"), (ANY_TAG, "")])

@@ -67,21 +67,25 @@ def number_per_key(df: DataFrame, key: str, order: str, out: str, start: DataFra
     tasks. The cut points are one row of at most ``MAX_CUTS`` values.
     """
     payload = [c for c in df.columns if c != key]
-    value = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
+    value = F.col(order)
     quantiles = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
     rows, points = df.agg(F.count("*"), F.percentile_approx(value, quantiles, 10_000)).first()
     step = max(1, MAX_CUTS * rows_per_task // max(rows, 1))
     chosen = (points or [])[step - 1 :: step]
     cuts = sorted(set(chosen))
     heavy = [c for c in cuts if chosen.count(c) > 1]
-    df = df.withColumn("_tie", F.xxhash64(*payload)).withColumn("_a", F.lit(0)).withColumn("_b", F.lit(0)).withColumn("_c", F.lit(0))
+    zero = F.lit(0)
+    below, at_cut, part = zero, zero, zero
     if cuts:
-        at = F.array(*[F.lit(float(c)) for c in cuts])
-        below = F.size(F.filter(at, lambda c: c < value))
-        df = df.withColumn("_a", F.when(value.isNull(), 0).otherwise(below)).withColumn("_b", F.array_contains(at, F.coalesce(value, F.lit(float("-inf")))).cast("int"))
+        known = F.array(*[F.lit(c) for c in cuts])
+        # A missing order value comes first, as in the sort below.
+        below = F.when(value.isNull(), 0).otherwise(F.size(F.filter(known, lambda c: c < value)))
+        at_cut = F.coalesce(F.array_contains(known, value), F.lit(False)).cast("int")
     if heavy:
         # The top bits of a signed hash sort like the hash itself.
-        df = df.withColumn("_c", F.when(value.isin(heavy), F.shiftright("_tie", 54)).otherwise(0).cast("int"))
+        part = F.when(value.isin(heavy), F.shiftright("_tie", 54)).otherwise(0).cast("int")
+    df = df.withColumn("_tie", F.xxhash64(*payload))
+    df = df.withColumns({"_a": below, "_b": at_cut, "_c": part})
     bucket = [key, "_a", "_b", "_c"]
     local = W.partitionBy(*bucket).orderBy(order, "_tie")
     earlier = W.partitionBy(key).orderBy("_a", "_b", "_c").rowsBetween(W.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.paging import ordered_page
+
 MAIL_FIELDS = "RecId BIGINT, Subject STRING, Comments STRING, Type STRING, CreatedDateTime STRING"
 MAIL = f"STRUCT<{MAIL_FIELDS.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING')}>"
 ENVELOPE = f"Data ARRAY<{MAIL}>, Items ARRAY<{MAIL}>, TotalCount BIGINT"
@@ -63,10 +65,9 @@ def page_totals(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 def page_emails(df: DataFrame, page: int = 1, size: int = 10, order_by: str = "created_ts",
                 direction: int = 0, key: str = "rec_id") -> DataFrame:
-    """One page, newest first for direction 0; ties by key. A top-k plan, not a full sort."""
+    """One page, newest first for direction 0; ties by key."""
     page, size = page or 1, size or 10
-    order = F.col(order_by).desc() if direction == 0 else F.col(order_by).asc()
-    return df.orderBy(order, F.col(key).asc()).offset(max(page - 1, 0) * size).limit(size)
+    return ordered_page(df, [(order_by, direction != 0), (key, True)], max(page - 1, 0) * size, size)
 
 
 def lookup_source(df: DataFrame, rec_id: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.keyed import latest_per_key, number_per_key
+from ..operators.paging import ordered_page
 
 CLEANED, REPROCESS = "emails_cleaned", "emails_reprocess"
 VALUES = [
@@ -78,9 +79,25 @@ def append_reprocess(history: DataFrame, batch: DataFrame, run_ts: Column, arriv
     return labelled(number_per_key(batch, "req_id", arrival, "process_number", start), run_ts)
 
 
+def write_snapshot(snapshot: DataFrame, path: str, clustered: bool = False) -> None:
+    """Write a snapshot to a path of its own.
+
+    ``clustered`` sorts it by time into files with narrow ranges, which lets ``list_cleaned``
+    read few of them; the request breaks ties, as a whole run has one time.
+    """
+    if clustered:
+        snapshot = snapshot.repartitionByRange("created_at", "req_id").sortWithinPartitions("created_at", "req_id")
+    snapshot.write.mode("errorifexists").parquet(path)
+
+
+def write_history(rows: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run; a repeated run replaces its own folder."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def list_cleaned(df: DataFrame, limit: int = 5, offset: int = 0) -> DataFrame:
     """Newest rows first; ties by request."""
-    return df.orderBy(F.col("created_at").desc(), F.col("req_id").asc()).offset(offset or 0).limit(limit or 5)
+    return ordered_page(df, [("created_at", False), ("req_id", True)], offset or 0, limit or 5)
 
 
 def history_by_req(df: DataFrame, req_id) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailtables.operators import keyed as K, reports as R
+from mailtables.operators.paging import ordered_page
 from mailtables.plans import fixture as X, pipeline as PL
 from mailtables.session import shared_dir
 from mailtables.sources import emails as S, tables as TB
@@ -247,3 +248,33 @@ def test_plan_has_no_python_and_one_mail_shuffle(spark):
     plan = PL.process_emails(X.emails(spark, SMALL), X.responses(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange hashpartitioning(rec_id") <= 4
+
+
+@pytest.mark.parametrize("skip_at", [0, 30, 10_000])
+def test_deep_pages(spark, skip_at):
+    """Heavy ties, NULLs, both directions, against a sort on the driver."""
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, 50).when(F.col("id") % 41 == 0, None).otherwise(F.col("id") % 90).alias("at"),
+        ((F.col("id") * 7919) % 1000).alias("k"),
+    ).cache()
+    rows = [(r["at"], r.k) for r in df.collect()]
+    for up in (True, False):
+        known = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0] if up else -r[0], r[1]))
+        empty = sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        ordered = empty + known if up else known + empty
+        for offset in (0, 1, 17, 333, 420, 640, 985, 1000, 2000):
+            page = ordered_page(df, [("at", up), ("k", True)], offset, 12, skip_at)
+            assert [(r["at"], r.k) for r in page.collect()] == ordered[offset : offset + 12], (up, offset)
+
+
+def test_sinks(spark):
+    work = shared_dir(spark, "test-sinks")
+    rows = TB.upsert_cleaned(TB.empty_snapshot(batch(spark), F.expr(AT)), batch(spark, (1, "a", 1), (2, "b", 1)), F.expr(AT))
+    TB.write_snapshot(rows, f"{work}/v1", clustered=True)
+    assert state(spark.read.parquet(f"{work}/v1")) == state(rows)
+    labelled = TB.append_reprocess(batch(spark), batch(spark, (1, "a", 1)), F.expr(AT))
+    for _ in range(2):
+        TB.write_history(labelled, f"{work}/history", "1")
+    again = TB.append_reprocess(spark.read.parquet(f"{work}/history"), batch(spark, (1, "b", 1)), F.expr(AT))
+    TB.write_history(again, f"{work}/history", "2")
+    assert sorted(r.process_label for r in spark.read.parquet(f"{work}/history").collect()) == ["process1", "process2"]

@@ -214,30 +214,43 @@ CLEAN_COLUMNS = [
 ]
 
 
-def clean_emails(df: DataFrame, src: str = "body_html", config: CleanerConfig = DEFAULTS) -> DataFrame:
-    """Add :data:`CLEAN_COLUMNS` to a table with HTML (or plain text) in ``src``."""
-    short = F.length("html_text") < SHORT_TEXT
-    df = clean_text_stages(df, src, config)
-    df = truncate_text(df, "signature_text", "_full", config)
-    df = segment_mail(df, "_full")
-    df = df.withColumn("_short", short).withColumn(
-        "core", F.when(F.col("_short"), "").otherwise(F.coalesce(empty_to_null(F.col("core")), F.col("_full")))
-    )
-    preview = F.concat(
-        left_chars(F.col("core"), PREVIEW), F.when(F.length("core") > PREVIEW, "...").otherwise("")
+def clean_body(df: DataFrame, src: str = "body_html", config: CleanerConfig = DEFAULTS) -> DataFrame:
+    """Add ``clean_text``, ``too_short`` (nothing was cleaned) and ``original_length``."""
+    df = truncate_text(clean_text_stages(df, src, config), "signature_text", "_full", config)
+    df = df.withColumns(
+        {
+            "too_short": F.length("html_text") < SHORT_TEXT,
+            "clean_text": F.when(F.length("html_text") < SHORT_TEXT, F.col("html_text")).otherwise(F.col("_full")),
+            "original_length": F.coalesce(F.length(src), F.lit(0)).cast("long"),
+        }
     )
-    df = (
-        df.withColumn("pretext", F.when(F.col("_short"), "").otherwise(F.col("pretext")))
-        .withColumn("posttext", F.when(F.col("_short"), "").otherwise(F.col("posttext")))
-        .withColumn("clean_text", F.when(F.col("_short"), F.col("html_text")).otherwise(F.col("_full")))
-        .withColumn("preview", preview)
-        .withColumn("original_length", F.coalesce(F.length(src), F.lit(0)).cast("long"))
-        .withColumn("cleaned_length", F.when(F.col("_short"), 0).otherwise(F.length("_full")).cast("long"))
-        .withColumn(
-            "compression_ratio",
-            F.when(F.col("_short"), "100.00%").otherwise(compression_ratio("original_length", "cleaned_length")),
-        )
-        .withColumn("warning", F.when(F.col("_short"), SHORT_WARNING))
-        .drop("_short", "_full", *STAGES)
+    return pin(df.drop("_full", *STAGES), "clean_text", "too_short", "original_length")
+
+
+def describe_mail(df: DataFrame) -> DataFrame:
+    """The other :data:`CLEAN_COLUMNS`, from the columns of :func:`clean_body`."""
+    short = F.col("too_short")
+    df = segment_mail(df, "clean_text")
+    filled = F.coalesce(empty_to_null(F.col("core")), F.col("clean_text"))
+    df = df.withColumns(
+        {
+            "pretext": F.when(short, "").otherwise(F.col("pretext")),
+            "core": F.when(short, "").otherwise(filled),
+            "posttext": F.when(short, "").otherwise(F.col("posttext")),
+            "cleaned_length": F.when(short, 0).otherwise(F.length("clean_text")).cast("long"),
+            "warning": F.when(short, SHORT_WARNING),
+        }
     )
-    return pin(df, *CLEAN_COLUMNS)
+    more = F.when(F.length("core") > PREVIEW, "...").otherwise("")
+    ratio = compression_ratio("original_length", "cleaned_length")
+    return df.withColumns(
+        {
+            "preview": F.concat(left_chars(F.col("core"), PREVIEW), more),
+            "compression_ratio": F.when(short, "100.00%").otherwise(ratio),
+        }
+    ).drop("too_short")
+
+
+def clean_emails(df: DataFrame, src: str = "body_html", config: CleanerConfig = DEFAULTS) -> DataFrame:
+    """Add :data:`CLEAN_COLUMNS` to a table with HTML (or plain text) in ``src``."""
+    return pin(describe_mail(clean_body(df, src, config)), *CLEAN_COLUMNS)

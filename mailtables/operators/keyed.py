@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-ROWS_PER_TASK = 500_000
+# Some hundred megabytes of mails.
+ROWS_PER_TASK = 50_000
 MAX_CUTS = 1000
 
 

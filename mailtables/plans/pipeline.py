@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CleanerConfig
 from ..functions.stages import pin
 from ..operators.analysis import STAGES, analyse, analysis_json
-from ..operators.cleaning import clean_emails
+from ..operators.cleaning import clean_body, clean_emails, describe_mail
 from ..operators.inference import infer_batches
 from ..operators.keyed import join_unique, latest_per_key, number_per_key, one_per_key
 from ..operators.prompts import action_prompts, analysis_prompts, summary_prompts
@@ -32,16 +32,17 @@ def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfi
                    unique: bool = False) -> DataFrame:
     """Cleaned mails with their replies; the only shuffle of the pipeline, on ``rec_id``.
 
+    Mails travel as their clean text only; the segments are cut from it behind the shuffle.
     ``unique`` promises one mail per key. Such mails cannot be skewed, and if an aggregate made
     them so, they already lie where the join needs them.
     """
-    cleaned = clean_emails(emails, "body_html", config).drop("body_html")
+    cleaned = clean_body(emails, "body_html", config).drop("body_html")
     replies = responses.select("rec_id", *REPLIES, *[c for c in TOKENS if c in responses.columns])
     if unique:
         joined = cleaned.join(one_per_key(replies, "rec_id"), "rec_id", "left")
     else:
         joined = join_unique(cleaned, replies, "rec_id", keys=emails.select("rec_id"))
-    return joined.withColumn("body", F.col("clean_text"))
+    return describe_mail(joined).withColumn("body", F.col("clean_text"))
 
 
 def process_emails(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),

@@ -1,5 +1,7 @@
 """HTML to text as a chain of native column expressions."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CleanerConfig
@@ -35,16 +37,18 @@ BLOCK_EDGE = rf"(?i)</?(?:{'|'.join(BLOCK_ELEMENTS)})\b[^>]*>"
 TABLE_PART = r"(?i)</?(?:tr|tbody|thead|tfoot)\b[^>]*>"
 ANY_TAG = r"(?i)<[/]?[a-z!?][^>]*>"
 
-# Clean-up of the plain text, in this order.
+# Clean-up of the plain text, in this order: regexes behind literals one of which every match
+# of them contains (none: always tried).
 POLISH = [
-    (r"[\x{200B}-\x{200D}\x{FEFF}]", ""),
-    (r"[ \t]{2,}|\t", " "),
-    (r"\n\s*\n\s*\n+", "\n\n"),
-    (r"([.!?])\1{2,}", "$1"),
-    (r"(?im)^\s*[\[(]?cid:.*?[\])]?\s*$", ""),
-    (r"(?i)\[image:.*?\]", ""),
-    (r"(?i)\[Image removed by sender\]", ""),
-    (r"(?i)\[cid:.*?\]", ""),
+    ([], [(r"[\x{200B}-\x{200D}\x{FEFF}]", "")]),
+    (["  ", "\t"], [(r"[ \t]{2,}|\t", " ")]),
+    ([], [(r"\n\s*\n\s*\n+", "\n\n")]),
+    (["...", "!!!", "???"], [(r"([.!?])\1{2,}", "$1")]),
+    ([], [(r"(?im)^\s*[\[(]?cid:.*?[\])]?\s*$", "")]),
+    (
+        ["["],
+        [(r"(?i)\[image:.*?\]", ""), (r"(?i)\[Image removed by sender\]", ""), (r"(?i)\[cid:.*?\]", "")],
+    ),
 ]
 
 
@@ -134,8 +138,14 @@ def html_to_text(df: DataFrame, src: str, out: str, config: CleanerConfig = Clea
         .withColumn("_plain", where("<", markup_to_text(markup, config)))
         .withColumn("_plain", decode_entities(plain))
     )
-    polished = replace_all(F.replace(plain, F.lit("\u00a0"), F.lit(" ")), POLISH)
-    lines = F.transform(split_lines(polished), trim_ws)
+    df = df.withColumn("_plain", F.replace(plain, F.lit("\u00a0"), F.lit(" ")))
+    for literals, steps in POLISH:
+        changed = replace_all(plain, steps)
+        if literals:
+            possible = reduce(lambda a, b: a | b, [plain.contains(x) for x in literals])
+            changed = F.when(possible, changed).otherwise(plain)
+        df = df.withColumn("_plain", changed)
+    lines = F.transform(split_lines(plain), trim_ws)
     return df.withColumn(out, trim_ws(join_lines(lines))).drop("_markup", "_plain")
 
 

@@ -93,10 +93,12 @@ def trim_disclaimer_tail(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def weak_score(line) -> Column:
+    """Number of weak patterns that match; one test of all of them settles most lines."""
     score = F.lit(0)
     for _, regex in P.SIGNATURE_WEAK:
         score = score + line.rlike(regex).cast("int")
-    return score
+    some = "|".join(f"(?:{regex})" for _, regex in P.SIGNATURE_WEAK)
+    return F.when(line.rlike(rf"\A(?:{some})"), score).otherwise(0)
 
 
 def cut_signature(df: DataFrame, src: str, out: str, config: CleanerConfig = DEFAULTS) -> DataFrame:

@@ -158,7 +158,7 @@ def js_text(value: str) -> str:
 def review_reasons() -> str:
     """The fired review rules in order, on the raw values; a missing value never fires."""
     overall, confidence = J.to_number("raw_score_overall"), J.to_number("raw_confidence")
-    no_items = f"(NOT {J.truthy('raw_action_items')} OR size({J.elements('raw_action_items')}) = 0)"
+    no_items = f"(NOT {J.truthy('raw_action_items')} OR array_size({J.elements('raw_action_items')}) = 0)"
     rules = [
         (f"{overall} < {LOW_CONFIDENCE}", f"concat('low overall confidence (', {js_text('raw_score_overall')}, ')')"),
         (f"{confidence} < {LOW_CONFIDENCE}", f"concat('low classification confidence (', {js_text('raw_confidence')}, ')')"),

@@ -69,7 +69,7 @@ def strip_disclaimers(df: DataFrame, src: str, out: str, lowered: str = None) ->
 
 def trim_disclaimer_tail(df: DataFrame, src: str, out: str) -> DataFrame:
     """Drop blank lines, then cut at the first disclaimer-like line among the last three."""
-    lines, size = F.col("_lines"), F.size("_lines")
+    lines, size = F.col("_lines"), F.array_size("_lines")
 
     def suspicious(line):
         low = F.lower(line)
@@ -103,7 +103,7 @@ def weak_score(line) -> Column:
 
 def cut_signature(df: DataFrame, src: str, out: str, config: CleanerConfig = DEFAULTS) -> DataFrame:
     """Cut at a delimiter line, at a device line, or where enough weak signs add up."""
-    text, lines, size = F.col(src), F.col("_lines"), F.size("_lines")
+    text, lines, size = F.col(src), F.col("_lines"), F.array_size("_lines")
     scan_from = F.floor(size * 3 / 5).cast("int")
 
     def first_lines(n):
@@ -156,7 +156,7 @@ def truncate_text(df: DataFrame, src: str, out: str, config: CleanerConfig = DEF
 
 def segment_mail(df: DataFrame, src: str) -> DataFrame:
     """Add ``pretext``, ``core`` (before the fallback to the whole text) and ``posttext``."""
-    lines, size = F.col("_lines"), F.size("_lines")
+    lines, size = F.col("_lines"), F.array_size("_lines")
     head = F.transform(F.slice(lines, 1, P.GREETING_LINES), lambda x: any_match(trim_ws(x), P.GREETINGS))
     tail_from = F.greatest(size - P.CLOSING_LINES, F.lit(0))
     tail = F.transform(
@@ -164,7 +164,7 @@ def segment_mail(df: DataFrame, src: str) -> DataFrame:
     )
     last = F.array_position(F.reverse(tail), True).cast("int")
     # Lines in front of the closing; all lines when there is none.
-    ahead = F.when(last > 0, tail_from + F.size(tail) - last).otherwise(size)
+    ahead = F.when(last > 0, tail_from + F.array_size(tail) - last).otherwise(size)
     greeting = F.array_position(head, True).cast("int")
     return (
         df.withColumn("_lines", F.filter(split_lines(F.col(src)), lambda x: trim_ws(x) != ""))

@@ -80,7 +80,7 @@ def number_per_key(df: DataFrame, key: str, order: str, out: str, start: DataFra
     if cuts:
         known = F.array(*[F.lit(c) for c in cuts])
         # A missing order value comes first, as in the sort below.
-        below = F.when(value.isNull(), 0).otherwise(F.size(F.filter(known, lambda c: c < value)))
+        below = F.when(value.isNull(), 0).otherwise(F.array_size(F.filter(known, lambda c: c < value)))
         at_cut = F.coalesce(F.array_contains(known, value), F.lit(False)).cast("int")
     if heavy:
         # The top bits of a signed hash sort like the hash itself.

@@ -20,7 +20,7 @@ def leading_rows(scope: DataFrame, value: Column, ascending: bool, offset: int):
         if not cuts:
             return None, 0
         # Row counts by the number of cuts a row has reached: at most one row per cut.
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), reached))
+        bucket = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), reached))
         counts = dict(rest.groupBy(bucket.alias("b")).count().collect())
         in_front, best, gain = 0, None, 0
         for i, cut in enumerate(cuts):

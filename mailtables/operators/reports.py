@@ -34,7 +34,7 @@ def pattern_hits(df: DataFrame) -> DataFrame:
         tests.append(("signature", name, some_line(F.col("_lines"), regex)))
     for name, regex in P.GREETINGS:
         tests.append(("greeting", name, some_line(F.slice("_body", 1, P.GREETING_LINES), f"(?i){regex}")))
-    last = F.slice("_body", F.greatest(F.size("_body") - P.CLOSING_LINES, F.lit(0)) + 1, F.lit(P.CLOSING_LINES))
+    last = F.slice("_body", F.greatest(F.array_size("_body") - P.CLOSING_LINES, F.lit(0)) + 1, F.lit(P.CLOSING_LINES))
     for name, regex in P.CLOSINGS:
         tests.append(("closing", name, some_line(last, f"(?i){regex}")))
     df = df.withColumn("_low", F.lower("html_text")).withColumn("_lines", lines).withColumn("_body", body_lines)
@@ -131,5 +131,8 @@ def run_report(df: DataFrame) -> DataFrame:
 
 
 def run_rows(df: DataFrame) -> DataFrame:
-    """The per-mail part of the run report."""
-    return df.select("req_id", "was_translated", "process_label", "summary", "requires_human_review", "review_reason")
+    """The per-mail part of the run report; rows of the cleaned table have no label."""
+    label = F.col("process_label") if "process_label" in df.columns else F.lit(None).cast("string")
+    return df.select(
+        "req_id", "was_translated", label.alias("process_label"), "summary", "requires_human_review", "review_reason"
+    )

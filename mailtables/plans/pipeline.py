@@ -29,27 +29,28 @@ TOKENS = [f"{prefix}{side}_tokens" for _, prefix, _ in STAGES for side in ("in",
 
 
 def clean_and_join(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),
-                   unique: bool = False) -> DataFrame:
+                   latest_only: bool = False) -> DataFrame:
     """Cleaned mails with their replies; the only shuffle of the pipeline, on ``rec_id``.
 
-    Mails travel as their clean text only; the segments are cut from it behind the shuffle.
-    ``unique`` promises one mail per key. Such mails cannot be skewed, and if an aggregate made
-    them so, they already lie where the join needs them.
+    Mails travel as their clean text, which is much smaller than the HTML; the segments are cut
+    from it behind the shuffle. ``latest_only`` keeps the last arrival of each key: the aggregate
+    that does so leaves the mails where the join needs them, and no key is hot behind it.
     """
     cleaned = clean_body(emails, "body_html", config).drop("body_html")
     replies = responses.select("rec_id", *REPLIES, *[c for c in TOKENS if c in responses.columns])
-    if unique:
-        joined = cleaned.join(one_per_key(replies, "rec_id"), "rec_id", "left")
+    if latest_only:
+        newest = latest_per_key(cleaned, "rec_id", "created_ts")
+        joined = newest.join(one_per_key(replies, "rec_id"), "rec_id", "left")
     else:
         joined = join_unique(cleaned, replies, "rec_id", keys=emails.select("rec_id"))
     return describe_mail(joined).withColumn("body", F.col("clean_text"))
 
 
 def process_emails(emails: DataFrame, responses: DataFrame, config: CleanerConfig = CleanerConfig(),
-                   unique: bool = False) -> DataFrame:
+                   latest_only: bool = False) -> DataFrame:
     """One analysed row per mail; mails without a key are left to ``isolate_bad_rows``."""
     good, _ = isolate_bad_rows(emails)
-    return analyse(apply_email_translation(clean_and_join(good, responses, config, unique)))
+    return analyse(apply_email_translation(clean_and_join(good, responses, config, latest_only)))
 
 
 def storage_rows(processed: DataFrame, arrival: str = "created_ts", *others: str) -> DataFrame:
@@ -71,11 +72,10 @@ def ingest_batch(emails: DataFrame, responses: DataFrame, current: DataFrame, ru
                  config: CleanerConfig = CleanerConfig()):
     """Tickets into the next snapshot of the cleaned table: ``(snapshot, report, dead letters)``.
 
-    Only the last arrival of each request can win the upsert, so older ones are dropped before
-    the expensive steps.
+    Only the last arrival of each request can win the upsert, so only it is analysed.
     """
     good, bad = isolate_bad_rows(only_type(emails))
-    batch = storage_rows(process_emails(latest_per_key(good, "rec_id", "created_ts"), responses, config, unique=True))
+    batch = storage_rows(process_emails(good, responses, config, latest_only=True))
     report = run_report(batch.withColumn("table", F.lit(CLEANED)).withColumnRenamed("translated", "was_translated"))
     before = current if current is not None else empty_snapshot(batch, run_ts)
     return merge_rows(before, batch, run_ts), report, bad

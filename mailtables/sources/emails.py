@@ -17,7 +17,7 @@ def spread(df: DataFrame) -> DataFrame:
     core, as any large one has, is left alone and keeps a plan without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scan_emails(spark: SparkSession, path: str, type_filter: str = TICKETS, fmt: str = "parquet") -> DataFrame:
@@ -60,7 +60,7 @@ def page_totals(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``total`` of each page: its count field, else the length of a bare array, else 0."""
     page = F.from_json(payload, ENVELOPE)
     counted = F.nullif(page["TotalCount"], F.lit(0))
-    return df.withColumn("total", F.coalesce(counted, F.size(bare_list(payload)), F.lit(0)).cast("long"))
+    return df.withColumn("total", F.coalesce(counted, F.array_size(bare_list(payload)), F.lit(0)).cast("long"))
 
 
 def page_emails(df: DataFrame, page: int = 1, size: int = 10, order_by: str = "created_ts",

@@ -278,3 +278,24 @@ def test_sinks(spark):
     again = TB.append_reprocess(spark.read.parquet(f"{work}/history"), batch(spark, (1, "b", 1)), F.expr(AT))
     TB.write_history(again, f"{work}/history", "2")
     assert sorted(r.process_label for r in spark.read.parquet(f"{work}/history").collect()) == ["process1", "process2"]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_results_do_not_depend_on_ansi_mode(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(1, "{}"), (2, "[{}]"), (3, None)], "i int, payload string")
+        assert [r.total for r in S.page_totals(df).orderBy("i").collect()] == [0, 1, 0]
+        rows = PL.process_emails(X.emails(spark, SMALL), X.responses(spark, SMALL))
+        assert rows.filter("summary is null or clean_text is null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_null_text_is_tolerated(spark):
+    df = spark.createDataFrame([(1, None)], "rec_id long, body_html string")
+    from mailtables.operators import cleaning as C
+
+    row = C.clean_emails(df).first()
+    assert (row.clean_text, row.core, row.original_length, row.compression_ratio) == ("", "", 0, "100.00%")

@@ -10,7 +10,7 @@ from .text import join_lines, normalise, split_lines, trim_ws
 
 ENTITY = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
-# Office markup, conditional comments, style and script blocks, one-pixel images.
+# Office markup, conditional comments, style and script blocks, one-pixel images.
 NOISE = [
     r"(?is)<o:p>\s*</o:p>",
     r"(?is)<v:.*?>\s*</v:.*?>",
@@ -37,7 +37,7 @@ BLOCK_EDGE = rf"(?i)</?(?:{'|'.join(BLOCK_ELEMENTS)})\b[^>]*>"
 TABLE_PART = r"(?i)</?(?:tr|tbody|thead|tfoot)\b[^>]*>"
 ANY_TAG = r"(?i)<[/]?[a-z!?][^>]*>"
 
-# Clean-up of the plain text, in this order: regexes behind literals one of which every match
+# Clean-up of the plain text, in this order: regexes behind literals one of which every match
 # of them contains (none: always tried).
 POLISH = [
     ([], [(r"[\x{200B}-\x{200D}\x{FEFF}]", "")]),
@@ -46,7 +46,7 @@ POLISH = [
     (["...", "!!!", "???"], [(r"([.!?])\1{2,}", "$1")]),
     ([], [(r"(?im)^\s*[\[(]?cid:.*?[\])]?\s*$", "")]),
     (
-        ["["],
+        ["]"],
         [(r"(?i)\[image:.*?\]", ""), (r"(?i)\[Image removed by sender\]", ""), (r"(?i)\[cid:.*?\]", "")],
     ),
 ]

@@ -24,6 +24,16 @@ PLAN_FAILED = "Fallback due to processing error"
 REVIEW_REQUIRED = "Human review required"
 ANALYSIS_FAILED = "Analysis failed - requires manual review"
 PIPELINE_FAILED = "Processing error occurred"
+REVIEW_PREFIX = "Requires review: "
+LOW_OVERALL = "low overall confidence"
+LOW_CLASSIFICATION = "low classification confidence"
+UNCERTAIN_CATEGORY = "uncertain category classification"
+UNCERTAIN_PRIORITY = "uncertain priority classification"
+NO_ITEMS = "no action items despite high confidence"
+ANALYSIS_FAILED_SUMMARY = "Email analysis failed. "
+PIPELINE_FAILED_SUMMARY = "Email processing failed. "
+FALLBACK_LABELS = {"category": "other", "priority": "medium", "sentiment": "neutral"}
+SENTENCE_LABELS = {"category": "general inquiry", "priority": "medium", "sentiment": "neutral"}
 
 SCORES = ["overall", "classification", "structured_data", "action_items"]
 PARTS = ["classification", "structured_data", "action_items", "summary", "confidence_scores"]
@@ -160,19 +170,19 @@ def review_reasons() -> str:
     overall, confidence = J.to_number("raw_score_overall"), J.to_number("raw_confidence")
     no_items = f"(NOT {J.truthy('raw_action_items')} OR array_size({J.elements('raw_action_items')}) = 0)"
     rules = [
-        (f"{overall} < {LOW_CONFIDENCE}", f"concat('low overall confidence (', {js_text('raw_score_overall')}, ')')"),
-        (f"{confidence} < {LOW_CONFIDENCE}", f"concat('low classification confidence (', {js_text('raw_confidence')}, ')')"),
+        (f"{overall} < {LOW_CONFIDENCE}", f"concat('{LOW_OVERALL} (', {js_text('raw_score_overall')}, ')')"),
+        (f"{confidence} < {LOW_CONFIDENCE}", f"concat('{LOW_CLASSIFICATION} (', {js_text('raw_confidence')}, ')')"),
         (
             f"{J.as_text('raw_category')} = 'other' AND {confidence} < {LOW_FOR_OTHER}",
-            "'uncertain category classification'",
+            f"'{UNCERTAIN_CATEGORY}'",
         ),
         (
             f"{J.as_text('raw_priority')} = 'medium' AND {confidence} < {LOW_FOR_MEDIUM}",
-            "'uncertain priority classification'",
+            f"'{UNCERTAIN_PRIORITY}'",
         ),
         (
             f"{no_items} AND {J.to_number('raw_score_action_items')} > {LOW_CONFIDENCE}",
-            "'no action items despite high confidence'",
+            f"'{NO_ITEMS}'",
         ),
     ]
     return f"array_compact(array({', '.join(f'CASE WHEN {test} THEN {reason} END' for test, reason in rules)}))"
@@ -182,7 +192,7 @@ def review_flags(df: DataFrame) -> DataFrame:
     return add(
         add(df, _reasons=review_reasons()),
         requires_human_review="size(_reasons) > 0",
-        review_reason="CASE WHEN size(_reasons) > 0 THEN concat('Requires review: ', array_join(_reasons, ', ')) END",
+        review_reason=f"CASE WHEN size(_reasons) > 0 THEN concat('{REVIEW_PREFIX}', array_join(_reasons, ', ')) END",
     ).drop("_reasons")
 
 
@@ -192,12 +202,12 @@ def resolve_summary() -> str:
     reply = rf"regexp_replace({unquoted}, r'(?i)\A\s*Summary:\s*', '')"
     picked = f"CASE WHEN {needs_summary()} THEN {reply} ELSE {J.as_text('raw_summary')} END"
 
-    def named(name, default):
-        return f"coalesce({J.truthy_text(f'raw_{name}')}, '{default}')"
-
+    category, priority, sentiment = (
+        f"coalesce({J.truthy_text(f'raw_{name}')}, '{default}')" for name, default in SENTENCE_LABELS.items()
+    )
     built = (
-        f"concat('Email about ', {named('category', 'general inquiry')}, ' (', {named('priority', 'medium')},"
-        f" ' priority, ', {named('sentiment', 'neutral')}, ' sentiment). ', {sentence('body')})"
+        f"concat('Email about ', {category}, ' (', {priority}, ' priority, ', {sentiment}, ' sentiment). ',"
+        f" {sentence('body')})"
     )
     return f"coalesce(nullif({picked}, ''), {built})"
 
@@ -206,8 +216,9 @@ def with_fallback(df: DataFrame) -> DataFrame:
     """Replace failed analyses; ``failure`` is NULL, ``analysis`` or ``pipeline`` (no body to quote)."""
     quoted = """'Original subject: "', coalesce(subject, ''), '". '"""
     half = FALLBACK_CONFIDENCE
+    labels = ", ".join(f"'{name}', '{value}'" for name, value in FALLBACK_LABELS.items())
     fixed = {
-        "classification": f"named_struct('category', 'other', 'priority', 'medium', 'sentiment', 'neutral', 'confidence', {half})",
+        "classification": f"named_struct({labels}, 'confidence', {half})",
         "structured_data": f"CAST(array() AS {PAIRS_TYPE})",
         "structured_confidence": half,
         "action_items": f"CAST(array() AS {ITEMS_TYPE})",
@@ -222,8 +233,8 @@ def with_fallback(df: DataFrame) -> DataFrame:
     kept = {name: f"CASE WHEN failure IS NULL THEN {name} ELSE {sql} END" for name, sql in fixed.items()}
     return add(
         df,
-        summary=f"CASE failure WHEN 'pipeline' THEN concat('Email processing failed. ', {quoted}, 'Requires manual review.')"
-        f""" WHEN 'analysis' THEN concat('Email analysis failed. ', {quoted}, 'First sentence: "', {sentence('body')}, '"')"""
+        summary=f"CASE failure WHEN 'pipeline' THEN concat('{PIPELINE_FAILED_SUMMARY}', {quoted}, 'Requires manual review.')"
+        f""" WHEN 'analysis' THEN concat('{ANALYSIS_FAILED_SUMMARY}', {quoted}, 'First sentence: "', {sentence('body')}, '"')"""
         " ELSE summary END",
         requires_human_review="failure IS NOT NULL OR requires_human_review",
         review_reason=f"CASE failure WHEN 'pipeline' THEN '{PIPELINE_FAILED}' WHEN 'analysis' THEN '{ANALYSIS_FAILED}' ELSE review_reason END",

@@ -23,17 +23,12 @@ from ..functions.text import (
 )
 
 DEFAULTS = CleanerConfig()
+# The guard for short texts and the length of the preview.
 SHORT_TEXT = 10
 SHORT_WARNING = "Content too short or empty after HTML cleaning"
 PREVIEW = 150
 
 
-def thread_position(text, lowered, literal, regex) -> Column:
-    """0-based position of the first match; NULL unless it lies behind the opening."""
-    position = F.when(lowered.contains(literal), F.length(text_before(text, regex)))
-    return F.when(position > P.THREAD_MIN_POSITION, position)
-
-
 def with_lower(df: DataFrame, src: str, lowered) -> DataFrame:
     """Add ``_lower`` for the literal tests, from ``src`` unless an earlier step has it already."""
     return df.withColumn("_lower", F.col(lowered) if lowered else F.lower(src))
@@ -42,8 +37,12 @@ def with_lower(df: DataFrame, src: str, lowered) -> DataFrame:
 def cut_thread(df: DataFrame, src: str, out: str, lowered: str = None) -> DataFrame:
     """Keep the newest message. Only the first match of a marker counts, and only behind position 50."""
     lower, text = F.col("_lower"), F.col(src)
-    positions = [thread_position(text, lower, literal, regex) for _, literal, regex in P.THREAD_MARKERS]
-    newest = trim_ws(left_chars(text, F.least(F.length(text), *positions)))
+    positions = F.array(
+        *[F.when(lower.contains(literal), F.length(text_before(text, regex))) for _, literal, regex in P.THREAD_MARKERS]
+    )
+    # A text without a match is its own length long, which is no cut.
+    cut = F.array_min(F.filter(positions, lambda p: p > P.THREAD_MIN_POSITION))
+    newest = trim_ws(left_chars(text, F.coalesce(cut, F.length(text))))
     unquoted = trim_ws(F.regexp_replace(newest, r"(?m)\n>+\s*$", ""))
     return with_lower(df, src, lowered).withColumn(out, unquoted).drop("_lower")
 

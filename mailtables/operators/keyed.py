@@ -65,7 +65,7 @@ def number_per_key(df: DataFrame, key: str, order: str, out: str, start: DataFra
     quantiles; a value so frequent that it fills whole quantiles gets a bucket of its own, cut
     again by the row hash. Numbers run inside (key, bucket) and are moved up by the row counts of
     the earlier buckets of the key. Any cut points give the same numbers; good ones give even
-    tasks. The cut points are one row of at most ``MAX_CUTS`` values.
+    tasks. A small job over the order column fetches them at once: one row of ``MAX_CUTS`` values.
     """
     payload = [c for c in df.columns if c != key]
     value = F.col(order)

@@ -299,3 +299,21 @@ def test_null_text_is_tolerated(spark):
 
     row = C.clean_emails(df).first()
     assert (row.clean_text, row.core, row.original_length, row.compression_ratio) == ("", "", 0, "100.00%")
+
+
+def test_scans_push_filters_and_prune_columns(spark):
+    path = f"{shared_dir(spark, 'test-scan')}/mails"
+    X.emails(spark, SMALL).write.parquet(path)
+    plan = S.lookup_source(S.scan_emails(spark, path), 42).select("rec_id", "subject")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(type,Tickets)" in plan and "EqualTo(rec_id,42)" in plan
+    assert "body_html" not in plan[plan.index("ReadSchema") :]
+    page = S.page_emails(S.scan_emails(spark, path), 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in page
+
+
+def test_filters_do_not_repeat_the_cleaning(spark):
+    from mailtables.operators import cleaning as C
+
+    df = C.clean_emails(X.emails(spark, SMALL)).filter("length(clean_text) > 50 and core not like 'x%'")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Begin forwarded message:") == 1

@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for intermediate tables."""
 
+import functools
 import tempfile
 import uuid
 
@@ -27,16 +28,24 @@ def local_session(cpus="*", **extra):
 
 
 def shared_dir(spark, purpose):
-    """A fresh folder under ``spark.checkpoint.dir``.
-
-    The folder has to be visible to every executor, so a machine-local temporary folder is
-    only accepted when the whole session is local and names no checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach."""
+    root = checkpoint_dir(spark)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="mailtables-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark):
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def with_shared_dir(query):
+    """``query`` for sessions that may name no shared folder: one of its own if all runs in this process."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        if not checkpoint_dir(spark) and spark.sparkContext.master.startswith("local["):
+            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mailtables-"))
+        return query(spark, sf_dir)
+
+    return run

@@ -7,6 +7,8 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import shared_dir
 
@@ -45,20 +47,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def as_struct(schema) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def arrow_schema(schema) -> pa.Schema:
+    return to_arrow_schema(as_struct(schema))
+
+
+def fields(kept: list, more: str) -> StructType:
+    """The schema of kept fields, whatever their names, and the new ones."""
+    return StructType([*kept, *StructType.fromDDL(more)])
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``fn(batch) -> iterable of dicts of arrays`` over the Arrow batches of ``df``."""
     ship(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for made in fn(batch):
                 yield record(made, target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, as_struct(schema))
 
 
 def record(columns: dict, target: pa.Schema) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import arrow_map, record, ship, stored
+from .common import arrow_map, arrow_schema, record, ship, stored
 from .tokens import encoder
 
 BLOCK = 65_536
@@ -81,10 +81,7 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     are ignored.
     """
     ship(docs.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(FILE))
+    schema = arrow_schema(FILE)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), body.alias("t"), F.xxhash64(body).alias("h"))
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h")

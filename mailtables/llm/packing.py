@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import record, ship, stored
+from .common import arrow_schema, record, ship, stored
 from .tokens import encoder
 
 LENGTH = 2048
@@ -64,10 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """``uid, doc_id, piece, start, length, ids_crc32``: whole texts as ids with ``end_id`` behind,
     cut into pieces of ``length`` ids where longer. ``uid`` is a number of the piece's own."""
     ship(docs.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(PIECES))
+    schema = arrow_schema(PIECES)
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
 

@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import idfile, mixing, packing, sharding, warc
-from .common import table, word_count
+from . import idfile, jaccard, mixing, packing, pii, quality, sharding, topk, toxicity, warc
+from .common import stored, table, word_count
 
 QUERIES = {}
 
@@ -23,6 +23,21 @@ def op1_sharding(spark, sf_dir):
     return sharding.place(docs, "doc_id", SHARDS).withColumn("shard", F.col("shard").cast("long"))
 
 
+@query
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_exact_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).drop("source")
+
+
 @query
 def op5_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -39,7 +54,7 @@ def op6_warc(spark, sf_dir):
 
 
 # The domain of a source, and how many parts of the mixture each value gets.
-DOMAINS = "element_at(array('web', 'books', 'code', 'forums'), cast(substring(source, 4) as int) % 4 + 1)"
+DOMAINS = "get(array('web', 'books', 'code', 'forums'), try_cast(substring(source, 4) as int) % 4)"
 WEIGHTS = {
     "domain": {"web": 2, "books": 4, "code": 3, "forums": 1},
     "lang": {"en": 6, "de": 2, "fr": 2, "es": 2},
@@ -51,10 +66,22 @@ PERMILLE, EPOCHS, SEED = 600, 2, 7
 @query
 def op7_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_count(F.col("text")).alias("n"))
-    mixed = mixing.mix(docs, "doc_id", F.col("n"), F.expr(DOMAINS), WEIGHTS, PERMILLE, EPOCHS, SEED)
+    mixed = mixing.mix(stored(docs, "lengths"), "doc_id", F.col("n"), F.expr(DOMAINS), WEIGHTS, PERMILLE, EPOCHS, SEED)
     return mixed.select("_row.doc_id", "epoch", "domain", "_row.lang", "_row.source", "taken")
 
 
+@query
+def op8_personal_data(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op10_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -9,7 +9,7 @@ import os
 import re
 from array import array
 
-MEMORY = 150_000
+MEMORY = 400_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LOOSE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")

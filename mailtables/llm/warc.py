@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, record, ship, stored
+from .common import arrow_map, arrow_schema, record, ship, stored
 
 SEGMENT = 64 << 10
 PORTION = 16 << 10
@@ -83,10 +83,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     of the header, other columns are ignored, and an empty table gives no archives.
     """
     ship(pages.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(ARCHIVES))
+    schema = arrow_schema(ARCHIVES)
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").alias("u"), body.alias("p"),

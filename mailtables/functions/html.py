@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CleanerConfig
-from .patterns import BLOCK_ELEMENTS, EARLY_ENTITIES, NAMED_ENTITIES, SKIPPED_ELEMENTS
-from .text import join_lines, normalise, split_lines, trim_ws
+from .patterns import EARLY_ENTITIES, LINE_ELEMENTS, NAMED_ENTITIES, PARAGRAPH_ELEMENTS, SKIPPED_ELEMENTS
+from .text import join_lines, normalise, plain_breaks, split_lines, trim_ws
 
 ENTITY = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
@@ -30,12 +30,26 @@ LINKS = [
     (LINK_START + r"(.*?)</a\s*>", "$2 [$1]"),
 ]
 
-LINE_BREAK = r"(?i)<br\b[^>]*>"
-LIST_ITEM = r"(?i)<li\b[^>]*>"
+# The rest of a tag; a ">" inside quotation marks does not end it.
+TAG_REST = r"""\b(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|[^>]*>)"""
+LINE_BREAK = r"(?i)<br" + TAG_REST
+LIST_ITEM = r"(?i)<li" + TAG_REST
 CELL_END = r"(?i)</t[dh]\s*>"
-BLOCK_EDGE = rf"(?i)</?(?:{'|'.join(BLOCK_ELEMENTS)})\b[^>]*>"
-TABLE_PART = r"(?i)</?(?:tr|tbody|thead|tfoot)\b[^>]*>"
-ANY_TAG = r"(?i)<[/]?[a-z!?][^>]*>"
+LINE_EDGE = rf"(?i)</?(?:{'|'.join(LINE_ELEMENTS)})" + TAG_REST
+PARAGRAPH_EDGE = rf"(?i)</?(?:{'|'.join(PARAGRAPH_ELEMENTS)})" + TAG_REST
+TABLE_PART = r"(?i)</?(?:tr|tbody|thead|tfoot)" + TAG_REST
+ANY_TAG = r"(?i)</?(?:[a-z]" + TAG_REST.removeprefix(r"\b") + r"|[!?][^>]*>)"
+# Marks that no text holds (noncharacters), for edges of lines and paragraphs and for explicit breaks.
+EDGE, GAP, BREAK = "\ufdd0", "\ufdd1", "\ufdd2"
+# Edges that touch give one line end, or one empty line where a paragraph is among them; blanks between
+# tags mean nothing. The bound in front keeps long runs of blanks cheap.
+MARKS_TO_BREAKS = [
+    (rf"\s{{0,40}}{BREAK}\s*", BREAK),
+    (rf"{EDGE}[\s{EDGE}]*{GAP}", GAP),
+    (rf"\s{{0,40}}{GAP}[\s{EDGE}{GAP}]*", "\n\n"),
+    (rf"\s{{0,40}}{EDGE}[\s{EDGE}]*", "\n"),
+    (BREAK, "\n"),
+]
 
 # Clean-up of the plain text, in this order: regexes behind literals one of which every match
 # of them contains (none: always tried).
@@ -89,10 +103,14 @@ def decode_entities(col) -> Column:
         F.array(*[F.lit(v) for v in NAMED_ENTITIES.values()]),
     )
 
+    # What browsers show for the numbers 128 to 159: the Windows character of that byte.
+    windows = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+    shown = F.create_map(*[F.lit(x) for pair in windows.items() for x in pair])
+
     def code_point(point):
         valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point <= 0x10FFFF))
         char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "utf-32")
-        return F.when(valid, char).otherwise(F.lit("�"))
+        return F.coalesce(F.try_element_at(shown, point.cast("int")), F.when(valid, char).otherwise(F.lit("�")))
 
     def decode(entity):
         name = F.regexp_extract(entity, ENTITY, 1)
@@ -114,9 +132,9 @@ def markup_to_text(col, config: CleanerConfig) -> Column:
     """Turn tags into line breaks and blanks; ``col`` has no skipped elements any more."""
     if config.preserve_links:
         col = replace_all(col, LINKS)
-    steps = [(LINE_BREAK, "\n"), (LIST_ITEM, "\n* ")]
+    steps = [(LINE_BREAK, BREAK), (LIST_ITEM, EDGE + "* ")]
     steps += [(CELL_END, " ")] if config.preserve_tables else [(TABLE_PART, "")]
-    return replace_all(col, steps + [(BLOCK_EDGE, "\n"), (ANY_TAG, "")])
+    return replace_all(col, [*steps, (LINE_EDGE, EDGE), (PARAGRAPH_EDGE, GAP), (ANY_TAG, ""), *MARKS_TO_BREAKS])
 
 
 def html_to_text(df: DataFrame, src: str, out: str, config: CleanerConfig = CleanerConfig()) -> DataFrame:
@@ -138,7 +156,7 @@ def html_to_text(df: DataFrame, src: str, out: str, config: CleanerConfig = Clea
         .withColumn("_plain", where("<", markup_to_text(markup, config)))
         .withColumn("_plain", decode_entities(plain))
     )
-    df = df.withColumn("_plain", F.replace(plain, F.lit("\u00a0"), F.lit(" ")))
+    df = df.withColumn("_plain", plain_breaks(F.replace(plain, F.lit("\u00a0"), F.lit(" "))))
     for literals, steps in POLISH:
         changed = replace_all(plain, steps)
         if literals:

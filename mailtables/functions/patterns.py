@@ -109,12 +109,15 @@ EARLY_ENTITIES = [
 # Elements whose content is dropped.
 SKIPPED_ELEMENTS = ["style", "script", "head", "nav", "iframe", "noscript", "svg", "canvas"]
 
-# Elements that start and end on a line of their own.
-BLOCK_ELEMENTS = [
-    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog",
-    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
-    "h4", "h5", "h6", "header", "hr", "html", "main", "ol", "p", "pre", "section", "table",
-    "tbody", "tfoot", "thead", "title", "tr", "ul",
+# Elements that start and end on a line of their own, and those set apart by an empty line.
+LINE_ELEMENTS = [
+    "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "header", "html", "li", "main", "section", "tbody",
+    "tfoot", "thead", "tr",
+]
+PARAGRAPH_ELEMENTS = [
+    "address", "blockquote", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "ol", "p", "pre",
+    "table", "title", "ul",
 ]
 
 # The named references of HTML 4, from the standard library.

@@ -11,11 +11,16 @@ def trim_ws(col) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 
 
+def plain_breaks(col) -> Column:
+    """Line ends beyond LF (U+0085, U+2028, U+2029), on which regex engines differ, become LF."""
+    return F.translate(col, "\u0085\u2028\u2029", "\n\n\n")
+
+
 def normalise(col) -> Column:
-    """CR and CRLF become LF, no-break spaces become spaces."""
+    """Every kind of line end becomes LF, no-break spaces become spaces."""
     for old, new in [("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " ")]:
         col = F.replace(col, F.lit(old), F.lit(new))
-    return col
+    return plain_breaks(col)
 
 
 def split_lines(col) -> Column:

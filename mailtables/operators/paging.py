@@ -1,65 +1,51 @@
-"""Pages far behind the start of an order, without sorting everything in front of them."""
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-SKIP_AT = 10_000
-POINTS = [i / 500 for i in range(500)]
+"""Pages at any distance from the start of an order, without sorting everything into one place."""
 
+from functools import reduce
 
-def leading_rows(scope: DataFrame, value: Column, ascending: bool, offset: int):
-    """A value with at most ``offset`` rows of ``scope`` in front of it, and their number."""
+from pyspark.sql import Column, DataFrame, functions as F
 
-    def reached(cut):
-        return value >= cut if ascending else value <= cut
 
-    low, skipped = None, 0
-    while True:
-        rest = scope if low is None else scope.filter(reached(F.lit(low)))
-        points = rest.agg(F.percentile_approx(value, POINTS, 5_000)).first()[0]
-        cuts = sorted(set(points or []), reverse=not ascending)
-        if not cuts:
-            return None, 0
-        # Row counts by the number of cuts a row has reached: at most one row per cut.
-        bucket = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), reached))
-        counts = dict(rest.groupBy(bucket.alias("b")).count().collect())
-        in_front, best, gain = 0, None, 0
-        for i, cut in enumerate(cuts):
-            in_front += counts.get(i, 0)
-            if in_front <= offset - skipped:
-                best, gain = cut, in_front
-        if best is None:
-            return low, skipped
-        low, skipped = best, skipped + gain
-        if gain == 0:
-            return low, skipped
+def in_order(name: str, up: bool) -> Column:
+    """NULL comes first upwards and last downwards."""
+    return F.col(name).asc_nulls_first() if up else F.col(name).desc_nulls_last()
 
 
-def ordered_page(df: DataFrame, order: list, offset: int, limit: int, skip_at: int = SKIP_AT) -> DataFrame:
+def not_before(order: list, row) -> Column:
+    """Rows that are not in front of ``row`` in the order."""
+    tied, behind = F.lit(True), []
+    for name, up in order:
+        value, at = F.col(name), F.lit(row[name])
+        if row[name] is None:
+            later, same = (value.isNotNull() if up else F.lit(False)), value.isNull()
+        else:
+            later = (value > at) if up else (value < at) | value.isNull()
+            same = value == at
+        behind.append(tied & F.coalesce(later, F.lit(False)))
+        tied = tied & F.coalesce(same, F.lit(False))
+    return reduce(lambda a, b: a | b, behind) | tied
+
+
+def ordered_page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """``limit`` rows behind ``offset`` rows, by ``[(column, ascending), ...]``.
 
-    A top-k plan makes every task send ``offset + limit`` rows to one place. For a large offset,
-    a few counting jobs over the order columns (each returning at most some hundred counts) find
-    a row with nearly ``offset`` rows in front of it; those rows are filtered out at the scan.
-    The counts are exact, so any choice of cuts gives the same page. A text column has no
-    quantiles and ends the search.
+    One way for every offset and type of column: one job sorts the order columns alone into ranges and
+    returns the size and the first row of each (a row for each shuffle partition). The page starts in
+    the range where the sizes add up to the offset, so only rows from that range's first one on are
+    read for it, and a task sends at most a range's rows and the page to the final sort.
     """
-    types = dict(df.dtypes)
-    passed, tied, scope = F.lit(False), F.lit(True), df.select(*dict.fromkeys(c for c, _ in order))
-    levels = []
-    for name, up in order:
-        # NULL comes first upwards and last downwards.
-        null_flag = F.when(F.col(name).isNull(), 0 if up else 1).otherwise(1 if up else 0)
-        levels += [(null_flag, True, "int"), (F.col(name), up, types[name])]
-    for value, up, kind in levels:
-        if offset <= skip_at or kind == "string":
+    sort = [in_order(c, up) for c, up in order]
+    names = list(dict.fromkeys(c for c, _ in order))
+    ranges = df.select(*names).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # A range is read in its order, so the first row met is its smallest.
+    sizes = ranges.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count("*").alias("rows"), F.first(F.struct(*names)).alias("start")
+    )
+    before, start = 0, None
+    for part in sizes.orderBy("part").collect():
+        if before + part.rows > offset:
+            start = part.start
             break
-        low, skipped = leading_rows(scope, value, up, offset)
-        if low is None:
-            continue
-        offset -= skipped
-        behind = value > F.lit(low) if up else value < F.lit(low)
-        passed = passed | (tied & F.coalesce(behind, F.lit(False)))
-        tied = tied & F.coalesce(value == F.lit(low), F.lit(False))
-        scope = scope.filter(value == F.lit(low))
-    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    return df.filter(passed | tied).orderBy(*sort).offset(offset).limit(limit)
+        before += part.rows
+    if start is None:
+        return df.limit(0)
+    return df.filter(not_before(order, start)).orderBy(*sort).offset(offset - before).limit(limit)

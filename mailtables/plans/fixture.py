@@ -15,7 +15,7 @@ TEXT_BODY = """concat(
     case doc_id % 7 when 0 then concat('Thanks,', chr(10)) when 1 then concat('Best regards,', chr(10)) when 2 then concat('Looking forward to it', chr(10)) else '' end,
     case doc_id % 11 when 0 then concat('Director, Customer Success', chr(10), 'john.doe@example.com', chr(10), '+966 55 123 4567', chr(10)) when 1 then concat('--', chr(10), 'John Doe', chr(10)) when 2 then concat('Sent from my BlackBerry', chr(10)) when 3 then concat('Sent from my iPhone', chr(10)) else '' end,
     case doc_id % 13 when 0 then concat('DISCLAIMER: for the addressee only', chr(10)) when 1 then concat('This email and any attachments are confidential', chr(10)) when 2 then concat('-----CONFIDENTIAL NOTICE-----', chr(10), 'second line survives', chr(10)) when 3 then concat('This email has been scanned for viruses', chr(10)) when 4 then concat('Company Confidential', chr(10)) when 5 then concat('***** legal notice *****', chr(10)) else '' end,
-    case doc_id % 6 when 0 then concat('On Mon, Jan 5, 2024 at 9:00 John wrote:', chr(10), '> earlier text', chr(10)) when 1 then concat('-----Original Message-----', chr(10), 'old', chr(10)) when 2 then concat('From: a', chr(10), 'Sent: b', chr(10), 'To: c', chr(10)) when 3 then concat('____________', chr(10), 'old', chr(10)) when 4 then concat('>> nested', chr(10)) else '' end
+    case cast(floor(doc_id / 8) as bigint) % 6 when 0 then concat('On Mon, Jan 5, 2024 at 9:00 John wrote:', chr(10), '> earlier text', chr(10)) when 1 then concat('-----Original Message-----', chr(10), 'old', chr(10)) when 2 then concat('From: a', chr(10), 'Sent: b', chr(10), 'To: c', chr(10)) when 3 then concat('____________', chr(10), 'old', chr(10)) when 4 then concat('>> nested', chr(10)) else '' end
   )"""
 
 HTML_BODY = f"""case doc_id % 8
@@ -99,7 +99,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*MESSAGES)
 
-# Landed JSON pages: every shape a source can send, around whole documents.
+# Landed JSON pages: every shape a source can send, broken ones included, around whole documents.
 ESCAPED_TEXT = (
     "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"
 )
@@ -110,7 +110,7 @@ MAIL_JSON = (
 SHORT_JSON = "concat('{\"RecId\":', cast(1000000 + doc_id as string), ',\"Subject\":null}')"
 ENVELOPES = [
     "doc_id as page_no",
-    f"""case doc_id % 8
+    f"""case doc_id % 13
       when 0 then concat('{{"Data":[', {MAIL_JSON}, '],"TotalCount":1}}')
       when 1 then concat('{{"Items":[', {MAIL_JSON}, ',', {SHORT_JSON}, '],"TotalCount":', cast(n_chars as string), '}}')
       when 2 then concat('[', {MAIL_JSON}, ',', {SHORT_JSON}, ']')
@@ -118,7 +118,12 @@ ENVELOPES = [
       when 4 then '{{"Data":null,"Items":null}}'
       when 5 then concat('{{"Data":[', {SHORT_JSON}, ',', {MAIL_JSON}, ']}}')
       when 6 then '{{"Data":[],"Items":[]}}'
-      else concat('{{"Items":[', {SHORT_JSON}, ']}}') end as payload""",
+      when 7 then concat('{{"Items":[', {SHORT_JSON}, ']}}')
+      when 8 then concat('{{"Data":[5,null,"x",', {SHORT_JSON}, ',{{"RecId":"', cast(doc_id as string), '","Subject":7}},[]],"TotalCount":"12"}}')
+      when 9 then concat('{{"Data":[{{"RecId":"none"}},{{"Subject":"', source, '"}}],"Items":[7,{{"RecId":" ', cast(doc_id as string), ' "}}]}}')
+      when 10 then concat('{{"Data":[', {MAIL_JSON}, ',{{"RecId"')
+      when 11 then ''
+      else null end as payload""",
 ]
 
 

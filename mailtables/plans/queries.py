@@ -24,8 +24,13 @@ def query(fn):
     return fn
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt over the tasks that the session asks for, if any."""
+    return spread(X.table(spark, sf_dir, name), spark.conf.get("spark.mailtables.tasks", None))
+
+
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.compose_emails(spread(X.table(spark, sf_dir, "documents")))
+    return X.compose_emails(dealt(spark, sf_dir, "documents"))
 
 
 # ---- cleaning --------------------------------------------------------------------------------
@@ -77,13 +82,13 @@ def clean_metrics(spark, sf_dir):
 
 @query
 def html_text(spark, sf_dir):
-    pages = spread(X.table(spark, sf_dir, "pages"))
+    pages = dealt(spark, sf_dir, "pages")
     return html_to_text(pages, "html", "html_text").select("page_id", "url", "html_text")
 
 
 @query
 def html_strip_fallback(spark, sf_dir):
-    pages = spread(X.table(spark, sf_dir, "pages"))
+    pages = dealt(spark, sf_dir, "pages")
     return pages.select("page_id", strip_html(F.col("html")).alias("html_text"))
 
 
@@ -127,6 +132,18 @@ def envelope_totals(spark, sf_dir):
     return S.page_totals(X.envelopes(spark, sf_dir)).select("page_no", "total")
 
 
+@query
+def envelope_dead_letters(spark, sf_dir):
+    return S.envelope_dead_letters(X.envelopes(spark, sf_dir)).select("page_no", "position", "problem")
+
+
+@query
+def deep_page(spark, sf_dir):
+    """The fifth page of twenty mails by subject."""
+    good, _ = S.isolate_bad_rows(X.emails(spark, sf_dir))
+    return S.page_emails(good, page=5, size=20, order_by="subject").select("rec_id", "subject", "type")
+
+
 @query
 def dead_letters(spark, sf_dir):
     good, bad = S.isolate_bad_rows(X.emails(spark, sf_dir))
@@ -437,9 +454,7 @@ def document_stream(spark, sf_dir):
 @query
 def stream_clean(spark, sf_dir):
     work = shared_dir(spark, "stream-clean")
-    # The whole table is one file, so one micro-batch of one split.
-    cores = spark.sparkContext.defaultParallelism
-    cleaned = ST.stream_clean(X.compose_emails(document_stream(spark, sf_dir)), tasks=cores)
+    cleaned = ST.stream_clean(X.compose_emails(document_stream(spark, sf_dir)))
     ST.append_stream(cleaned.select("rec_id", "core", "clean_text"), f"{work}/out", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/out")
 
@@ -465,12 +480,12 @@ def stream_upsert(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Every event delivered twice; one of each is kept."""
+    """Every event delivered twice, in several files from the newest to the oldest; one of each is kept."""
     work = shared_dir(spark, "stream-dedup")
-    schema = X.table(spark, sf_dir, "events").schema
-    events = ST.read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
-    twice = events.select(
-        F.col("event_id").alias("rec_id"), F.col("ts").alias("created_ts"), "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")
-    ).drop("delivery")
-    ST.append_stream(ST.stream_dedup(twice).select("rec_id", "event_type"), f"{work}/out", f"{work}/checkpoint")
-    return spark.read.parquet(f"{work}/out")
+    twice = X.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("rec_id"), "ts", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")
+    )
+    twice.repartitionByRange(6, "delivery", F.desc("ts")).write.parquet(f"{work}/in")
+    events = ST.read_stream(spark, f"{work}/in", twice.schema, files_per_batch=1)
+    ST.stream_dedup(events.select("rec_id", "event_type"), f"{work}/out", f"{work}/checkpoint")
+    return ST.first_deliveries(spark, f"{work}/out")

@@ -1,23 +1,18 @@
 """Reading landed mails: scans, JSON page envelopes, pages, single lookups."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.paging import ordered_page
 
-MAIL_FIELDS = "RecId BIGINT, Subject STRING, Comments STRING, Type STRING, CreatedDateTime STRING"
-MAIL = f"STRUCT<{MAIL_FIELDS.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING')}>"
-ENVELOPE = f"Data ARRAY<{MAIL}>, Items ARRAY<{MAIL}>, TotalCount BIGINT"
 TICKETS = "Tickets"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has cores.
+def spread(df: DataFrame, tasks: int = None) -> DataFrame:
+    """Deal the rows over ``tasks`` if the caller asks for it; else the scan's own splits stay.
 
-    Cleaning is bound by CPU, and one small file is one task. A table with at least one split per
-    core, as any large one has, is left alone and keeps a plan without a shuffle.
+    Only for a table of fewer files than cores, as cleaning is bound by CPU; it shuffles every row.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def scan_emails(spark: SparkSession, path: str, type_filter: str = TICKETS, fmt: str = "parquet") -> DataFrame:
@@ -28,39 +23,60 @@ def only_type(df: DataFrame, type_filter: str = TICKETS) -> DataFrame:
     return df.filter(F.col("type") == type_filter)
 
 
-def bare_list(payload: str) -> Column:
-    """The page itself as a list; NULL for any other JSON (the reader would wrap an object)."""
-    return F.when(F.ltrim(payload).startswith("["), F.from_json(payload, f"ARRAY<{MAIL}>"))
+def page_elements(df: DataFrame, payload: str, listing: bool) -> DataFrame:
+    """A row for each element of a page's list, or one with a ``problem`` for a page that cannot be read.
+
+    The ingest form reads ``Data``; the listing form reads ``Items`` or a bare array. A page of proper
+    JSON without a list gives no rows.
+    """
+    page = F.try_parse_json(payload)
+    found = F.try_variant_get(page, "$.Items" if listing else "$.Data", "array<variant>")
+    if listing:
+        found = F.coalesce(found, F.try_variant_get(page, "$", "array<variant>"))
+    broken = F.when(F.col(payload).isNull(), "empty page").when(page.isNull(), "page is no JSON")
+    # One NULL element carries the page's own problem.
+    listed = F.when(broken.isNotNull(), F.array(F.lit(None).cast("variant"))).otherwise(found)
+    rows = df.withColumn("_broken", broken).select("*", F.posexplode(listed).alias("position", "mail"))
+    schema = F.schema_of_variant("mail")
+    number = F.try_variant_get("mail", "$.RecId", "string")
+    rec_id = F.expr("try_cast(trim(try_variant_get(mail, '$.RecId', 'string')) as bigint)")
+    problem = F.coalesce(
+        "_broken", F.when(F.is_variant_null("mail"), "null element"), F.when(~schema.startswith("OBJECT"), "element is no object"),
+        F.when(number.isNotNull() & rec_id.isNull(), "RecId is no number"),
+    )
+    return rows.withColumn("problem", problem).withColumn("rec_id", rec_id).drop("_broken")
 
 
 def unnest_envelope(df: DataFrame, payload: str = "payload", listing: bool = False) -> DataFrame:
-    """Rows of landed JSON pages.
+    """The mails of landed JSON pages; numeric text counts as a number. Other columns of the page are kept.
 
-    The ingest form reads ``Data``; the listing form reads ``Items`` or a bare array. A page
-    without a list gives no rows. Other columns of the page are kept.
+    What is no mail goes to ``envelope_dead_letters``: both together hold every element of every page.
     """
-    page = F.from_json(payload, ENVELOPE)
-    if listing:
-        mails = F.coalesce(page["Items"], bare_list(payload))
-    else:
-        mails = page["Data"]
     others = [c for c in df.columns if c != payload]
-    rows = df.select(*others, F.explode(mails).alias("mail"))
-    return rows.filter(F.col("mail").isNotNull()).select(
-        *others,
-        F.col("mail.RecId").alias("rec_id"),
-        F.col("mail.Subject").alias("subject"),
-        F.col("mail.Comments").alias("body_html"),
-        F.col("mail.Type").alias("type"),
-        F.col("mail.CreatedDateTime").alias("created"),
+
+    def text(name):
+        return F.try_variant_get("mail", f"$.{name}", "string")
+
+    return page_elements(df, payload, listing).filter("problem is null").select(
+        *others, "rec_id", text("Subject").alias("subject"), text("Comments").alias("body_html"),
+        text("Type").alias("type"), text("CreatedDateTime").alias("created"),
     )
 
 
+def envelope_dead_letters(df: DataFrame, payload: str = "payload", listing: bool = False) -> DataFrame:
+    """Pages and elements that give no mail: the page's other columns, ``position``, ``problem`` and the text."""
+    others = [c for c in df.columns if c != payload]
+    bad = page_elements(df, payload, listing).filter("problem is not null")
+    text = F.when(F.col("mail").isNull(), F.col(payload)).otherwise(F.to_json("mail"))
+    return bad.select(*others, F.when(F.col("mail").isNotNull(), F.col("position")).alias("position"), "problem", text.alias("raw"))
+
+
 def page_totals(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """``total`` of each page: its count field, else the length of a bare array, else 0."""
-    page = F.from_json(payload, ENVELOPE)
-    counted = F.nullif(page["TotalCount"], F.lit(0))
-    return df.withColumn("total", F.coalesce(counted, F.array_size(bare_list(payload)), F.lit(0)).cast("long"))
+    """``total`` of each page: its count field (a number or numeric text), else the length of a bare array, else 0."""
+    page = F.try_parse_json(payload)
+    counted = F.expr(f"try_cast(trim(try_variant_get(try_parse_json({payload}), '$.TotalCount', 'string')) as bigint)")
+    length = F.array_size(F.try_variant_get(page, "$", "array<variant>"))
+    return df.withColumn("total", F.coalesce(F.nullif(counted, F.lit(0)), length, F.lit(0)).cast("long"))
 
 
 def page_emails(df: DataFrame, page: int = 1, size: int = 10, order_by: str = "created_ts",

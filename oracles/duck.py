@@ -68,7 +68,12 @@ NAMES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
 
 
 def normal(x):
-    return f"replace(replace(replace(coalesce({x}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ')"
+    return line_ends(f"replace(coalesce({x}, ''), chr(13) || chr(10), chr(10))")
+
+
+def line_ends(x):
+    """One character each: other line ends become a line feed, the no-break space a blank."""
+    return f"translate({x}, chr(13) || chr(133) || chr(8232) || chr(8233) || chr(160), repeat(chr(10), 4) || ' ')"
 
 
 def html_ctes(src, column, out="html_text", keep="*"):
@@ -85,13 +90,20 @@ def html_ctes(src, column, out="html_text", keep="*"):
     skipped = [(r"(?s)<!--.*?-->", "")]
     skipped += [(rf"(?is)<{e}\b[^>]*>.*?</{e}\s*>", "") for e in P.SKIPPED_ELEMENTS]
     skipped += [(r"""(?is)<blockquote\b[^>]*\stype\s*=\s*["']?cite\b[^>]*>.*?</blockquote[^>]*>""", "\n")]
-    blocks = "|".join(P.BLOCK_ELEMENTS)
+    rest = r"""\b(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|[^>]*>)"""
+    line, gap, br = "\ufdd0", "\ufdd1", "\ufdd2"
     layout = [
-        (r"(?i)<br\b[^>]*>", "\n"),
-        (r"(?i)<li\b[^>]*>", "\n* "),
+        ("(?i)<br" + rest, br),
+        ("(?i)<li" + rest, line + "* "),
         (r"(?i)</t[dh]\s*>", " "),
-        (rf"(?i)</?(?:{blocks})\b[^>]*>", "\n"),
-        (r"(?i)<[/]?[a-z!?][^>]*>", ""),
+        (rf"(?i)</?(?:{'|'.join(P.LINE_ELEMENTS)})" + rest, line),
+        (rf"(?i)</?(?:{'|'.join(P.PARAGRAPH_ELEMENTS)})" + rest, gap),
+        (r"(?i)</?(?:[a-z]" + rest[2:] + "|[!?][^>]*>)", ""),
+        (rf"\s{{0,40}}{br}\s*", br),
+        (rf"{line}[\s{line}]*{gap}", gap),
+        (rf"\s{{0,40}}{gap}[\s{line}{gap}]*", "\n\n"),
+        (rf"\s{{0,40}}{line}[\s{line}]*", "\n"),
+        (br, "\n"),
     ]
     polish = [
         (r"[\x{200B}-\x{200D}\x{FEFF}]", ""),
@@ -107,15 +119,17 @@ def html_ctes(src, column, out="html_text", keep="*"):
     ]
     names = f"map([{', '.join(q(n) for n in NAMES)}], [{', '.join(q(c) for c in NAMES.values())}])"
     e = "e"
+    windows = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+    shown = f"map([{', '.join(map(str, windows))}], [{', '.join(q(c) for c in windows.values())}])"
     point = (
         f"case when lower({e}) like '&#x%' then cast('0x' || substr({e}, 4, length({e}) - 4) as integer)"
         f" else cast(substr({e}, 3, length({e}) - 3) as integer) end"
     )
-    char = f"case when {e} like '&#%' then chr({point}) else coalesce({names}[substr({e}, 2, length({e}) - 2)], {e}) end"
+    char = f"case when {e} like '&#%' then coalesce({shown}[{point}], chr({point})) else coalesce({names}[substr({e}, 2, length({e}) - 2)], {e}) end"
     return [
         ("h1", f"select {keep}, {subs(subs(subs(subs(normal(column), noise), early), skipped), layout)} as _t from {src}"),
         ("h2", f"select *, string_split_regex(_t, {q(ENTITY)}) as _p, list_transform(regexp_extract_all(_t, {q(ENTITY)}), lambda e: {char}) as _e from h1"),
-        ("h3", "select * exclude (_p, _e, _t), replace(array_to_string(list_transform(range(1, len(_p) + 1), lambda i: _p[i] || coalesce(_e[i], '')), ''), chr(160), ' ') as _t from h2"),
+        ("h3", "select * exclude (_p, _e, _t), " + line_ends("array_to_string(list_transform(range(1, len(_p) + 1), lambda i: _p[i] || coalesce(_e[i], '')), '')") + " as _t from h2"),
         ("h4", f"select * exclude (_t), {subs('_t', polish)} as _t from h3"),
         ("html", f"select * exclude (_t), {trim(f'array_to_string(list_transform(string_split(_t, {NL}), lambda x: {trim("x")}), {NL})')} as {out} from h4"),
     ]

@@ -20,7 +20,7 @@ def upto(name):
 
 def only_text():
     """Mail bodies as plain text, without the HTML step."""
-    text = "replace(replace(replace(body_html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ')"
+    text = D.line_ends("replace(body_html, chr(13) || chr(10), chr(10))")
     return [D.mails(), ("texts", f"select doc_id, rec_id, {text} as t from emails where body_html is not null")]
 
 
@@ -110,16 +110,32 @@ MAIL_COLUMNS = (
     "cast(m ->> 'RecId' as bigint) as rec_id, m ->> 'Subject' as subject, m ->> 'Comments' as body_html,"
     " m ->> 'Type' as type, m ->> 'CreatedDateTime' as created"
 )
-SQL["envelope_unnest"] = (
-    with_(PAGES) + f" select page_no, {MAIL_COLUMNS} from (select page_no, unnest(json_extract(cast(payload as json), '$.Data[*]')) as m from envelopes)"
-)
-SQL["envelope_listing"] = (
-    with_(PAGES) + f" select page_no, {MAIL_COLUMNS} from (select page_no, unnest(case when payload like '[%'"
-    " then json_extract(cast(payload as json), '$[*]') else json_extract(cast(payload as json), '$.Items[*]') end) as m from envelopes)"
+DATA, ITEMS = "json_extract(j, '$.Data[*]')", "case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else json_extract(j, '$.Items[*]') end"
+
+
+def elements(found):
+    """Every element of the pages' lists, with what is wrong with it."""
+    return [
+        PAGES,
+        ("read", "select page_no, payload, case when json_valid(payload) then cast(payload as json) end as j from envelopes"),
+        ("lists", f"select page_no, {found} as l from read"),
+        ("listed", "select page_no, unnest(l) as m, unnest(range(0, len(l))) as position from lists"),
+        ("elements", "select page_no, position, m, case when json_type(m) = 'NULL' then 'null element'"
+         " when json_type(m) <> 'OBJECT' then 'element is no object'"
+         " when m ->> 'RecId' is not null and try_cast(trim(m ->> 'RecId') as bigint) is null then 'RecId is no number' end as problem from listed"),
+    ]
+
+
+MAIL_COLUMNS = MAIL_COLUMNS.replace("cast(m ->> 'RecId' as bigint)", "cast(trim(m ->> 'RecId') as bigint)")
+SQL["envelope_unnest"] = with_(*elements(DATA)) + f" select page_no, {MAIL_COLUMNS} from elements where problem is null"
+SQL["envelope_listing"] = with_(*elements(ITEMS)) + f" select page_no, {MAIL_COLUMNS} from elements where problem is null"
+SQL["envelope_dead_letters"] = with_(*elements(DATA)) + (
+    " select page_no, position, problem from elements where problem is not null union all select page_no, null,"
+    " case when payload is null then 'empty page' else 'page is no JSON' end from read where j is null"
 )
 SQL["envelope_totals"] = (
-    with_(PAGES) + " select page_no, cast(coalesce(nullif(cast(cast(payload as json) ->> 'TotalCount' as bigint), 0),"
-    " case when payload like '[%' then json_array_length(cast(payload as json)) end, 0) as bigint) as total from envelopes"
+    with_(*elements(DATA)) + " select page_no, cast(coalesce(nullif(try_cast(trim(j ->> 'TotalCount') as bigint), 0),"
+    " case when json_type(j) = 'ARRAY' then json_array_length(j) end, 0) as bigint) as total from read"
 )
 SQL["dead_letters"] = (
     with_(EMAILS) + " select case when rec_id is null then 'missing rec_id' else 'none' end as problem, count(*) as mails from emails group by 1"
@@ -312,4 +328,8 @@ SQL["stream_upsert"] = (
     "select doc_id as req_id, case when lang = 'en' then source else text end as core, false as requires_human_review,"
     " '2025-03-01 12:00:00' as created_at from documents"
 )
+SQL["deep_page"] = (
+    with_(D.mails()) + " select rec_id, subject, type from emails where rec_id is not null"
+    " order by subject desc nulls last, rec_id limit 20 offset 80"
+)
 SQL["stream_dedup"] = "select event_id as rec_id, event_type from events"

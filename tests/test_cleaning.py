@@ -187,7 +187,12 @@ def test_html(one):
     cases = {
         "<p>a</p><p>b</p>": "a\n\nb",
         "x<br>y<br/>z": "x\ny\nz",
-        "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>": "a b\n\nc",
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>": "a b\nc",
+        "<div>a</div>\n <div>b</div><div><br></div><div>c</div>": "a\nb\n\nc",
+        "<div>x<p>a</p><p>b</p></div>y": "x\n\na\n\nb\n\ny",
+        "<b title=\"x>y\">bold</b> <br class='a>b'>next": "bold\nnext",
+        "a&#133;b&#146;c&#x85;": "a\u2026b\u2019c\u2026",
+        "a\u0085b\u2028c": "a\nb\nc",
         "<ul><li>one</li><li>two</li></ul>": "* one\n* two",
         "<a href='http://x'>text</a>": "text",
         "&amp;lt;b&amp;gt;": "<b>",

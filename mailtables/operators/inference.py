@@ -1,5 +1,6 @@
 """The one place where Python runs: a caller's batch function over a table of prompts."""
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,13 +13,17 @@ REPLY_FIELDS = [
 
 
 def infer_batches(prompts: DataFrame, fn: Callable[[list], list], key: str = "rec_id",
-                  concurrency: int = None, batch_size: int = 256) -> DataFrame:
+                  concurrency: int = None, batch_size: int = 256, attempts: int = 3,
+                  pause: float = 1.0) -> DataFrame:
     """``fn(list of prompts) -> list of dicts``, called with at most ``batch_size`` prompts.
 
-    Adds ``reply``, ``in_tokens``, ``out_tokens``, ``latency_ms`` and ``error``. A failing batch
-    is halved until the prompts that fail stand alone, so they lose only their own rows.
-    ``concurrency`` bounds the number of tasks that call the model at once. A lost executor
-    repeats the calls of its unfinished tasks, so write the result to a table before joining it.
+    Adds ``reply``, ``in_tokens``, ``out_tokens``, ``latency_ms`` and ``error``. A reply may be
+    ``{"error": ...}`` and stands for its own prompt only. A ``ValueError`` says that something in the
+    batch is unfit: the batch is halved until the unfit prompts stand alone. Any other failure, such as a
+    service that is down, is tried ``attempts`` times with a pause that doubles; then the prompts of
+    the batch get the error, without further calls. ``concurrency`` bounds the number of tasks that call
+    the model at once. A lost executor repeats the calls of its unfinished tasks, so write the result to
+    a table before joining it.
     """
     dtype = dict(prompts.dtypes)[key]
     schema = (
@@ -26,17 +31,26 @@ def infer_batches(prompts: DataFrame, fn: Callable[[list], list], key: str = "re
         " latency_ms bigint, error string"
     )
 
+    def failed(texts, failure):
+        return [{"error": f"{type(failure).__name__}: {failure}"}] * len(texts)
+
     def call(texts):
-        try:
-            replies = list(fn(texts))
-            if len(replies) != len(texts):
-                raise ValueError(f"{len(replies)} replies for {len(texts)} prompts")
-            return replies
-        except Exception as failure:  # noqa: BLE001 - any model error becomes a row
-            if len(texts) == 1:
-                return [{"error": f"{type(failure).__name__}: {failure}"}]
-            half = len(texts) // 2
-            return call(texts[:half]) + call(texts[half:])
+        for attempt in range(attempts):
+            try:
+                replies = list(fn(texts))
+                if len(replies) != len(texts):
+                    raise ValueError(f"{len(replies)} replies for {len(texts)} prompts")
+                return replies
+            except ValueError as failure:
+                if len(texts) == 1:
+                    return failed(texts, failure)
+                half = len(texts) // 2
+                return call(texts[:half]) + call(texts[half:])
+            except Exception as failure:  # noqa: BLE001 - any model error becomes a row
+                last = failure
+                if attempt + 1 < attempts:
+                    time.sleep(pause * 2**attempt)
+        return failed(texts, last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "kind"] + [name for name, _ in REPLY_FIELDS]

@@ -1,6 +1,7 @@
 """The whole path of a mail, as one lazy plan over tables, and the jobs that store its result."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -85,13 +86,23 @@ def reprocess(emails: DataFrame, req_ids: DataFrame, responses: DataFrame, histo
               config: CleanerConfig = CleanerConfig()) -> DataFrame:
     """New history rows for the mails of the requested ids (column ``req_id``).
 
-    The process numbers depend on keys and arrival times only, so they are taken from the scan
-    before the expensive steps.
+    The process numbers depend on keys and arrival times only. So they are found on narrow rows, which
+    are written to the shared folder once, and joined back to the mails before the expensive steps; mails
+    that are equal in every column are told apart by their numbers.
     """
-    wanted = req_ids.select(F.col("req_id").alias("rec_id"), F.lit(True).alias("wanted"))
-    chosen = join_unique(only_type(emails), wanted, "rec_id").filter("wanted").drop("wanted")
+    spark = emails.sparkSession
+    wanted = req_ids.select(F.col("req_id").alias("rec_id"))
+    chosen = only_type(emails).join(wanted, "rec_id", "left_semi")
+    identity = ["rec_id", "created_ts", "_mail"]
+    chosen = chosen.withColumn("_mail", F.xxhash64(*[c for c in chosen.columns if c not in identity]))
+    work = shared_dir(spark, "reprocess")
+    chosen.select(*identity).write.parquet(f"{work}/mails")
+    narrow = spark.read.parquet(f"{work}/mails")
     start = history.groupBy(F.col("req_id").alias("rec_id")).agg(F.count("*").alias("start"))
-    numbered = number_per_key(chosen, "rec_id", "created_ts", "process_number", start)
+    number_per_key(narrow, "rec_id", "created_ts", "process_number", start).write.parquet(f"{work}/numbers")
+    numbers = spark.read.parquet(f"{work}/numbers").select(*[F.col(c).alias(f"_{c}") for c in identity], "process_number")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity])
+    numbered = one_per_key(chosen, *identity).join(numbers, same).drop(*[f"_{c}" for c in identity], "_mail")
     rows = storage_rows(process_emails(numbered, responses, config), "created_ts", "process_number")
     return labelled(rows, run_ts)
 
@@ -112,17 +123,34 @@ def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency
     """The pipeline with a model function instead of a table of replies.
 
     Each phase writes its replies under the shared folder before the next one reads them: model
-    calls are expensive and not repeatable, so a lost executor must not repeat finished ones.
+    calls are expensive and not repeatable, so a lost executor must not repeat finished ones. A run
+    that is started again with the same ``work_dir`` asks only what has no stored reply.
     """
     spark = emails.sparkSession
     work_dir = work_dir or shared_dir(spark, "model-run")
 
+    def exists(path):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
     def stored(df, name):
-        df.write.mode("overwrite").parquet(f"{work_dir}/{name}")
+        if not exists(f"{work_dir}/{name}"):
+            df.write.mode("overwrite").parquet(f"{work_dir}/{name}")
         return spark.read.parquet(f"{work_dir}/{name}")
 
     def ask(prompts, name):
-        return stored(infer_batches(prompts, model, concurrency=concurrency), name)
+        """Replies in parts: every failed start may leave some, and the next one asks for the rest."""
+        parts = []
+        while exists(f"{work_dir}/{name}/part={len(parts)}"):
+            parts.append(spark.read.parquet(f"{work_dir}/{name}/part={len(parts)}"))
+        known = reduce(DataFrame.unionByName, parts).filter("error is null") if parts else None
+        open_ones = prompts.join(known, "rec_id", "left_anti") if parts else prompts
+        if parts and open_ones.isEmpty():
+            return known
+        path = f"{work_dir}/{name}/part={len(parts)}"
+        infer_batches(open_ones, model, concurrency=concurrency).write.mode("overwrite").parquet(path)
+        new = spark.read.parquet(path)
+        return known.unionByName(new) if parts else new
 
     def add(df, replies, **columns):
         picked = replies.select("rec_id", *[F.col(v).alias(k) for k, v in columns.items()])

@@ -21,6 +21,8 @@ def local_session(cpus="*", **extra):
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # A member that a reply names twice has its last value.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)

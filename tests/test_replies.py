@@ -188,9 +188,24 @@ def test_model_errors_cost_one_row(spark):
 
     def model(prompts):
         if "13" in prompts:
-            raise RuntimeError("no")
-        return [{"reply": p + "!", "in_tokens": 1} for p in prompts]
+            raise ValueError("no")
+        return [{"reply": p + "!", "in_tokens": 1} if p != "7" else {"error": "unfit"} for p in prompts]
 
     rows = {r.rec_id: r for r in I.infer_batches(df, model, concurrency=3).collect()}
-    assert len(rows) == 50 and rows[13].reply is None and rows[13].error == "RuntimeError: no"
-    assert all(r.reply == f"{i}!" and r.error is None for i, r in rows.items() if i != 13)
+    assert len(rows) == 50 and rows[13].reply is None and rows[13].error == "ValueError: no"
+    assert rows[7].reply is None and rows[7].error == "unfit"
+    assert all(r.reply == f"{i}!" and r.error is None for i, r in rows.items() if i not in (7, 13))
+
+
+def test_a_service_that_is_down_is_asked_a_few_times_only(spark, tmp_path):
+    df = spark.range(40).select(F.col("id").alias("rec_id"), F.lit("k").alias("kind"), F.col("id").cast("string").alias("prompt"))
+    log = str(tmp_path / "calls")
+
+    def model(prompts):
+        with open(log, "a") as f:
+            f.write("x")
+        raise ConnectionError("down")
+
+    rows = I.infer_batches(df.coalesce(1), model, pause=0).collect()
+    assert len(rows) == 40 and {r.error for r in rows} == {"ConnectionError: down"}
+    assert len(open(log).read()) == 3

@@ -211,6 +211,8 @@ def test_ingest_and_reprocess(spark):
     history = batch(spark, (1, "x", 0))
     rows = PL.reprocess(mails, wanted, replies, history, F.expr(AT)).collect()
     assert sorted((r.req_id, r.process_label) for r in rows) == [(1, "process2"), (3, "process1")]
+    twice = PL.reprocess(mails.unionByName(mails), wanted.unionByName(wanted), replies, history, F.expr(AT)).collect()
+    assert sorted((r.req_id, r.process_label) for r in twice) == [(1, "process2"), (1, "process3"), (3, "process1"), (3, "process2")]
     given, bad = PL.ingest_given(mails, replies, request_id=5)
     assert given.select("table").distinct().first()[0] == TB.REPROCESS and bad.count() + given.count() == mails.count()
     with pytest.raises(ValueError):
@@ -247,6 +249,12 @@ def test_model_run_skips_needless_calls(spark):
     assert spark.read.parquet(f"{work}/action").count() == len(done) - reviewed
     assert spark.read.parquet(f"{work}/translation").count() == sum(r.was_translated for r in done)
 
+    def silent(prompts):
+        raise AssertionError("a stored reply was asked for again")
+
+    again = PL.run_with_model(mails, silent, concurrency=2, work_dir=work)
+    assert again.select("summary").subtract(rows.select("summary")).isEmpty() and again.count() == len(done)
+
 
 def test_stream_restart_changes_nothing(spark):
     work = shared_dir(spark, "test-stream")

@@ -13,7 +13,7 @@ SAMPLE = 20_000
 STEMS = 400
 SHORTEST, LONGEST = 3, 16
 EVIDENCE = 25.0
-SUPPORT = 0.02
+SUPPORT = 0.03
 THRESHOLD = 0.7
 
 # Words of the grammar in English, German, French and Spanish.
@@ -193,20 +193,12 @@ def learn_stems(counts: DataFrame, toxic: int, clean: int) -> dict:
     strong = counts.filter((a / toxic > 4 * b / clean) & (a >= max(4, SUPPORT * toxic))).withColumn("g", evidence)
     strong = strong.filter(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "p").limit(50 * STEMS).toPandas()
     found = {p: (x, y, g) for p, x, y, g in strong[["p", "toxic", "clean", "g"]].itertuples(index=False)}
+    # The beginning that tells most, and of equals the longest; nothing longer or shorter beside it.
     chosen = {}
-    for p, (x, y, _) in sorted(found.items(), key=lambda i: (len(i[0]), i[0])):
-        if any(p[:k] in chosen for k in range(SHORTEST, len(p))):
-            continue
-        # As long as all its words go on with one letter, so does the stem.
-        longer = True
-        while longer:
-            longer = [q for q in found if len(q) == len(p) + 1 and q.startswith(p) and found[q][0] >= 0.95 * x]
-            if longer:
-                p = longer[0]
-                x, y, _ = found[p]
-        chosen[p] = float(np.log((x + 0.5) / (toxic + 1) * (clean + 1) / (y + 0.5)))
-    best = sorted(chosen, key=lambda p: (-found[p][2], p))[:STEMS]
-    return {p: chosen[p] for p in best}
+    for p, (x, y, _) in sorted(found.items(), key=lambda i: (-i[1][2], -len(i[0]), i[0])):
+        if len(chosen) < STEMS and not any(p.startswith(q) or q.startswith(p) for q in chosen):
+            chosen[p] = float(np.log((x + 0.5) / (toxic + 1) * (clean + 1) / (y + 0.5)))
+    return chosen
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -264,12 +256,13 @@ def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text"
     stems, weights = model
     made = ("held_out", "score", "predicted")
     kept = [f for f in docs.schema if f.name not in made]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"),
-                       F.coalesce(held_out(key), F.lit(False)).alias("held_out"))
+    body = text if text in [f.name for f in kept] else "_body"
+    more = [] if body == text else [F.col(f"`{text}`").alias(body)]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], *more, F.coalesce(held_out(key), F.lit(False)).alias("held_out"))
 
     def run(batch):
         scorer = Scorer(stems)
-        x = np.array([[m[f] for f in FEATURES] for m in (scorer(t.as_py()) for t in batch["_t"])])
+        x = np.array([[m[f] for f in FEATURES] for m in (scorer(t.as_py() or "") for t in batch[body])])
         x = x.reshape(-1, len(FEATURES))
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
         yield {f.name: batch[f.name] for f in kept} | {

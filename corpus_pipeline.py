@@ -17,8 +17,11 @@ PERMILLE = 900
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the grammar, trained on ``labels``, does not reject."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    return toxicity.score(rows, model).filter("predicted = 0").select("row.*")
+    # Columns travel under numbers, so that none can be taken for a result.
+    numbers = [str(i) for i in range(len(docs.columns))]
+    key, text = (str(docs.columns.index(c)) for c in ("doc_id", "text"))
+    scored = toxicity.score(docs.toDF(*numbers), model, key, text)
+    return scored.filter("predicted = 0").select(*[F.col(f"`{n}`") for n in numbers]).toDF(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):

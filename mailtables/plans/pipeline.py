@@ -73,10 +73,14 @@ def ingest_batch(emails: DataFrame, responses: DataFrame, current: DataFrame, ru
                  config: CleanerConfig = CleanerConfig()):
     """Tickets into the next snapshot of the cleaned table: ``(snapshot, report, dead letters)``.
 
-    Only the last arrival of each request can win the upsert, so only it is analysed.
+    Only the last arrival of each request can win the upsert, so only it is analysed. The batch is
+    written to the shared folder once; snapshot and report both read it from there.
     """
     good, bad = isolate_bad_rows(only_type(emails))
     batch = storage_rows(process_emails(good, responses, config, latest_only=True))
+    path = f"{shared_dir(emails.sparkSession, 'ingest')}/batch"
+    batch.write.parquet(path)
+    batch = emails.sparkSession.read.schema(batch.schema).parquet(path)
     report = run_report(batch.withColumn("table", F.lit(CLEANED)).withColumnRenamed("translated", "was_translated"))
     before = current if current is not None else empty_snapshot(batch, run_ts)
     return merge_rows(before, batch, run_ts), report, bad

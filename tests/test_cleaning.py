@@ -183,6 +183,26 @@ def html(df):
     return html_to_text(df, "t", "o")
 
 
+@pytest.mark.parametrize("shape", [
+    "<div>{}</div><div>From: a</div>\r\n<div>Sent: b</div><div>To: c</div><div>old</div>",
+    "<div>{}<br>From: a<br>\r\nSent: b<br/>To: c<br>old</div>",
+    "<table><tr><td>{}</td></tr><tr><td>From: a</td></tr> <tr><td>Sent: b</td></tr><tr><td>To: c</td></tr></table>",
+    "<p>{}</p><p class='x>y'>From: a<br>Sent: b<br>To: c<br>Subject: d</p><p>old</p>",
+])
+def test_reply_chains_of_html_mails_are_cut(one, shape):
+    words = "The invoice that you sent us last week names the wrong account."
+    assert one([shape.format(words)], clean, "clean_text") == [words]
+
+
+def test_composed_mails_mix_every_shape_with_every_furniture():
+    """HTML shapes meet every header, signature and disclaimer in the smallest table."""
+    ids = range(200)
+    for shape in (3, 5):
+        mine = [i for i in ids if i % 8 == shape]
+        for of, n in ((lambda i: i // 8 % 6, 6), (lambda i: i % 11, 11), (lambda i: i % 13, 13)):
+            assert {of(i) for i in mine} == set(range(n))
+
+
 def test_html(one):
     cases = {
         "<p>a</p><p>b</p>": "a\n\nb",

@@ -9,12 +9,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """``node, root`` for every end of a link; ``root`` is one node of the component, the same for all.
 
     ``links`` has the columns ``a`` and ``b``. In each round every node points to the first of its
-    neighbours and itself, and links are drawn anew between the nodes pointed to. First is the smallest
-    in even rounds, which takes in the members of stars around small nodes at once, and the one with the
-    smallest hash in odd rounds, each with a hash of its own: then a chain loses a constant share of its
-    nodes on average, so that rounds grow with the logarithm of a component's size. First neighbours come
-    from a partial aggregate, and all joins are between stored tables, where Spark can split the rows of
-    a node with very many links.
+    neighbours and itself, and links are drawn anew between the nodes pointed to. First is, in turn, the
+    node with most links, which takes in the members of stars at once, and the one with the smallest hash, each
+    round with a hash of its own: then a chain loses a constant share of its nodes on average, so that
+    rounds grow with the logarithm of a component's size. First neighbours come from a partial
+    aggregate, and all joins are between stored tables, where Spark can split the rows of a node with very
+    many links.
     """
     links = stored(links.filter("a <> b").select("a", "b").distinct(), "links")
     steps = []
@@ -22,11 +22,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if links.isEmpty():
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hashed = F.xxhash64(F.lit(turn), "b") if turn % 2 else F.lit(0).cast("long")
-        own = both.select("a", F.col("a").alias("b"))
-        first = F.min(F.struct(hashed.alias("h"), F.col("b").alias("m"))).alias("first")
-        step = both.unionByName(own).groupBy("a").agg(first).select("a", "first.m")
-        step = stored(step, "steps")
+        nodes = stored(both.groupBy("a").agg((-F.count("*")).alias("h")), "nodes")
+        if turn % 2:
+            nodes = nodes.withColumn("h", F.xxhash64(F.lit(turn), "a"))
+            both = both.withColumn("h", F.xxhash64(F.lit(turn), "b"))
+        else:
+            both = both.join(nodes.withColumnRenamed("a", "b"), "b")
+        first = F.min(F.struct("h", F.col("b").alias("m"))).alias("first")
+        near = both.select("a", "b", "h").unionByName(nodes.select("a", F.col("a").alias("b"), "h"))
+        step = stored(near.groupBy("a").agg(first).select("a", "first.m"), "steps")
         steps.append(step)
         ends = links.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").filter("x <> y")
         links = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")

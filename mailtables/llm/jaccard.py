@@ -10,13 +10,13 @@ documents that could have it as their first common one, by an order from rare to
 That is the window: two documents that link share at least 3/4 of either, so they meet in a region
 among the first quarter of each one's shingles.
 
-Below. Each region takes one of its documents as a pivot, and the distances of all others to it are
+Below. Each region takes one of its documents as a pivot, and the distances of the others to it are
 computed exactly. Documents within the radius link to it and need no comparison among themselves.
-Regions whose documents are in one component by then are done. Of the others, a pivot of their largest
-component is compared with what is outside it; then only pairs across components are left, and of
-those only pairs that the windows of the triangle inequality allow: their distances to the region's
-pivot must not differ by more than the radius. Every pair that could link is thus compared, or lies in
-one component already.
+Regions whose documents are in one component by then are done. In the others only pairs across
+components are left, and of those only pairs that two windows allow: their distances to the region's
+pivot must not differ by more than the radius (triangle inequality), and the places of the region's
+shingle in both must leave enough room for what they have to share. Every pair that could link is thus
+compared, or lies in one component already.
 """
 
 import numpy as np
@@ -29,13 +29,14 @@ from .words import U, mix, pieces, shingle_sets
 
 SIZE = 5
 PERCENT = 75
-HEAVY = 100_000
-HEAVY_BLOCK = 1 << 20
-HEAVY_LEAST = 3
+HEAVY = 1_000_000
+HEAVY_BLOCK = 1 << 21
+HEAVY_LEAST = 2
 REGION_ROWS = 300_000
 HOT = 100_000
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BITS = 1 << 23
+GROUP = 1000
 
 
 def class_key(shingles, at):
@@ -47,19 +48,21 @@ def class_key(shingles, at):
 
 
 def scan_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``doc_id, n, c`` of every row (``c`` is NULL for empty sets), and rows of frequent shingles.
+    """``doc_id, n, c, frequent``: a row of every document, its set's size and class, ``c`` NULL for empty sets.
 
-    A shingle in at least 3 texts of a block of a million shingles is reported with that number.
+    Rows marked ``frequent`` hold a shingle (``c``) and its number of texts (``n``) in a block of two million
+    shingles, if that is two or more.
     """
-    schema = "doc_id long, n long, c long, heavy array<struct<s: long, n: long>>"
+    schema = "doc_id long, n long, c long, frequent boolean"
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     ship(docs.sparkSession)
     target = arrow_schema(schema)
 
-    def frequent(held):
+    def counted(held):
         s, n = np.unique(np.concatenate(held), return_counts=True)
         often = n >= HEAVY_LEAST
-        return [[{"s": a, "n": b} for a, b in zip(s[often].astype(np.int64).tolist(), n[often].tolist())]]
+        s, n = s[often].view(np.int64), n[often]
+        return record({"doc_id": pa.nulls(len(s), pa.int64()), "n": n, "c": s, "frequent": np.ones(len(s), bool)}, target)
 
     def run(batches):
         held, amount, seen = [], 0, set()
@@ -68,8 +71,8 @@ def scan_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 shingles, at = shingle_sets(data, rows, size)
                 n, c = np.diff(at), class_key(shingles, at)
                 yield record({
-                    "doc_id": batch["k"].slice(first, len(n)), "n": pa.array(n), "c": pa.array(c, mask=n == 0),
-                    "heavy": pa.nulls(len(n), target.field("heavy").type),
+                    "doc_id": batch["k"].slice(first, len(n)), "n": n, "c": pa.array(c, mask=n == 0),
+                    "frequent": np.zeros(len(n), bool),
                 }, target)
                 for i, one in enumerate(c.tolist()):
                     if one not in seen:  # copies count once in a block
@@ -77,10 +80,10 @@ def scan_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                         held.append(shingles[at[i] : at[i + 1]])
                         amount += len(held[-1])
                 if amount >= HEAVY_BLOCK:
-                    yield record({"doc_id": [None], "n": [None], "c": [None], "heavy": frequent(held)}, target)
+                    yield counted(held)
                     held, amount, seen = [], 0, set()
         if held:
-            yield record({"doc_id": [None], "n": [None], "c": [None], "heavy": frequent(held)}, target)
+            yield counted(held)
 
     return rows.mapInArrow(run, schema)
 
@@ -90,43 +93,84 @@ def frequent_shingles(scanned: DataFrame, most: int = HEAVY) -> tuple:
 
     They only serve the order of shingles and the dealing of rows; results do not depend on them.
     """
-    counted = (
-        scanned.filter("heavy is not null").select(F.explode("heavy").alias("h"))
-        .groupBy(F.col("h.s").alias("s")).agg(F.sum("h.n").alias("n"))
-        .orderBy(F.desc("n"), "s").limit(most)
-    )
-    found = counted.toArrow()
+    counted = scanned.filter("frequent").groupBy(F.col("c").alias("s")).agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
     s, n = found["s"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
+# What travels of a document to each of its regions, column by column.
+ENTRY = [("s", "<u4"), ("c", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "u1"), ("dealt", "u1")]
+
+
+def pack_entries(columns: list) -> bytes:
+    return b"".join(v.astype(kind).tobytes() for v, (_, kind) in zip(columns, ENTRY))
+
+
+def unpack_entries(raw: bytes) -> list:
+    widths = [np.dtype(kind).itemsize for _, kind in ENTRY]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for width, (_, kind) in zip(widths, ENTRY):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * width
+    return out
+
+
+def may_link(n, pos, m, at, percent):
+    """Whether sets of ``n`` and ``m`` shingles can link if their first common one is at ``pos`` and ``at``.
+
+    What they share comes at or behind these places, and linking takes percent / (100 + percent) of both
+    sizes together.
+    """
+    least = percent * (n + m)
+    return ((100 + percent) * (n - pos) >= least) & ((100 + percent) * (m - at) >= least)
+
+
+def has_partner(s, n, pos, percent, most=32):
+    """Which rows of sorted regions ``s`` can link with another row of theirs; all rows of regions over ``most``."""
+    begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    length = np.repeat(np.diff(np.append(begins, len(s))), np.diff(np.append(begins, len(s))))
+    found = length > most
+    left = np.flatnonzero((length > 1) & ~found)
+    for step in range(1, most):
+        left = left[left + step < len(s)]
+        left = left[s[left] == s[left + step]]
+        if not len(left):
+            break
+        ok = left[may_link(n[left], pos[left], n[left + step], pos[left + step], percent)]
+        found[ok] = True
+        found[ok + step] = True
+    return found
+
+
 def region_rows(docs: DataFrame, text: str, size: int, percent: int, frequent: tuple, buckets: int) -> DataFrame:
-    """``s, c, p, small``: the documents of every region with two or more, and the region's pivot.
+    """``s, c, n, pos, p, near``: the documents of every region with two or more, and the region's pivot.
 
-    ``small`` marks documents that may be the smaller of a linking pair in this region. Tasks send
-    their rows packed, by bucket of regions. A frequent shingle's documents are dealt over several
-    groups, each with a pivot of its own.
+    ``pos`` is the place of the region's shingle in the document's order, ``near`` says whether the document
+    can link with the pivot through this region. The pivot is the document with the smallest share of
+    shingles that no other has: an original rather than one of its changed copies. Tasks send their
+    rows packed, by bucket of regions. A frequent shingle's documents are dealt over several groups,
+    each with a pivot of its own.
     """
     ship(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
     packed = "b long, rows binary"
     target = arrow_schema(packed)
-    row_type = np.dtype([("s", "<u4"), ("c", "<i8")])
 
     def deal(held):
-        s, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        salts = np.concatenate([h[2] for h in held])
+        s, c, n, pos, rare, salts = [np.concatenate(column) for column in zip(*held)]
         bucket = ((s >> U(32)) % U(buckets)).astype(np.int64)
-        salt = (mix(c.astype(np.uint64) >> U(2), 9) % salts.astype(np.uint64)).astype(np.int64)
+        salt = (mix(c.astype(np.uint64), 9) % salts.astype(np.uint64)).astype(np.int64)
         group = salt * buckets + bucket
         order = np.argsort(group, kind="stable")
-        made = np.empty(len(s), row_type)
-        made["s"], made["c"] = s[order].astype(np.uint32), c[order]
+        columns = [v[order] for v in (s & U(0xFFFFFFFF), c, n, pos, rare, salts > 1)]
         group = group[order]
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        parts = np.split(made, cuts)
-        return {"b": group[np.concatenate([[0], cuts])], "rows": [p.tobytes() for p in parts]}
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        return {
+            "b": group[cuts[:-1]],
+            "rows": [pack_entries([v[i:j] for v in columns]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())],
+        }
 
     def send(batches):
         heavy, number = known.value
@@ -146,14 +190,15 @@ def region_rows(docs: DataFrame, text: str, size: int, percent: int, frequent: t
                     if len(sent) < 1_000_000:
                         sent.add(one)
                     order = np.argsort(level[lo:hi], kind="stable")
-                    # Of linking documents the smaller shares 2p / (100 + p) of its shingles, either p / 100.
+                    # Linking documents share at least percent hundredths of either.
                     first = n + (-n * percent // 100) + 1
-                    small = n + (-n * 2 * percent // (100 + percent)) + 1
                     picked = order[:first] + lo
-                    salts = np.maximum(count[picked] // HOT, 1)
-                    marked = (one << 2) | ((salts > 1) << 1).astype(np.int64)
-                    marked[:small] |= 1
-                    held.append((shingles[picked], marked, salts))
+                    rare = 255 * int(np.count_nonzero(level[lo:hi] == 0)) // n
+                    held.append((
+                        shingles[picked], np.full(first, one, np.int64), np.full(first, n, np.uint32),
+                        np.minimum(np.arange(first), 65_535).astype(np.uint16), np.full(first, rare, np.uint8),
+                        np.maximum(count[picked] // HOT, 1).astype(np.uint32),
+                    ))
                     amount += first
                 if amount >= FLUSH:
                     yield record(deal(held), target)
@@ -162,27 +207,29 @@ def region_rows(docs: DataFrame, text: str, size: int, percent: int, frequent: t
             yield record(deal(held), target)
 
     def regions(group: pa.Table) -> pa.Table:
-        got = np.concatenate([np.frombuffer(r.as_py(), row_type) for r in group["rows"]])
+        got = [np.concatenate(column) for column in zip(*[unpack_entries(r.as_py()) for r in group["rows"]])]
         bucket = group["b"][0].as_py() % buckets
-        got = got[np.lexsort((got["c"], got["s"]))]
-        s, c = got["s"], got["c"]
+        order = np.lexsort((got[1], got[4], got[0]))
+        s, c, n, pos, rare, dealt = [column[order] for column in got]
         # A class sent by several tasks counts once.
-        new = np.ones(len(got), bool)
+        new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
-        begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        length = np.diff(np.append(begins, len(s)))
-        pivot = np.repeat(c[begins] >> 2, length)
-        # A document alone in its region has nobody to link with, unless the region is dealt over groups.
-        shared = np.repeat(length > 1, length) | ((c & 2) > 0)
+        s, c, dealt = s[new], c[new], dealt[new]
+        n, pos = n[new].astype(np.int64), pos[new].astype(np.int64)
+        # Only documents that can link with another one of the region stay in it.
+        keep = has_partner(s, n, pos, percent) | (dealt > 0)
+        s, c, n, pos = s[keep], c[keep], n[keep], pos[keep]
+        begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        pivot = np.repeat(begins, np.diff(np.append(begins, len(s))))
+        near = may_link(n, pos, n[pivot], pos[pivot], percent) & (c != c[pivot])
         return pa.table({
-            "s": pa.array((s[shared].astype(np.int64)) | (bucket << 32)), "c": pa.array(c[shared] >> 2),
-            "p": pa.array(pivot[shared]), "small": pa.array((c[shared] & 1).astype(bool)),
+            "s": pa.array(s.astype(np.int64) | (bucket << 32)), "c": pa.array(c), "n": pa.array(n), "pos": pa.array(pos),
+            "p": pa.array(c[pivot]), "near": pa.array(near),
         })
 
     texts = docs.select(F.col(f"`{text}`").alias("t"))
     dealt = texts.mapInArrow(send, packed).repartition("b")
-    return dealt.groupBy("b").applyInArrow(regions, "s long, c long, p long, small boolean")
+    return dealt.groupBy("b").applyInArrow(regions, "s long, c long, n long, pos long, p long, near boolean")
 
 
 def bit_of(key: str):
@@ -208,10 +255,23 @@ def in_bitmap(marks: np.ndarray, rows) -> np.ndarray:
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int,
            percent: int) -> DataFrame:
-    """``a, b, d, linked`` of pairs of classes: exact distances from whole texts, stored."""
+    """``a, b, d, linked`` of pairs of classes: exact distances from whole texts, stored.
+
+    The text of ``b`` travels to the one of ``a``, once for each pair; what many pairs share as ``a`` is copied
+    for every ``GROUP`` of them, so that no task gets more of one document's pairs. Rows arrive in order and are
+    compared one by one with the last ``a``.
+    """
     pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = stored(ends.join(classes.select("c", "doc_id"), "c").select("doc_id", "c"), "wanted")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    groups = stored(groups.withColumn("groups", F.col("groups").cast("int")), "groups")
+    members = pairs.join(groups, "a").select(
+        F.col("b").alias("c"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("turn")
+    )
+    leads = groups.select(
+        F.col("a").alias("c"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("turn")
+    )
+    wanted = members.unionByName(leads).join(classes.select("c", "doc_id"), "c")
+    wanted = stored(wanted, "wanted")
     rows = docs.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"), bit_of(key).alias("bit")
     )
@@ -222,45 +282,38 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
         yield {k: batch[k].filter(wanted_here) for k in ("doc_id", "t")}
 
     rows = arrow_map(rows, perhaps, "doc_id long, t string")
+    sent = rows.join(wanted, "doc_id").select("a", "part", "turn", "c", "t")
+    sent = sent.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+    found = "a long, b long, d double, linked boolean"
+    target = arrow_schema(found)
 
-    def same(batch):
-        # Rows may repeat a document's key; keep the text whose set is the class.
-        for first, data, at_rows in pieces(batch["t"]):
-            shingles, at = shingle_sets(data, at_rows, size)
-            part = batch.slice(first, len(at) - 1)
-            fits = class_key(shingles, at) == part["c"].to_numpy()
-            yield {"c": part["c"].filter(pa.array(fits)), "t": part["t"].filter(pa.array(fits))}
-
-    found = arrow_map(rows.join(wanted, "doc_id").select("c", "t"), same, "c long, t string").dropDuplicates(["c"])
-    found = stored(found, "texts")
-
-    def compare(batch):
-        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-        d = np.empty(len(a))
-        common, union = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-        last, own = None, None
-        for first, data, at_rows in pieces(batch["tb"]):
-            shingles, at = shingle_sets(data, at_rows, size)
-            for k in range(len(at) - 1):
-                i = first + k
-                if a[i] != last:
-                    raw = np.frombuffer(batch["ta"][i].as_py().encode(), np.uint8)
-                    own, _ = shingle_sets(raw, np.array([0, len(raw)]), size)
-                    last = a[i]
-                other = shingles[at[k] : at[k + 1]]
-                place = np.searchsorted(own, other)
-                place[place == len(own)] = 0
-                common[i] = np.count_nonzero(own[place] == other)
-                union[i] = len(own) + len(other) - common[i]
-        d[:] = 1 - common / union
-        yield {"a": batch["a"], "b": batch["b"], "d": d, "linked": 100 * common >= percent * union}
-
-    both = pairs.join(found.toDF("b", "tb"), "b").join(found.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return stored(arrow_map(both, compare, "a long, b long, d double, linked boolean"), "distances")
-
-
-def sizes_fit(n, m, percent):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    def compare(batches):
+        at_hand, own = None, None
+        for batch in batches:
+            out = [[], [], [], []]
+            keys = list(zip(*[batch[k].to_pylist() for k in ("a", "part", "turn", "c")]))
+            for first, data, at_rows in pieces(batch["t"]):
+                shingles, at = shingle_sets(data, at_rows, size)
+                classes_here = class_key(shingles, at).tolist()
+                for k, one in enumerate(classes_here):
+                    a, part, turn, c = keys[first + k]
+                    if one != c:
+                        continue  # another row that repeats the document's key
+                    mine = shingles[at[k] : at[k + 1]]
+                    if turn == 0:
+                        at_hand, own = (a, part), mine.copy()
+                    elif at_hand == (a, part):
+                        place = np.searchsorted(own, mine)
+                        place[place == len(own)] = 0
+                        common = int(np.count_nonzero(own[place] == mine))
+                        union = len(own) + len(mine) - common
+                        for column, value in zip(out, (a, c, 1 - common / union, 100 * common >= percent * union)):
+                            column.append(value)
+                    else:
+                        raise RuntimeError("a pair without its first document")
+            yield record(dict(zip(("a", "b", "d", "linked"), out)), target)
+
+    return stored(sent.mapInArrow(compare, found).distinct(), "distances")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -278,7 +331,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
     scanned = stored(scan_sets(docs, key, text, size), "sets")
-    sets = scanned.filter("heavy is null").select("doc_id", "n", "c")
+    sets = scanned.filter("not frequent").select("doc_id", "n", "c")
     frequent = frequent_shingles(scanned)
     named = docs.filter(F.col(f"`{key}`").isNotNull())
     classes = sets.filter("doc_id is not null and n > 0").groupBy("c").agg(
@@ -288,47 +341,32 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     amount = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(max(amount // REGION_ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = stored(region_rows(named, text, size, percent, frequent, buckets), "regions")
-    sizes = classes.select("c", "n")
 
     def checked(pairs):
-        """Pairs whose sizes allow a link, compared."""
-        fit = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        fit = fit.filter(sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        return verify(fit, classes, named, key, text, size, percent)
-
-    def across(roots):
-        """Rows of the regions that hold several components, with root, size and the largest one's."""
-        rooted = rows.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        rooted = stored(rooted, "rooted")
-        mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        mixed = stored(mixed.select("s"), "mixed")
-        rooted = rooted.join(mixed, "s")
-        counts = rooted.groupBy("s", "root").agg(F.count("*").alias("k"), F.max("c").alias("q"))
-        main = counts.groupBy("s").agg(F.max(F.struct("k", "root", "q")).alias("m")).select("s", "m.root", "m.q")
-        main = stored(main.toDF("s", "main", "q"), "mains")
-        return stored(rooted.join(main, "s").join(sizes, "c"), "across")
-
-    # The first pivot of each region, then another one of its largest component.
-    pivots = rows.filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
+        return verify(pairs.distinct(), classes, named, key, text, size, percent)
+
+    # The pivot of each region with the others that it can link with.
+    pivots = rows.filter("near").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
     distances = checked(pivots)
-    open_rows = across(components(distances.filter("linked")))
-    second = open_rows.filter("root <> main").select(F.least("c", "q").alias("a"), F.greatest("c", "q").alias("b"))
-    second = second.distinct().join(distances.select("a", "b"), ["a", "b"], "left_anti")
-    distances = stored(distances.unionByName(checked(second)), "distances")
-    open_rows = across(components(distances.filter("linked")))
-    # Then the pairs across components that the windows allow.
+    roots = components(distances.filter("linked"))
+    # Rows of the regions that hold several components, with their roots and the largest one's.
+    rooted = rows.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = stored(rooted.drop("near"), "rooted")
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    open_rows = stored(rooted.join(stored(mixed.select("s"), "mixed"), "s"), "open")
+    counts = open_rows.groupBy("s", "root").agg(F.count("*").alias("k"))
+    main = counts.groupBy("s").agg(F.max(F.struct("k", "root")).alias("m")).select("s", F.col("m.root").alias("main"))
     to_pivot = distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    placed = open_rows.join(to_pivot.toDF("p", "c", "d"), ["p", "c"], "left").select(
-        "s", "c", "p", "small", "root", "main", "n", F.when(F.col("p") == F.col("c"), 0.0).otherwise(F.col("d")).alias("d")
-    )
+    placed = open_rows.join(stored(main, "mains"), "s").join(to_pivot.toDF("p", "c", "d"), ["p", "c"], "left")
+    placed = placed.withColumn("d", F.when(F.col("p") == F.col("c"), 0.0).otherwise(F.col("d")))
     placed = stored(placed, "placed")
+    # The pairs across components that the places and the windows allow.
     outside = placed.filter("root <> main").alias("x")
     x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
     window = F.coalesce((x("p") != y("p")) | (F.abs(x("d") - y("d")) <= 1 - percent / 100 + 1e-9), F.lit(True))
     pairs = outside.join(placed.alias("y"), "s").filter(
-        (x("root") != y("root")) & ((y("root") == y("main")) | (x("c") < y("c")))
-        & sizes_fit(x("n"), y("n"), percent) & window
-        & F.when(x("n") < y("n"), x("small")).when(x("n") > y("n"), y("small")).otherwise(x("small") | y("small"))
+        (x("root") != y("root")) & ((y("root") == y("main")) | (x("c") < y("c"))) & window
+        & may_link(x("n"), x("pos"), y("n"), y("pos"), percent)
     ).select(F.least(x("c"), y("c")).alias("a"), F.greatest(x("c"), y("c")).alias("b")).distinct()
     pairs = pairs.join(distances.select("a", "b"), ["a", "b"], "left_anti")
     links = distances.filter("linked").unionByName(checked(pairs).filter("linked"))

@@ -15,7 +15,7 @@ _LOOSE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _MARKS = r"[!-&(-/:-@\[-`{-~]"
 # A word and the marks behind it: what each vocabulary's own splitting rule keeps apart.
-_WORD = re.compile(rf"( ?)([{LETTERS}]+)({_MARKS}*)")
+_WORD = re.compile(rf"( ?)([{LETTERS}]*)({_MARKS}*)")
 
 
 class Memory(dict):
@@ -60,18 +60,35 @@ class Encoder:
         """A piece that the vocabulary's splitting rule leaves whole."""
         if self.lower:
             s = s.lower()
-        if not s.isascii() or s[0] == " ":
+        if not s.isascii() or s[0] in " \n":
             s = s.encode().decode("latin-1").translate(self.signs)
         return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
-    def _piece(self, s):
+    def _line(self, s):
+        """The ids of a word with marks behind it, or None for anything else."""
         known = _WORD.fullmatch(s)
         if not known:
-            return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+            return None
         blank, word, marks = known.groups()
-        if not self.lower:
-            word = blank + word
-        return self.part[word] + self.part[marks] if marks else self.part[word]
+        if not word and not marks:
+            return None
+        if not self.lower:  # a blank belongs to what follows it
+            word, marks = (blank + word, marks) if word else ("", blank + marks)
+        if word and marks:
+            return self.part[word] + self.part[marks]
+        return self.part[word or marks]
+
+    def _piece(self, s):
+        made = self._line(s)
+        if made is None and "\n" in s:
+            # Single line ends between words stand alone.
+            first, *rest = s.split("\n")
+            lines = [self._line(first), *[self._line(x) if x[:1] != " " else None for x in rest]]
+            if None not in lines:
+                made = (b"" if self.lower else self.part["\n"]).join(lines)
+        if made is None:
+            made = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        return made
 
     def __call__(self, text):
         if _LOOSE.search(text):

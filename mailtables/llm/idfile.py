@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, arrow_schema, record, ship, stored
 from .tokens import encoder
@@ -126,14 +126,12 @@ def read_ids(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files alone.
 
     ``start`` counts the ids of all documents before it: the totals of the parts come from the chunk
-    index, a few numbers a part.
+    index, one number for each task that wrote.
     """
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select(F.col("part"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("base"))
-    chunks = files.join(bases, "part").select(
-        (F.col("base") + F.col("first")).alias("at"), "n_ids", "planes", "plane_index", "doc_ids", "doc_tokens"
-    )
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    parts = np.array([r.part for r in totals], np.int64)
+    bases = np.concatenate([[0], np.cumsum([r.n for r in totals], dtype=np.int64)])
+    chunks = files.select("part", "first", "n_ids", "planes", "plane_index", "doc_ids", "doc_tokens")
 
     def decode(batch):
         for row in batch.to_pylist():
@@ -141,10 +139,11 @@ def read_ids(files: DataFrame) -> DataFrame:
             keys = np.frombuffer(row["doc_ids"], "<i8")
             counts = np.frombuffer(row["doc_tokens"], "<i8")
             ends = np.cumsum(counts)
+            at = bases[np.searchsorted(parts, row["part"])] + row["first"]
             view = memoryview(ids)
             crcs = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
             yield {
-                "doc_id": pa.array(keys, mask=keys == -(1 << 63)), "start": pa.array(row["at"] + ends - counts),
+                "doc_id": pa.array(keys, mask=keys == -(1 << 63)), "start": pa.array(at + ends - counts),
                 "n_tokens": pa.array(counts), "ids_crc32": crcs,
             }
 

@@ -7,13 +7,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard
 from .common import arrow_map, fields, stored
 
 SAMPLE = 20_000
-STEMS = 400
+CANDIDATES = 20_000
 SHORTEST, LONGEST = 3, 16
 EVIDENCE = 25.0
-SUPPORT = 0.03
+LEAST = 4
 THRESHOLD = 0.7
 
 # Words of the grammar in English, German, French and Spanish.
@@ -165,22 +166,42 @@ class Scorer:
 
 
 def prefix_counts(train: DataFrame) -> DataFrame:
-    """``p, toxic, clean``: in how many texts a word begins with ``p``, or is ``p`` (with a ``$``)."""
+    """``p, toxic, clean``: in how many texts a word begins with ``p``, each text counted by its ``weight``."""
 
     def run(batch):
         counts = {0: Counter(), 1: Counter()}
-        for text, y in zip(batch["text"], batch["toxic"].to_pylist()):
+        for text, y, weight in zip(batch["text"], batch["toxic"].to_pylist(), batch["weight"].to_pylist()):
             words = {w for w in re.findall(r"[^\W\d_]+", (text.as_py() or "").lower())}
-            counts[y].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
+            count = counts[y]
+            for p in {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}:
+                count[p] += weight
         keys = list(counts[0].keys() | counts[1].keys())
         yield {"p": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]}
 
-    made = arrow_map(train.select("text", "toxic"), run, "p string, toxic long, clean long")
-    return made.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    made = arrow_map(train.select("text", "toxic", "weight"), run, "p string, toxic double, clean double")
+    # Rounded, so that the order of the sums decides nothing.
+    return made.groupBy("p").agg(F.round(F.sum("toxic"), 6).alias("toxic"), F.round(F.sum("clean"), 6).alias("clean"))
 
 
-def learn_stems(counts: DataFrame, toxic: int, clean: int) -> dict:
-    """``{stem: weight}``: beginnings of words that toxic texts hold far more often than others."""
+def weighed(rows: DataFrame) -> DataFrame:
+    """``text, toxic, weight``: near copies with one label weigh as much as one text together.
+
+    Their words are no independent evidence. ``rows`` holds different texts, at most ``SAMPLE``; only
+    numbers of them are broadcast.
+    """
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    groups = jaccard.link(rows, "h").select(F.col("doc_id").alias("h"), "component_id")
+    groups = stored(groups.join(F.broadcast(rows.select("h", "toxic")), "h"), "copies")
+    sizes = groups.groupBy("component_id", "toxic").agg((1 / F.count("*")).alias("weight"))
+    weights = groups.join(F.broadcast(sizes), ["component_id", "toxic"]).select("h", "weight")
+    return rows.join(F.broadcast(weights), "h").select("text", "toxic", "weight")
+
+
+def learn_stems(counts: DataFrame, toxic: float, clean: float) -> dict:
+    """``{stem: weight}``: beginnings of words that toxic texts hold far more often than others.
+
+    The evidence alone decides, so that a word of a small language counts like any other.
+    """
     if not toxic or not clean:
         return {}
     a, b = F.col("toxic") + 0.0, F.col("clean") + 0.0
@@ -190,13 +211,15 @@ def learn_stems(counts: DataFrame, toxic: int, clean: int) -> dict:
         return F.when(seen > 0, seen * F.log(seen / (share * n))).otherwise(0.0)
 
     evidence = 2 * (part(a, toxic) + part(b, clean))
-    strong = counts.filter((a / toxic > 4 * b / clean) & (a >= max(4, SUPPORT * toxic))).withColumn("g", evidence)
-    strong = strong.filter(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "p").limit(50 * STEMS).toPandas()
+    strong = counts.filter((a / toxic > 4 * b / clean) & (a >= LEAST)).withColumn("g", evidence)
+    strong = strong.filter(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "p").limit(CANDIDATES).toPandas()
     found = {p: (x, y, g) for p, x, y, g in strong[["p", "toxic", "clean", "g"]].itertuples(index=False)}
     # The beginning that tells most, and of equals the longest; nothing longer or shorter beside it.
-    chosen = {}
+    chosen, begun = {}, set()
     for p, (x, y, _) in sorted(found.items(), key=lambda i: (-i[1][2], -len(i[0]), i[0])):
-        if len(chosen) < STEMS and not any(p.startswith(q) or q.startswith(p) for q in chosen):
+        begins = [p[:n] for n in range(1, len(p) + 1)]
+        if p not in begun and not any(q in chosen for q in begins):
+            begun.update(begins)
             chosen[p] = float(np.log((x + 0.5) / (toxic + 1) * (clean + 1) / (y + 0.5)))
     return chosen
 
@@ -235,8 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = texts.join(F.broadcast(chosen), "k").filter("text is not null")
     rows = rows.dropDuplicates(["text"]).select("text", "toxic")
     rows = stored(rows, "labelled")
-    seen = dict(rows.groupBy("toxic").count().toPandas().itertuples(index=False))
-    stems = learn_stems(prefix_counts(rows), int(seen.get(1, 0)), int(seen.get(0, 0)))
+    counted = stored(weighed(rows), "weighed")
+    seen = dict(counted.groupBy("toxic").agg(F.round(F.sum("weight"), 6)).toPandas().itertuples(index=False))
+    stems = learn_stems(prefix_counts(counted), seen.get(1, 0.0), seen.get(0, 0.0))
 
     def measure(batch):
         score = Scorer(stems)

@@ -321,6 +321,34 @@ def test_learned_on_one_part_holds_on_the_other(spark):
     assert toxicity.score(docs.limit(0), model).isEmpty()
 
 
+def test_rare_languages_are_learned_and_near_copies_count_once(spark):
+    rng = random.Random(9)
+    said = lambda parts: ["".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(60)]
+    rows, labels, langs = [], [], {}
+    parts = {"en": ["en", "the", "on", "er", "st", "re"], "es": ["cion", "que", "los", "ar", "do", "mi"]}
+    for i in range(3600):
+        # 12 of some 400 toxic texts are Spanish, with an insult of their own.
+        lang = langs[i] = "es" if i < 60 else "en"
+        words, bad = said(parts[lang]), i % 5 == 0 if lang == "es" else i % 9 == 0
+        for at in rng.sample(range(60), 3) if bad else ():
+            words[at] = "zurrapo" if lang == "es" else rng.choice(["idiot", "moron"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    copied = said(["qua", "vex", "jol", "wym"])
+    for i in range(4000, 4030):
+        rows.append((i, " ".join([*copied, "moron", "idiot", str(i)])))
+        labels.append((i, 1))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    stems, _ = model = toxicity.train(docs, labels)
+    assert {s[:3] for s in stems} == {"idi", "mor", "zur"}
+    truth = dict(labels.collect())
+    held = [r for r in toxicity.score(docs, model).collect() if r.held_out and r.doc_id < 4000]
+    for lang in ("en", "es"):
+        of = [r for r in held if langs[r.doc_id] == lang]
+        recall = np.mean([r.predicted for r in of if truth[r.doc_id]])
+        assert recall == 1 and not any(r.predicted for r in of if not truth[r.doc_id]), (lang, recall)
+
+
 def test_no_labels(spark):
     docs, labels = labelled(spark, 10)
     assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0}

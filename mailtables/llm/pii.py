@@ -82,6 +82,12 @@ CUES = {
 AGAINST = ["version", "isbn", "license", "copyright", "page", "sha", "commit", "md5", "total", "price"]
 _TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? +([A-Z][\w'-]{{1,40}}(?: [A-Z][\w'-]{{1,40}})?)")
 _TOKEN = re.compile(r"[A-Za-z0-9_-]+")
+_CAPITALS = r"[A-Z][\w'-]{1,40}(?: [A-Z][\w'-]{1,40}){0,2}"
+_KNOWN = re.compile(rf"\b(?:{'|'.join(n.title() for n in GIVEN)})\b(?: [A-Z][\w'-]{{1,40}}){{0,2}}")
+_CUED = re.compile(rf"\b(?:(?i:{'|'.join(CUES['name'])}))\b(?: is)?[:,]?\s{{1,3}}({_CAPITALS})")
+_NUMBER = r"[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,5}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_STRICT = re.compile(rf"(?<![\w-])(?<![0-9]\.)(?:{_NUMBER}|{_IBAN})(?![\w-]|\.[0-9])")
 
 
 def entropy(s: str) -> float:
@@ -89,8 +95,57 @@ def entropy(s: str) -> float:
     return -sum(c / n * log2(c / n) for c in (s.count(x) for x in set(s)))
 
 
+def iban(s: str) -> bool:
+    """Whether ``s`` is a country, two check digits and the rest, and leaves 1 when divided by 97."""
+    s = s.replace(" ", "")
+    return re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}", s) is not None and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def strict_numbers(text: str):
+    """The strict forms of numbers, wherever they stand; what looks like an IBAN must be one."""
+    for m in _STRICT.finditer(text):
+        a, b = m.span()
+        if text[a].isdecimal():
+            yield a, b
+            continue
+        # Groups behind an IBAN look like more of it.
+        while b - a > 14 and not iban(text[a:b]):
+            b = text.rfind(" ", a, b)
+        if b - a > 14 and iban(text[a:b]):
+            yield a, b
+
+
+def digit_groups(text: str, strict: list):
+    """Runs of digits between the strict forms; runs of over 19 digits by their blanks, short groups joined."""
+    k = 0
+    for m in _CARD.finditer(text):
+        at, parts = m.start(), []
+        while k < len(strict) and strict[k][1] <= m.start():
+            k += 1
+        i = k
+        while i < len(strict) and strict[i][0] < m.end():
+            parts.append((at, strict[i][0]))
+            at, i = strict[i][1], i + 1
+        for a, b in [*parts, (at, m.end())]:
+            n = sum(map(str.isdecimal, text[a:b]))
+            joined = None
+            for g in re.finditer("[^ ]+", text[a:b]) if n > 19 else re.finditer("[0-9].*[0-9]", text[a:b]) if n >= 7 else ():
+                digits = sum(map(str.isdecimal, g.group()))
+                if digits > 19:
+                    joined = None
+                    continue
+                joined = (joined[0], joined[1] + digits) if joined and joined[1] + digits <= 19 else (a + g.start(), digits)
+                if joined[1] >= 7:
+                    yield joined[0], a + g.end()
+                    joined = None
+
+
 def candidates(text: str, base: list) -> list:
-    """Base spans and looser ones: long tokens with digits, digit groups, capitals behind a title."""
+    """Base spans and looser ones, proposed by every labeler.
+
+    Long tokens with digits, strict forms of numbers and digit groups around them, capitals behind a
+    title or a cue and at known names.
+    """
     loose, end = [], 0
     for m in _DIGIT.finditer(text) if _DIGIT.search(text) else ():
         if m.start() < end:
@@ -103,9 +158,14 @@ def candidates(text: str, base: list) -> list:
         if end - start >= 20 and not token.replace("-", "").isdecimal():
             loose.append((4, start, end))
     loose += [(5, m.start(1), m.end(1)) for m in (_TITLE.finditer(text) if any(t in text for t in TITLES) else ())]
-    for m in _CARD.finditer(text) if loose or _DIGIT.search(text) else ():
-        if 7 <= sum(map(str.isdecimal, m.group())) <= 19:
-            loose.append((6, m.start(), m.end()))
+    for pattern, group in ((_CUED, 1), (_KNOWN, 0)):
+        loose += [(5, m.start(group), m.end(group)) for m in pattern.finditer(text)]
+    if _DIGIT.search(text):
+        strict = list(strict_numbers(text))
+        loose += [(6, a, b) for a, b in strict] + [(6, a, b) for a, b in digit_groups(text, strict)]
+        # A long token that is a strict number is that number.
+        whole = set(strict)
+        loose = [x for x in loose if x[0] != 4 or x[1:] not in whole]
     # One sweep: a looser span is kept if it meets neither a base span nor an earlier kept one.
     found, taken, last, k = list(base), merged([(a, b) for _, a, b in base]), 0, 0
     for one in sorted(loose, key=lambda x: (x[1], x[0])):
@@ -130,7 +190,7 @@ def merged(spans: list) -> list:
 _EXACT = {
     "secret": re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Za-z0-9_-]{36,}"),
     "name": re.compile(r"[A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+"),
-    "number": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,5}"),
+    "number": re.compile(rf"{_NUMBER}|{_IBAN}"),
 }
 
 
@@ -165,8 +225,9 @@ def features(text: str, kind: int, start: int, end: int) -> tuple:
     digits = sum(map(str.isdecimal, s)) / max(len(s), 1)
     left, right = text[start - 1 : start], text[end : end + 1]
     before = text[max(0, start - 32) : start].lower()
+    strict, known, _, _ = votes(text, kind, start, end)
     return (
-        kind, min((end - start).bit_length(), 7), int(digits * 4), int(left in ("'", '"', "=", ":")),
+        kind, strict + 1, known + 1, min((end - start).bit_length(), 7), int(digits * 4), int(left in ("'", '"', "=", ":")),
         int(right.isalnum()), int(any(c in before for c in CUES[KINDS[kind]])), int(any(c in before for c in AGAINST)),
     )
 
@@ -188,7 +249,7 @@ def decode(number, n, width):
 
 # ---- learning ----------------------------------------------------------------------------------
 
-N_VOTES, N_FEATURES, WIDTH = 4, 7, 8
+N_VOTES, N_FEATURES, WIDTH = 4, 9, 8
 
 
 def estimate(vote: np.ndarray, kind: np.ndarray, count: np.ndarray, rounds: int = 200) -> np.ndarray:

@@ -244,6 +244,28 @@ def test_long_runs_take_linear_time():
         pii.candidates(run, pii.base_spans(run))
 
 
+def test_every_labeler_proposes():
+    found = lambda t: [t[a:b] for k, a, b in pii.candidates(t, pii.base_spans(t)) if k >= 4]
+    assert found("123-45-6789 078-05-1120 219-09-9999") == ["123-45-6789", "078-05-1120", "219-09-9999"]
+    assert found("iban DE89 3704 0044 0532 0130 00 now") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("DE89370400440532013000") == ["DE89370400440532013000"]
+    assert found("call 555.123.4567.") == ["555.123.4567"]
+    assert found("555 123 4567 555 987 6543") == ["555 123 4567", "555 987 6543"]
+    assert found("no 12 123-45-6789 and 1234567") == ["123-45-6789", "1234567"]
+    assert found("Here Maria Schmidt spoke") == ["Maria Schmidt"]
+    assert found("My name is Kofi Mensah, Dr. Wei Chen") == ["Kofi Mensah", "Wei Chen"]
+    assert found("1.2.3.4 and 12 34") == []
+
+
+def test_numbers_in_runs_and_names_without_title_are_accepted(spark):
+    rows = [(i, f"ssn 123-45-{1000 + i} 078-05-{1200 + i} 219-09-{9000 + i}; my name is Maria Schmidt") for i in range(60)]
+    rows += [(100 + i, f"version {20_000_000 + i} of the page") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(clean[i] == "ssn [NUMBER] [NUMBER] [NUMBER]; my name is [NAME]" for i in range(60))
+    assert all(clean[100 + i] == rows[60 + i][1] for i in range(60))
+
+
 def test_find_and_redact(spark):
     secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(i, f"text {i} token = \"{secret[i % 9 :]}{secret[: i % 9]}\" and mail u{i}@mail.example.com é 192.168.0.{i}", "x") for i in range(40)]

@@ -25,16 +25,21 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of documents that links join, the one with the smallest key; NULL keys stay.
+    """Of each group of texts that links join, the one with the smallest key; NULL keys stay.
 
-    Rows that repeat a key are one document, of which one row stays.
+    Rows are told apart by key and text: of rows equal in both one stays, and a text goes only if its own
+    links lead to another one. Of texts of one key that link, the one with the smallest hash stays.
     """
-    linked = jaccard.link(docs.select("doc_id", "text")).filter("doc_id is not null")
-    kept = linked.groupBy("doc_id").agg(F.min("component_id").alias("_component")).filter("doc_id = _component")
-    kept = stored(kept.select(F.col("doc_id").alias("_kept")), "kept")
-    first = F.row_number().over(W.partitionBy("_kept").orderBy("_kept"))
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"]).withColumn("_first", first).filter("_first = 1")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null")
+    rows = stored(named.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")), "rows").distinct()
+    linked = jaccard.link(named.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id").distinct()
+    kept = rows.join(linked, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    kept = stored(kept.select(F.col("_first._row").alias("_kept")), "kept")
+    first = F.row_number().over(W.partitionBy("_kept").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    chosen = named.join(kept, F.xxhash64(named["doc_id"], named["text"]) == kept["_kept"])
+    chosen = chosen.withColumn("_at", first).filter("_at = 1")
+    return chosen.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def redact(spark, docs, sf_dir):

@@ -99,6 +99,15 @@ def test_toxicity_on_held_out_labels(spark, duck):
     assert np.mean([r.predicted for r, y in held if y == 0]) < 0.02
 
 
+def test_near_copies_are_told_apart_by_row(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, words("a")), (5, words("a") + " more"), (5, words("b")), (5, words("b")), (7, words("c")), (7, None),
+            (8, words("b")), (None, words("a")), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[i] for i in (0, 2, 4, 5, 7, 8)])
+
+
 def test_pipeline(spark, documents, duck):
     """Every stage on what the one before has kept."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

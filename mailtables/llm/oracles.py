@@ -157,3 +157,26 @@ with docs as (
 select doc_id, epoch::int as epoch, domain, lang, source, least(n, rest - start)::bigint as taken from epochs
 where start < rest
 """
+
+
+SQL["op12_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  qualify row_number() over (partition by vec_id order by 2, 3) = 1
+), scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.w, c.w)::bigint as score
+  from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id and len(a.w) = len(c.w)
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""

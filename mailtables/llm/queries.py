@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import idfile, jaccard, mixing, packing, pii, quality, sharding, topk, toxicity, warc
+from . import idfile, jaccard, mixing, negatives, packing, pii, quality, sharding, topk, toxicity, warc
 from .common import stored, table, word_count
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def op9_toxicity(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))

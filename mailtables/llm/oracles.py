@@ -159,6 +159,32 @@ where start < rest
 """
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def terms(table, key):
+    return f"""
+  select {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}')) as term
+  from {table} where {key} is not null"""
+
+
+SQL["op11_ranked_search"] = f"""
+with d as ({terms("documents", "doc_id")}), i as ({terms("benchmark", "item_id")}),
+tf as (select doc_id, term, count(*) as tf from d group by all),
+df as (select term, count(*) as df from tf group by term),
+n as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+sums as (select count(*) as n_all, sum(n)::bigint as l_all from n),
+norm as (select doc_id, 75 + (25 * n * n_all) // l_all as m from n, sums),
+weights as (select term, floor(1000 * ln((2 * n_all + 2)::double / (2 * df + 1)))::bigint as w from df, sums),
+scored as (
+  select item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from (select item_id, term, count(*) as repeats from i group by all)
+  join weights using (term) join tf using (term) join norm using (doc_id) group by all
+)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20
+"""
+
 SQL["op12_negatives"] = """
 with v as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import idfile, jaccard, mixing, negatives, packing, pii, quality, sharding, topk, toxicity, warc
+from . import idfile, jaccard, mixing, negatives, packing, pii, quality, ranked, sharding, topk, toxicity, warc
 from .common import stored, table, word_count
 
 QUERIES = {}
@@ -88,6 +88,11 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op12_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"))

@@ -26,6 +26,9 @@ _LOWER = _PLAIN.copy()
 _LOWER[65:91] = _PLAIN[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+# Bytes outside letters, digits and characters beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers = {}
 
 
@@ -65,9 +68,9 @@ def pieces(column, limit=PIECE_BYTES):
 class Words:
     """The words of a run of texts: ``start`` and ``end`` bytes, ``hash``, and ``first`` word of each text."""
 
-    def __init__(self, data, rows, lower=False):
+    def __init__(self, data, rows, lower=False, between=_BLANK):
         blank = np.ones(len(data) + 2, np.int8)
-        blank[1:-1] = _BLANK[data]
+        blank[1:-1] = between[data]
         # A text's end also ends a word, so cut there as if a blank stood between.
         change = np.diff(blank)
         begins, ends = change[:-1] == -1, change[1:] == 1

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import idfile, jaccard, mixing, negatives, packing, pii, quality, ranked, sharding, topk, toxicity, warc
+from . import idfile, jaccard, mixing, negatives, packing, pii, quality, ranked, sharding, suffixes, topk, toxicity, warc
 from .common import stored, table, word_count
 
 QUERIES = {}
@@ -96,3 +96,8 @@ def op11_ranked_search(spark, sf_dir):
 @query
 def op12_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))

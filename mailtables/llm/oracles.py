@@ -206,3 +206,25 @@ from positives join scored using (anchor_id)
 where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify rank <= 10
 """
+
+SQL["op13_suffix_dedup"] = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+windows as (
+  select doc_id, p, b[p:p + 99] as s from (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as p from d)
+), repeated as (
+  select doc_id, p from windows qualify row_number() over (partition by s order by doc_id, p) > 1
+), marked as (
+  select *, coalesce(p > lag(p) over w + 100, true) as new from repeated window w as (partition by doc_id order by p)
+), runs as (
+  select doc_id, min(p) as first, max(p) + 99 as last from (
+    select *, sum(new::int) over (partition by doc_id order by p) as run from marked) group by doc_id, run
+), gaps as (
+  select doc_id, first, coalesce(lag(last) over (partition by doc_id order by first), 0) + 1 as begin, first - 1 as stop from runs
+  union all select doc_id, 1e15::bigint, coalesce(max(last), 0) + 1, max(octet_length(b)) from d left join runs using (doc_id) group by doc_id
+), kept as (
+  select doc_id, string_agg(hex(b[begin:stop]), '' order by begin) filter (begin <= stop) as h from gaps join d using (doc_id) group by doc_id
+), sums as (select doc_id, sum(last - first + 1)::bigint as n, count(*) as runs from runs group by doc_id)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(runs, 0) as n_spans,
+  sha256(unhex(coalesce(h, ''))) as kept_sha256
+from d left join kept using (doc_id) left join sums using (doc_id)
+"""

@@ -13,23 +13,28 @@ from .common import arrow_map, arrow_schema, record, ship, stored
 from .words import U, _power, mix, pieces
 
 LENGTH = 100
-# A trigger is a string of so many bytes whose rolling hash is divisible by SOME; phrases are cut at those divisible by RARE.
-WIDTH = 32
-SOME, RARE = 4, 16
+# A trigger is a string of so many bytes whose rolling hash is divisible by SOME.
+WIDTH, SOME = 32, 4
+# The same for the parse of phrases that share a trigger.
+SHORT_WIDTH, RARE = 8, 16
 CHUNK = 8 << 20
 PIECE = 4 << 20
 BUCKET = 16 << 20
-# Of one trigger so many different phrases of a chunk are looked up whole; the windows of further ones are.
-VARIANTS = 4
+# Of one trigger a chunk looks up so many different phrases. A trigger that reaches this, or has MANY in all, is a
+# common one, whose phrases are compared by windows, spread by their names; no bucket gathers them.
+VARIANTS, MANY = 8, 1_000
+BATCH = 4 << 20
+CLEAN, REPEATED, SHARED, COMMON = range(4)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CODE = mix(np.arange(1, 257, dtype=np.uint64), 3)
 _NONE = U((1 << 64) - 1)
 CHUNKS = "chunk long, size long, ids binary, unnamed binary, ends binary, texts binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 ASKED = "chunk long, bucket int, names binary, others binary, docs binary, places binary"
+SAID = "chunk long, bucket int, route int, said binary"
 DECIDED = (
-    f"kind string, {RESULT}, {CHUNKS}, bucket int, names binary, others binary, docs binary, places binary,"
-    " windows binary, classes binary, low binary, high binary"
+    f"kind string, {RESULT}, {CHUNKS}, bucket int, names binary, others binary, docs binary, places binary, sizes binary,"
+    " windows binary, classes binary, low binary, high binary, begin binary"
 )
 
 
@@ -63,14 +68,14 @@ def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
     triggers at equal places. Windows in a row with one anchor form a phrase, ``data[low : high + LENGTH]``. A window
     without a trigger is a phrase of its own and its own trigger.
     """
-    out = {"low": [], "high": [], "trigger": [], "name": [], "cuts": []}
+    out = {"low": [], "high": [], "trigger": [], "name": []}
     i = 0
     while i < len(starts):
         j = max(int(np.searchsorted(ends, starts[i] + PIECE, "right")), i + 1)
         base, part = int(starts[i]), data[starts[i] : ends[j - 1]]
         if len(part) >= LENGTH:
             for k, v in piece_phrases(part, starts[i:j] - base, ends[i:j] - base).items():
-                out[k].append(v + base if k in ("low", "high", "cuts") else v)
+                out[k].append(v + base if k in ("low", "high") else v)
         i = j
     kinds = {"trigger": np.uint64, "name": np.uint64}
     return {k: np.concatenate([np.zeros(0, kinds.get(k, np.int64)), *v]) for k, v in out.items()}
@@ -115,56 +120,67 @@ def piece_phrases(data, starts, ends) -> dict:
     anchor, alone = (least[low] & low_bits).astype(np.int64), own[low]
     name = names.of(low, high + LENGTH)
     trigger = np.where(alone, name, rolled[np.where(alone, 0, anchor)])
-    return {"low": low, "high": high, "trigger": trigger, "name": name, "cuts": at[rolled[at] % U(RARE) == 0]}
+    return {"low": low, "high": high, "trigger": trigger, "name": name}
 
 
-def ranks(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of strings, to ``depth`` characters, by doubling; ``left`` counts the characters to the string's end."""
+def ranks(codes: np.ndarray, left: np.ndarray, depth: int, known: int = 1) -> np.ndarray:
+    """Ranks of all suffixes of strings to ``depth`` characters, by doubling.
+
+    ``codes`` order the first ``known`` characters of each suffix; ``left`` counts the characters to its string's end.
+    """
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    step, n = 1, len(codes)
-    while step < depth:
+    n = len(codes)
+    while known < depth and n and int(rank.max()) < n:
         more = np.zeros(n, np.int64)
-        has = np.flatnonzero(left > step)
-        more[has] = rank[has + step]
+        has = np.flatnonzero(left > known)
+        more[has] = rank[has + known]
         rank = np.unique(rank * np.int64(n + 2) + more, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-        if not len(rank) or int(rank.max()) == n:
-            break
+        known *= 2
     return rank
 
 
-def corpus_order(data: np.ndarray, cuts: np.ndarray, ends: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """``windows`` in the order of their first ``LENGTH`` bytes, by dictionary and parse.
+def sevens(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next seven bytes of each suffix as one number; a byte behind the end counts below all others."""
+    wide = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    out = np.zeros(len(text), np.int64)
+    for k in range(7):
+        out = (out << 9) + np.where(left > k, wide[k : k + len(text)], 0)
+    return out
+
 
-    Phrase k runs from ``cuts[k]`` over the next cut and its trigger, or to its text's end ``ends[k]``. Only phrases
-    that a window touches take part. A window's place is the rank of its rest of a phrase among the suffixes of
-    the dictionary, then the rank of the next phrase among the suffixes of the parse.
+def corpus_order(data: np.ndarray, ends: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """``windows`` of texts that end at ``ends``, in the order of their first ``LENGTH`` bytes, by prefix-free parsing.
+
+    Triggers, strings of ``SHORT_WIDTH`` bytes whose hash is divisible by ``RARE``, cut the texts into phrases; each runs to
+    the end of the next trigger, or of its text, so that none is a prefix of another. The dictionary holds every phrase
+    once. A window's place is the rank of its rest of a phrase among the suffixes of the dictionary, then the
+    rank of what follows among the suffixes of the parse.
     """
-    if not len(windows):
-        return np.zeros(0, np.int64)
-    following = np.append(cuts[1:], ends[-1])
-    stop = np.where(following >= ends, ends, np.minimum(following + WIDTH, ends))
-    first = np.searchsorted(cuts, windows, "right") - 1
-    last = np.searchsorted(cuts, windows + LENGTH - 1, "right") - 1
-    touched = np.zeros(len(cuts) + 1, np.int64)
-    np.add.at(touched, first, 1)
-    np.add.at(touched, last + 1, -1)
-    parse = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
-    size = stop[parse] - cuts[parse]
-    kinds, owner = unique_strings(data, cuts[parse], size)
-    size = size[kinds]
-    begin = np.concatenate([[0], np.cumsum(size)])
-    inside = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
-    text = data[np.repeat(cuts[parse[kinds]], size) + inside]
-    suffix = ranks(text, np.repeat(size, size) - inside, LENGTH)
-    # Neighbours in the parse are neighbours in one text.
-    joined = np.append((parse[1:] == parse[:-1] + 1) & (stop[parse[:-1]] < ends[parse[:-1]]), False)
-    breaks = np.flatnonzero(~joined)
-    left = breaks[np.searchsorted(breaks, np.arange(len(parse)))] - np.arange(len(parse)) + 1
-    later = ranks(suffix[begin[owner]], left, LENGTH)
-    at = np.searchsorted(parse, first)
-    rest = suffix[begin[owner[at]] + windows - cuts[first]]
-    after = np.where(joined[at], later[np.minimum(at + 1, len(parse) - 1)], 0)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    rolled = Names(data).every(SHORT_WIDTH)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[np.flatnonzero(rolled % U(RARE) == 0)] = True
+    for k in range(1, SHORT_WIDTH):
+        # A trigger does not cross the end of a text.
+        cut[ends[ends >= k] - k] = False
+    cut[starts] = True
+    cuts = np.flatnonzero(cut[:-1])
+    stop = ends[np.searchsorted(ends, cuts, "right")]
+    following = np.append(cuts[1:], len(data))
+    last = following >= stop
+    stop = np.where(last, stop, np.minimum(following + SHORT_WIDTH, stop))
+    first, owner = unique_strings(data, cuts, stop - cuts)
+    size = (stop - cuts)[first]
+    begin = np.cumsum(size) - size
+    inside = np.arange(size.sum()) - np.repeat(begin, size)
+    left = np.repeat(size, size) - inside
+    suffix = ranks(sevens(data[np.repeat(cuts[first], size) + inside], left), left, LENGTH, 7)
+    ending = np.flatnonzero(last)
+    n = np.arange(len(cuts))
+    parse = ranks(suffix[begin[owner]], ending[np.searchsorted(ending, n)] - n + 1, LENGTH)
+    at = np.searchsorted(cuts, windows, "right") - 1
+    rest = suffix[begin[owner[at]] + windows - cuts[at]]
+    after = np.where(last[at], 0, parse[np.minimum(at + 1, len(cuts) - 1)])
     return np.lexsort((windows, after, rest))
 
 
@@ -223,7 +239,6 @@ class Chunk:
     def found(self) -> dict:
         """The phrases, with the ``lead`` ones, each the first of its name, in order of triggers, and which of these are ``sent``."""
         p = phrases(self.data, self.begin, self.end)
-        p["cuts"] = np.union1d(self.starts, p["cuts"])
         order = np.lexsort((p["low"], p["name"], p["trigger"]))
         trigger, name = p["trigger"][order], p["name"][order]
         new_trigger = np.ones(len(order), bool)
@@ -280,8 +295,7 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def answer(group: pa.Table) -> pa.Table:
-    """For each look-up of a bucket 1 if an earlier place has the same name, 2 if it is the first of its name, but not the
-    only name of its trigger, else 0."""
+    """What a bucket knows about each name: whether an earlier place has it, and else whether its trigger has other names."""
     rows = group.to_pylist()
     names, others = (np.concatenate([np.frombuffer(r[c], "<u8") for r in rows]) for c in ("names", "others"))
     docs, places = (np.concatenate([large(r[c]) for r in rows]) for c in ("docs", "places"))
@@ -289,22 +303,80 @@ def answer(group: pa.Table) -> pa.Table:
     chunk = np.repeat([r["chunk"] for r in rows], counts)
     kind = others if len(others) else names
     order = np.lexsort((chunk, places, docs, kind, names))
-    new_name = np.ones(len(order), bool)
-    new_name[1:] = names[order][1:] != names[order][:-1]
-    first = new_name.copy()
-    first[1:] |= kind[order][1:] != kind[order][:-1]
-    group_no = np.cumsum(new_name) - 1
-    several = np.bincount(group_no, first)[group_no] > 1 if len(order) else first
-    said = np.empty(len(order), np.uint8)
-    said[order] = np.where(first, np.where(several, 2, 0), 1)
+    names, kind, chunk = names[order], kind[order], chunk[order]
+    new = changes(names)
+    first = new | changes(kind)
+    trigger = np.cumsum(new) - 1
+    variants = np.bincount(trigger, first)
+    said = np.where(~first, REPEATED, np.where(variants[trigger] > 1, SHARED, CLEAN)).astype(np.uint8)
+    # The same for all phrases of a trigger: it has many in all, or as many in one chunk as that looks up.
+    by_chunk = np.lexsort((chunk, trigger))
+    own = changes(trigger[by_chunk]) | changes(chunk[by_chunk])
+    most = np.bincount(np.cumsum(own) - 1)
+    common = variants > MANY
+    common[trigger[by_chunk][own][most >= VARIANTS]] = True
+    said[(said == SHARED) & common[trigger]] = COMMON
+    back = np.empty_like(said)
+    back[order] = said
+    return answers(rows, counts, back, 0)
+
+
+def changes(sorted_values: np.ndarray) -> np.ndarray:
+    out = np.ones(len(sorted_values), bool)
+    out[1:] = sorted_values[1:] != sorted_values[:-1]
+    return out
+
+
+def answers(rows: list, counts: list, said: np.ndarray, route: int) -> pa.Table:
     ends = np.cumsum(counts)
-    return pa.table({"chunk": [r["chunk"] for r in rows], "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
-                     "said": [said[e - c : e].tobytes() for c, e in zip(counts, ends)]})
+    return pa.table({
+        "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
+        "route": pa.array([route] * len(rows), pa.int32()), "said": [said[e - c : e].tobytes() for c, e in zip(counts, ends)],
+    })
 
 
-def said_of(answers: pa.Table) -> np.ndarray:
-    rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["said"], np.uint8) for r in rows)])
+def answer_texts(group: pa.Table) -> pa.Table:
+    """For each window of phrases that share a trigger with another one: 1 if it also stands at an earlier place."""
+    rows = group.to_pylist()
+    squeezed = zstandard.ZstdDecompressor()
+    sizes = [large(r["sizes"]) for r in rows]
+    texts = [np.frombuffer(squeezed.decompress(r["others"]), np.uint8) for r in rows]
+    trigger = np.concatenate([np.frombuffer(r["names"], "<u8") for r in rows])
+    docs, places = (np.concatenate([large(r[c]) for r in rows]) for c in ("docs", "places"))
+    chunk = np.repeat([r["chunk"] for r in rows], [len(x) for x in sizes])
+    size, data = np.concatenate(sizes), np.concatenate(texts)
+    length = size + LENGTH - 1
+    begin, out = np.cumsum(length) - length, np.cumsum(size) - size
+    said = np.zeros(int(size.sum()), np.uint8)
+    order = np.argsort(trigger, kind="stable")
+    # Equal windows have equal triggers, so triggers are taken in runs of about BATCH bytes.
+    new = np.flatnonzero(changes(trigger[order]))
+    run = np.cumsum(length[order])
+    at = 0
+    while at < len(order):
+        fits = new[(new > at) & (run[new - 1] - run[at] + length[order[at]] <= BATCH)] if len(new) else new
+        rest = new[new > at]
+        end = int(len(order) if run[-1] - run[at] <= BATCH else fits[-1] if len(fits) else rest[0] if len(rest) else len(order))
+        part = order[at:end]
+        own = np.cumsum(length[part])
+        text = data[np.repeat(begin[part] - own + length[part], length[part]) + np.arange(own[-1])]
+        window = np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        windows = np.repeat(own - length[part], size[part]) + window
+        names = window_names(text, windows)
+        sorted_ = corpus_order(text, own, windows)
+        equal = np.empty(len(windows), np.int64)
+        equal[sorted_] = np.cumsum(changes(names[sorted_]))
+        by = [np.repeat(x[part], size[part]) for x in (chunk, places, docs)]
+        by[1] = by[1] + window
+        ranked = np.lexsort((*by, equal))
+        said[(np.repeat(out[part], size[part]) + window)[ranked]] = ~changes(equal[ranked])
+        at = end
+    return answers(rows, [int(x.sum()) for x in sizes], said, 1)
+
+
+def said_of(rows: list, route: int = 0) -> np.ndarray:
+    mine = sorted((r for r in rows if r["route"] == route), key=lambda r: r["bucket"])
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["said"], np.uint8) for r in mine)])
 
 
 def chunks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -343,9 +415,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     columns are ignored, whatever their names. An empty table gives no rows.
 
     Texts are stored in chunks of about 8 MB. Each chunk names its different phrases once, and buckets by trigger tell which of
-    them occur earlier and which share a trigger with another phrase. Only these latter ones are compared window by window: the chunk puts
-    their windows into corpus order by prefix-free parsing, and buckets by window tell which occur earlier. So a phrase, however often
-    it occurs, is looked up at most once a chunk, and no bucket holds a text.
+    them occur earlier and which share a trigger with another phrase. Only these latter ones are compared byte by byte: buckets by
+    trigger put their windows into corpus order by prefix-free parsing. So a phrase, however often it occurs, is looked up at most
+    once a chunk. Phrases of a trigger with very many of them are ordered in their chunks, and their windows are looked up by name.
     """
     chunks = chunks_of(df, key, text)
     buckets = max(-(-(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET), 1)
@@ -357,15 +429,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             at = p["lead"][p["sent"]]
             yield from in_buckets(chunk.number, buckets, p["trigger"][at], p["name"][at], *chunk.where(p["low"][at]))
 
-    said = "chunk long, bucket int, said binary"
-    states = arrow_map(chunks, look_up, ASKED).groupBy("bucket").applyInArrow(answer, said)
+    states = arrow_map(chunks, look_up, ASKED).groupBy("bucket").applyInArrow(answer, SAID)
 
     decided_as, result_as = arrow_schema(DECIDED), arrow_schema(RESULT)
 
     def decide(a: pa.Table, b: pa.Table) -> pa.Table:
         rows = []
         for row in a.to_pylist():
-            rows += [record(one, decided_as) for one in decided(Chunk(row), said_of(b), buckets)]
+            rows += [record(one, decided_as) for one in decided(Chunk(row), said_of(b.to_pylist()), buckets)]
         return pa.Table.from_batches(rows, decided_as)
 
     folder = shared_dir(df.sparkSession, "decided")
@@ -373,52 +444,71 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     parts.write.partitionBy("kind").parquet(folder)
     parts = df.sparkSession.read.schema(DECIDED).parquet(folder)
     done = parts.filter("kind = 'done'").select(*columns(RESULT))
-    asked = parts.filter("kind = 'asked'").select(*columns(ASKED))
-    answers = asked.groupBy("bucket").applyInArrow(answer, said)
-    waiting = parts.filter("kind = 'waiting'").select(*columns(CHUNKS), "windows", "classes", "low", "high")
+    asked = parts.filter("kind = 'asked'").select(*columns(ASKED)).groupBy("bucket").applyInArrow(answer, SAID)
+    shared = parts.filter("kind = 'shared'").select(*columns(ASKED), "sizes").groupBy("bucket").applyInArrow(answer_texts, SAID)
+    told = asked.unionByName(shared)
+    waiting = parts.filter("kind = 'waiting'").select(*columns(CHUNKS), "windows", "classes", "low", "high", "begin", "sizes")
 
     def finish(a: pa.Table, b: pa.Table) -> pa.Table:
-        told = said_of(b) == 1
-        rows = []
+        said, rows = b.to_pylist(), []
         for row in a.to_pylist():
             chunk = Chunk(row)
-            windows, classes = np.frombuffer(row["windows"], "<i8"), np.frombuffer(row["classes"], "<i8")
+            windows, classes, low, high, begin = (np.frombuffer(row[c], "<i8") for c in ("windows", "classes", "low", "high", "begin"))
             # Class 0 is known to be repeated.
-            more = windows[np.append(True, told)[classes]]
-            low, high = (np.append(np.frombuffer(row[c], "<i8"), more) for c in ("low", "high"))
+            by_name = windows[np.append(True, said_of(said) == REPEATED)[classes]]
+            by_text = ranges(begin, large(row["sizes"]))[said_of(said, 1) == 1]
+            low, high = (np.concatenate([x, by_name, by_text]) for x in (low, high))
             rows.append(record(chunk.results(chunk.marks(low, high), np.arange(len(chunk.ids))), result_as))
         return pa.Table.from_batches(rows, result_as)
 
-    rest = waiting.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT)
+    rest = waiting.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, RESULT)
     return done.unionByName(rest)
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin``, ``begin + 1``, ... of each range, one after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def decided(chunk: Chunk, said: np.ndarray, buckets: int):
-    """Rows of finished texts; look-ups of windows; and the texts that wait for them."""
+    """Rows of finished texts; phrases and windows to look up; and the texts that wait for them."""
     blank = {name: [None] for name in columns(DECIDED)}
     p = chunk.found()
-    state = np.ones(len(p["low"]), np.uint8)
-    state[p["lead"]] = 2
+    state = np.full(len(p["low"]), REPEATED, np.uint8)
+    state[p["lead"]] = COMMON
     state[p["lead"][p["sent"]]] = said
-    known, open_ = state == 1, np.flatnonzero(state == 2)
-    size = p["high"][open_] - p["low"][open_] + 1
-    begin = np.concatenate([[0], np.cumsum(size)])
-    windows = np.repeat(p["low"][open_] - begin[:-1], size) + np.arange(begin[-1])
-    names = window_names(chunk.data, windows)
-    ends = chunk.ends[np.minimum(np.searchsorted(chunk.ends, p["cuts"], "right"), max(len(chunk.ends) - 1, 0))]
-    order = corpus_order(chunk.data, p["cuts"], ends, windows)
-    new = np.ones(len(order), bool)
-    new[1:] = names[order][1:] != names[order][:-1]
-    # Equal windows are neighbours; the first of them is the one at the lowest place.
-    first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
-    by_name = np.argsort(names[first], kind="stable")
-    classes = np.zeros(len(order), np.int64)
-    classes[first[by_name]] = np.arange(len(first)) + 1
-    ask = first[by_name]
-    for one in in_buckets(chunk.number, buckets, names[ask], None, *chunk.where(windows[ask])):
-        yield blank | one | {"kind": ["asked"]}
+    size = p["high"] - p["low"] + 1
+    shared = p["lead"][state[p["lead"]] == SHARED]
+    places = chunk.where(p["low"][shared])
+    bucket = bucket_of(p["trigger"][shared], buckets)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    edges = np.flatnonzero(changes(bucket))
+    for a, b in zip(edges, [*edges[1:], len(shared)]):
+        part = shared[a:b]
+        text = chunk.data[ranges(p["low"][part], size[part] + LENGTH - 1)].tobytes()
+        yield blank | {
+            "kind": ["shared"], "chunk": [chunk.number], "bucket": [int(bucket[a])], "names": [p["trigger"][part].tobytes()],
+            "others": [squeeze(text)], "docs": [small(places[0][a:b])], "places": [small(places[1][a:b])], "sizes": [small(size[part])],
+        }
+    open_ = np.flatnonzero(state == COMMON)
+    windows, classes = ranges(p["low"][open_], size[open_]), np.zeros(int(size[open_].sum()), np.int64)
+    if len(windows):
+        names = window_names(chunk.data, windows)
+        text = ranges(p["low"][open_], size[open_] + LENGTH - 1)
+        ends = np.cumsum(size[open_] + LENGTH - 1)
+        inside = ranges(ends - size[open_] - LENGTH + 1, size[open_])
+        order = corpus_order(chunk.data[text], ends, inside)
+        # Equal windows are neighbours; the first of them is the one at the lowest place.
+        ask = np.minimum.reduceat(order, np.flatnonzero(changes(names[order])))
+        ask = ask[np.argsort(names[ask], kind="stable")]
+        classes[ask] = np.arange(len(ask)) + 1
+        for one in in_buckets(chunk.number, buckets, names[ask], None, *chunk.where(windows[ask])):
+            yield blank | one | {"kind": ["asked"]}
+    doc_of = lambda at: np.searchsorted(chunk.ends, at, "right")
     waits = np.zeros(len(chunk.ids), bool)
-    waits[np.searchsorted(chunk.ends, windows, "right")] = True
+    waits[doc_of(p["low"][open_])] = True
+    waits[doc_of(p["low"][shared])] = True
+    known = state == REPEATED
     low, high = p["low"][known], p["high"][known]
     made = chunk.results(chunk.marks(low, high), np.flatnonzero(~waits))
     n = len(made["doc_id"])
@@ -426,14 +516,14 @@ def decided(chunk: Chunk, said: np.ndarray, buckets: int):
     if waits.any():
         # The waiting texts move together.
         lengths = np.where(waits, chunk.ends - chunk.starts, 0)
-        shift = (chunk.starts - (np.cumsum(lengths) - lengths))
-        moved = lambda at: at - shift[np.searchsorted(chunk.ends, at, "right")]
-        mine = waits[np.searchsorted(chunk.ends, low, "right")]
+        shift = chunk.starts - np.cumsum(lengths) + lengths
+        moved = lambda at: (at - shift[doc_of(at)]).astype("<i8")
+        mine = waits[doc_of(low)]
         texts = b"".join(chunk.data[a:b].tobytes() for a, b in zip(chunk.starts[waits], chunk.ends[waits]))
         yield blank | {
             "kind": ["waiting"], "chunk": [chunk.number], "size": [len(texts)], "ids": [chunk.ids[waits].tobytes()],
             "unnamed": [chunk.unnamed[waits].tobytes()], "ends": [np.cumsum(lengths[waits]).astype("<i8").tobytes()],
-            "texts": [zstandard.ZstdCompressor(level=3).compress(texts)], "windows": [moved(windows).astype("<i8").tobytes()],
-            "classes": [classes.tobytes()], "low": [moved(low[mine]).tobytes()],
-            "high": [(moved(low[mine]) + high[mine] - low[mine]).tobytes()],
+            "texts": [squeeze(texts)], "windows": [moved(windows).tobytes()], "classes": [classes.tobytes()],
+            "low": [moved(low[mine]).tobytes()], "high": [(moved(low[mine]) + high[mine] - low[mine]).tobytes()],
+            "begin": [moved(p["low"][shared]).tobytes()], "sizes": [small(size[shared])],
         }

@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CleanerConfig
-from .patterns import EARLY_ENTITIES, LINE_ELEMENTS, NAMED_ENTITIES, PARAGRAPH_ELEMENTS, SKIPPED_ELEMENTS
+from .patterns import EARLY_ENTITIES, LINE_ELEMENTS, NAMED_ENTITIES, PARAGRAPH_ELEMENTS
+from .skipped import TAG_REST, drop_skipped
 from .text import join_lines, normalise, plain_breaks, split_lines, trim_ws
 
 ENTITY = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
@@ -21,7 +22,7 @@ NOISE = [
     r"(?is)<img[^>]*height=[\"']?1[\"']?[^>]*width=[\"']?1[\"']?[^>]*>",
 ]
 
-DROPPED = [r"(?s)<!--.*?-->"] + [rf"(?is)<{e}\b[^>]*>.*?</{e}\s*>" for e in SKIPPED_ELEMENTS]
+COMMENT = r"(?s)<!--.*?-->"
 
 LINK_START = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"'][^>]*>"
 LINKS = [
@@ -30,8 +31,6 @@ LINKS = [
     (LINK_START + r"(.*?)</a\s*>", "$2 [$1]"),
 ]
 
-# The rest of a tag; a ">" inside quotation marks does not end it.
-TAG_REST = r"""\b(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|[^>]*>)"""
 LINE_BREAK = r"(?i)<br" + TAG_REST
 LIST_ITEM = r"(?i)<li" + TAG_REST
 CELL_END = r"(?i)</t[dh]\s*>"
@@ -72,30 +71,6 @@ def replace_all(col, pairs) -> Column:
     return col
 
 
-def drop_cited(col) -> Column:
-    """Remove ``<blockquote type="cite">`` with everything inside, nested quotes included."""
-    parts = F.split(col, r"(?i)(?=</?blockquote\b)")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
-
-    def step(acc, part):
-        opens = part.rlike(r"(?i)\A<blockquote\b")
-        cited = part.rlike(r"(?i)\A<blockquote\b[^>]*\stype\s*=\s*[\"']?cite\b")
-        closes = part.rlike(r"(?i)\A</blockquote\b")
-        inside = acc["depth"] > 0
-        depth = (
-            F.when(inside & opens, acc["depth"] + 1)
-            .when(~inside & cited, 1)
-            .when(inside & closes, acc["depth"] - 1)
-            .otherwise(acc["depth"])
-        )
-        tail = F.when(inside, F.regexp_replace(part, r"(?i)\A</blockquote[^>]*>?", "\n")).otherwise(part)
-        kept = F.when(depth == 0, F.concat(acc["kept"], tail)).otherwise(acc["kept"])
-        return F.struct(depth.alias("depth"), kept.alias("kept"))
-
-    cleaned = F.aggregate(parts, start, step, lambda acc: acc["kept"])
-    return F.when(col.contains("<") & col.rlike(r"(?i)<blockquote\b[^>]*cite"), cleaned).otherwise(col)
-
-
 def decode_entities(col) -> Column:
     """Decode numeric and named references in one pass, so nothing is decoded twice."""
     names = F.map_from_arrays(
@@ -151,8 +126,8 @@ def html_to_text(df: DataFrame, src: str, out: str, config: CleanerConfig = Clea
         df.withColumn("_markup", normalise(F.coalesce(F.col(src), F.lit(""))))
         .withColumn("_markup", where("<", replace_all(markup, [(p, "") for p in NOISE])))
         .withColumn("_markup", where("&", replace_all(markup, entities)))
-        .withColumn("_markup", where("<", replace_all(markup, [(p, "") for p in DROPPED])))
-        .withColumn("_markup", drop_cited(markup))
+        .withColumn("_markup", where("<", F.regexp_replace(markup, COMMENT, "")))
+        .withColumn("_markup", drop_skipped(markup))
         .withColumn("_plain", where("<", markup_to_text(markup, config)))
         .withColumn("_plain", decode_entities(plain))
     )

@@ -109,6 +109,31 @@ EARLY_ENTITIES = [
 # Elements whose content is dropped.
 SKIPPED_ELEMENTS = ["style", "script", "head", "nav", "iframe", "noscript", "svg", "canvas"]
 
+# Elements without an end tag, with plain text inside, with self-closing tags inside, and
+# (opening tags, elements whose end they imply).
+VOID_ELEMENTS = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+]
+RAW_ELEMENTS = ["script", "style"]
+FOREIGN_ELEMENTS = ["svg", "math"]
+CLOSED_BY = [
+    (["body"], ["head"]),
+    (["li"], ["li"]),
+    (["dd", "dt"], ["dd", "dt"]),
+    (["td", "th"], ["td", "th"]),
+    (["tr"], ["td", "th", "tr"]),
+    (["tbody", "tfoot", "thead"], ["td", "th", "tr", "tbody", "thead"]),
+    (["option", "optgroup"], ["option"]),
+    (
+        [
+            "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
+            "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre",
+            "section", "table", "ul",
+        ],
+        ["p"],
+    ),
+]
+
 # Elements that start and end on a line of their own, and those set apart by an empty line.
 LINE_ELEMENTS = [
     "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dt", "fieldset",

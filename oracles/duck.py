@@ -76,7 +76,53 @@ def line_ends(x):
     return f"translate({x}, chr(13) || chr(133) || chr(8232) || chr(8233) || chr(160), repeat(chr(10), 4) || ' ')"
 
 
-def html_ctes(src, column, out="html_text", keep="*"):
+def hidden_ctes(src, column, key):
+    """As a recursive CTE: the stack has the innermost element first, ``base`` counts the elements around a hidden one."""
+    tag = q(r"""</?[a-zA-Z](?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|[^>]*>)""")
+    cited = q(r"""(?i)^<blockquote\b[^>]*\stype\s*=\s*["']?cite\b""")
+
+    def among(x, names):
+        return f"coalesce({x} in ({', '.join(q(n) for n in names)}), false)"
+
+    def popped(s):
+        return "case when " + " or ".join(f"({among('name', a)} and {among(s + '[1]', b)})" for a, b in P.CLOSED_BY) + f" then {s}[2:] else {s} end"
+
+    steps = [
+        ("tags0", f"select {key}, string_split_regex({column}, {tag}) as texts, regexp_extract_all({column}, {tag}) as tags from {src}"),
+        ("tags1", f"select {key}, generate_subscripts(tags, 1) as i, unnest(tags) as tag, unnest(texts[2:]) as after from tags0"),
+        (
+            "tags",
+            f"select *, starts_with(tag, '</') as closes, ends_with(tag, '/>') as ends, {among('name', P.SKIPPED_ELEMENTS)} or regexp_matches(tag, {cited}) as skipped"
+            r" from (select *, lower(regexp_extract(tag, '^</?([a-zA-Z][^\s/>]*)', 1)) as name from tags1)",
+        ),
+    ]
+    turn = f"""
+      select {key}, i, tag, after, name, closes, ends, skipped, base, raw, stack, list_position(stack, name) as place, {popped('stack')} as s1,
+        raw <> '' and not (closes and name = raw) as in_text
+      from (select t.*, w.stack, w.base, w.raw from walk w join tags t on t.{key} = w.{key} and t.i = w.i + 1)"""
+    turn = f"select *, {popped('s1')} as s2 from ({turn})"
+    turn = f"select *, {popped('s2')} as s3 from ({turn})"
+    turn = f"""select *, case when in_text then stack when closes and place > 0 then stack[place + 1:] when closes then stack else s3 end as rest,
+        not in_text and not closes and not {among('name', P.VOID_ELEMENTS)} as opens,
+        ends and (list_has_any(stack, ['svg', 'math']) or name in ('svg', 'math')) as alone from ({turn})"""
+    turn = f"""select *, base >= 0 and len(rest) <= base as ended, opens and not alone as stays,
+        opens and alone and skipped as single from ({turn})"""
+    turn = f"""select *, ended and closes and len(rest) = base as own, ended or base < 0 as outside from ({turn})"""
+    turn = f"""select {key}, i, case when stays then list_prepend(name, rest) else rest end as stack,
+        case when stays and skipped and outside then len(rest) when outside then -1 else base end as base,
+        case when stays and name in ('script', 'style') then name when in_text then raw else '' end as raw,
+        case when own then case when name = 'blockquote' then chr(10) else '' end
+          when not outside or (stays and skipped) or (single and outside) then '' else tag end
+        || case when not outside or (stays and skipped and outside) then '' else after end as shown from ({turn})"""
+    return [
+        *steps,
+        ("walk", f"select {key}, 0::bigint as i, []::varchar[] as stack, -1::bigint as base, '' as raw, texts[1] as shown from tags0 union all {turn}"),
+        ("seen", f"select {key}, string_agg(shown, '' order by i) as {column} from walk group by {key}"),
+    ]
+
+
+def html_ctes(src, column, out="html_text", keep="*", hidden=None):
+    """``hidden`` names the key of mails whose hidden elements may be in any disorder."""
     noise = [
         (r"(?is)<o:p>\s*</o:p>", ""),
         (r"(?is)<v:.*?>\s*</v:.*?>", ""),
@@ -126,8 +172,15 @@ def html_ctes(src, column, out="html_text", keep="*"):
         f" else cast(substr({e}, 3, length({e}) - 3) as integer) end"
     )
     char = f"case when {e} like '&#%' then coalesce({shown}[{point}], chr({point})) else coalesce({names}[substr({e}, 2, length({e}) - 2)], {e}) end"
+    start = [("h1", f"select {keep}, {subs(subs(subs(subs(normal(column), noise), early), skipped), layout)} as _t from {src}")]
+    if hidden:
+        start = [
+            ("h0", f"select {hidden}, {subs(subs(subs(normal(column), noise), early), skipped[:1])} as _m from {src}"),
+            *hidden_ctes("h0", "_m", hidden),
+            ("h1", f"select {hidden}, {subs('_m', layout)} as _t from seen"),
+        ]
     return [
-        ("h1", f"select {keep}, {subs(subs(subs(subs(normal(column), noise), early), skipped), layout)} as _t from {src}"),
+        *start,
         ("h2", f"select *, string_split_regex(_t, {q(ENTITY)}) as _p, list_transform(regexp_extract_all(_t, {q(ENTITY)}), lambda e: {char}) as _e from h1"),
         ("h3", "select * exclude (_p, _e, _t), " + line_ends("array_to_string(list_transform(range(1, len(_p) + 1), lambda i: _p[i] || coalesce(_e[i], '')), '')") + " as _t from h2"),
         ("h4", f"select * exclude (_t), {subs('_t', polish)} as _t from h3"),

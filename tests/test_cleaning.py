@@ -230,6 +230,28 @@ def test_html(one):
     assert dict(zip(cases, one(list(cases), html, "o"))) == cases
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ('<div>new <blockquote type="cite">old</div><p>still mine</p>', "new\n\nstill mine"),
+        ("<nav>one<nav>two</nav>three</nav>ok", "ok"),
+        ("<html><head><title>t</title><body>mine</body>", "mine"),
+        ("kept<canvas>gone <b>to the end", "kept"),
+        ("<ul><li>a<iframe>x</li><li>b</ul>", "* a\n* b"),
+        ("<div><noscript>m<div>d</noscript>kept</div>t", "kept\nt"),
+        ("a<svg><path/></svg>b<svg/>c", "abc"),
+        ('<nav title="</nav>">x</nav>y', "y"),
+        ("a</nav></blockquote>b", "a\n\nb"),
+        ("<blockquote type=cite>a<blockquote>b</blockquote>c</blockquote>d", "d"),
+        ("<blockquote>mine</blockquote>", "mine"),
+        ("x<script>if (a < b) { '</nav>' }", "x"),
+        ("<nav>" * 300 + "deep" + "</nav>" * 299 + "gone</nav>ok", "ok"),
+    ],
+)
+def test_hidden_elements_end_as_a_browser_ends_them(one, markup, text):
+    assert one([markup], html, "o") == [text]
+
+
 def test_html_options(one):
     keep = CleanerConfig(preserve_links=True)
     texts = ["see <a href='http://x/'>this</a>", "<a href='http://x/'>http://x/</a>"]

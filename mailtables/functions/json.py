@@ -77,3 +77,24 @@ def truthy_primitive(value: str) -> str:
 def truthy_text(value: str) -> str:
     """Text of a scalar, NULL when it is falsy or not a scalar."""
     return f"CASE WHEN {truthy_primitive(value)} THEN {as_text(value)} END"
+
+
+def members(value: str) -> str:
+    """The members of a JSON object as a map; NULL for anything else."""
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
+
+
+def overlaid(value: str, name: str, new: str) -> str:
+    """The JSON object ``value`` with every member it has, and ``name`` set to the VARIANT ``new``."""
+    kept = f"map_filter(coalesce({members(value)}, map_from_arrays(array(), array())), (k, v) -> k != '{name}')"
+    return f"to_variant_object(map_concat(CAST({kept} AS map<string,variant>), map('{name}', {new})))"
+
+
+def spread(value: str) -> str:
+    """What JavaScript's ``{...value}`` gives: members of an object, else elements or characters by their number."""
+    listed = f"transform({elements(value)}, (x, i) -> named_struct('key', CAST(i AS STRING), 'value', x))"
+    chars = f"transform(filter(split({as_text(value)}, ''), c -> c != ''), (c, i) -> named_struct('key', CAST(i AS STRING), 'value', CAST(c AS VARIANT)))"
+    return (
+        f"CASE {kind(value)} WHEN 'OBJECT' THEN {value} WHEN 'ARRAY' THEN to_variant_object(map_from_entries({listed}))"
+        f" WHEN 'STRING' THEN to_variant_object(map_from_entries({chars})) END"
+    )

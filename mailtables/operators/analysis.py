@@ -36,6 +36,7 @@ FALLBACK_LABELS = {"category": "other", "priority": "medium", "sentiment": "neut
 SENTENCE_LABELS = {"category": "general inquiry", "priority": "medium", "sentiment": "neutral"}
 
 SCORES = ["overall", "classification", "structured_data", "action_items"]
+OPEN = ["classification_object", "structured_object", "action_objects"]
 PARTS = ["classification", "structured_data", "action_items", "summary", "confidence_scores"]
 LABELS = ["category", "priority", "sentiment", "confidence"]
 RAW = (
@@ -92,10 +93,15 @@ def parse_analysis(df: DataFrame) -> DataFrame:
     return pin(df, *RAW)
 
 
+def as_variant(value: str) -> str:
+    return f"CAST({value} AS VARIANT)"
+
+
 def normalise_analysis(df: DataFrame) -> DataFrame:
-    """Typed parts of the reply, with the default confidences.
+    """Typed parts of the reply, with the default confidences, and the same parts with all members.
 
-    Key/values become a list sorted by key; their scalar ``confidence`` is kept apart.
+    Key/values become a list sorted by key; their scalar ``confidence`` is kept apart. :data:`OPEN` holds VARIANT
+    objects: what the reply has, with corrected confidences laid over it.
     """
     item_conf, pair_conf = J.member("x", "confidence"), J.member("e.value", "confidence", "double")
     pair_value = (
@@ -112,6 +118,18 @@ def normalise_analysis(df: DataFrame) -> DataFrame:
     )
     labels = ", ".join(f"'{n}', {J.as_text(f'raw_{n}')}" for n in LABELS if n != "confidence")
     scores = ", ".join(f"'{n}', {clamp_score(f'raw_score_{n}')}" for n in SCORES)
+    df = add(df, _spread=J.spread("raw_structured_data"))
+    object_conf = f"CASE WHEN {J.truthy('raw_structured_confidence')} THEN raw_structured_confidence ELSE {as_variant(DEFAULT_CONFIDENCE)} END"
+    item = J.overlaid("x", "confidence", as_variant(clamp_confidence(item_conf)))
+    fixed = J.overlaid("raw_classification", "confidence", as_variant(clamp_confidence("raw_confidence")))
+    df = add(
+        df,
+        classification_object=f"CASE WHEN {J.truthy('raw_classification')} AND {J.kind('raw_classification')} != 'OBJECT'"
+        f" THEN raw_classification ELSE {fixed} END",
+        structured_object=J.overlaid("_spread", "confidence", object_conf),
+        action_objects=f"coalesce(transform({J.elements('raw_action_items')}, x -> CASE WHEN {J.kind('x')} = 'OBJECT' THEN {item}"
+        " ELSE x END), CAST(array() AS array<variant>))",
+    ).drop("_spread")
     return add(
         df,
         classification=f"named_struct({labels}, 'confidence', {clamp_confidence('raw_confidence')})",
@@ -223,6 +241,9 @@ def with_fallback(df: DataFrame) -> DataFrame:
         "structured_confidence": half,
         "action_items": f"CAST(array() AS {ITEMS_TYPE})",
         "confidence_scores": f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {half}' for n in SCORES)})",
+        "classification_object": f"to_variant_object(named_struct({labels}, 'confidence', {half}))",
+        "structured_object": f"to_variant_object(named_struct('confidence', {half}))",
+        "action_objects": "CAST(array() AS array<variant>)",
     }
     df = add(df, _failed=analysis_failed(), summary=resolve_summary(), _summarised=needs_summary())
     # A summary that needs the body sentence cannot be built without a body.
@@ -298,26 +319,17 @@ def sum_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def structured_object() -> str:
-    """Key/values and their scalar confidence as one map of VARIANT."""
-    pair = "to_variant_object(named_struct('value', e.value, 'confidence', e.confidence))"
-    return (
-        f"map_from_entries(concat(transform(structured_data, e -> named_struct('key', e.key, 'value', {pair})),"
-        " array(named_struct('key', 'confidence', 'value', CAST(structured_confidence AS VARIANT)))))"
-    )
-
-
 def analysis_json() -> Column:
     """The whole result as one JSON object."""
     names = [
-        "action_items", "confidence_scores", "summary", "requires_human_review", "review_reason",
+        "confidence_scores", "summary", "requires_human_review", "review_reason",
         "next_best_action", "action_confidence", "action_reasoning", "processing_time_ms",
     ]
     usage = "named_struct('inputTokens', token_usage.input, 'outputTokens', token_usage.output, 'totalTokens', token_usage.total)"
     members = ", ".join(f"'{n}', {n}" for n in names)
     return F.expr(
-        f"to_json(named_struct('classification', classification, 'structured_data', {structured_object()},"
-        f" {members}, 'tokenUsage', {usage}))"
+        "to_json(named_struct('classification', classification_object, 'structured_data', structured_object,"
+        f" 'action_items', action_objects, {members}, 'tokenUsage', {usage}))"
     )
 
 

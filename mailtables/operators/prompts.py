@@ -58,8 +58,8 @@ def summary_prompts(df: DataFrame, template: str = SUMMARY_TEMPLATE) -> DataFram
 
 
 def action_prompts(df: DataFrame, template: str = ACTION_TEMPLATE) -> DataFrame:
-    """Mails that need no review, with the normalised classification and key/values."""
+    """Mails that need no review, with the corrected classification and key/values, all members included."""
     df = A.with_fallback(A.review_flags(A.normalise_analysis(A.parse_analysis(df))))
     df = pin(df, "requires_human_review").filter("NOT requires_human_review")
-    context = F.expr(f"to_json(named_struct('classification', classification, 'structured_data', {A.structured_object()}))")
+    context = F.expr("to_json(named_struct('classification', classification_object, 'structured_data', structured_object))")
     return prompt_rows(df, "action", fill(template, CONTEXT=context))

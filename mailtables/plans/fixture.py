@@ -68,6 +68,21 @@ RESPONSES = [
     "50 + doc_id % 400 as latency_ms",
 ]
 
+# Replies with members beyond the expected ones, and values of unexpected types.
+OPEN_RESPONSES = [
+    "doc_id as rec_id",
+    """case doc_id % 9
+      when 0 then concat('{"action_items":[{"action":"refund","confidence":0.9,"due":"2024-05-01","owner":{"id":7,"name":"', source, '"}}],"classification":{"category":"billing","confidence":1.5,"priority":"high","sentiment":"negative","subcategory":"charged twice","tags":["a","b",null]},"confidence_scores":{"overall":0.9},"structured_data":{"account":{"confidence":0.8,"unit":"x","value":"A1"},"confidence":0.85,"list":[1,{"a":2}],"n":', cast(n_chars as string), ',"nothing":null,"ok":true},"summary":"s"}')
+      when 1 then '{"action_items":[null,0,"",false,[],[1],{"action":"a","confidence":"high"},{}],"classification":{"confidence":0.9},"confidence_scores":{"overall":0.9},"summary":"s"}'
+      when 2 then concat('{"classification":{"category":"other","confidence":0.95,"note":"', lang, '"},"confidence_scores":{"overall":0.9},"structured_data":["x",{"k":1}],"summary":"s"}')
+      when 3 then '{"confidence_scores":{"overall":0.9},"structured_data":"ab","summary":"s"}'
+      when 4 then '{"classification":[1,2],"confidence_scores":{"overall":0.9},"structured_data":5,"summary":"s"}'
+      when 5 then '{"classification":null,"confidence_scores":{"overall":0.9},"structured_data":{"confidence":{"low":1},"name":"x"},"summary":"s"}'
+      when 6 then '{"action_items":"","classification":{"confidence":-2,"extra":{"deep":{"er":[true]}}},"confidence_scores":{"overall":0.9},"structured_data":{"confidence":0},"summary":"s"}'
+      when 7 then concat('no reply for ', lang)
+      else null end as analysis_text""",
+]
+
 # A second text source for the one-text form of the translation job.
 MESSAGES = [
     "conv_id",
@@ -96,9 +111,37 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*RESPONSES)
 
 
+def open_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*OPEN_RESPONSES)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*MESSAGES)
 
+
+# Mails whose hidden elements are nested, crossed or left open, around whole documents.
+HIDDEN = [
+    "doc_id",
+    """case doc_id % 12
+      when 0 then concat('<div>', text, '<blockquote type="cite">old ', source, '</div><p>still mine</p>')
+      when 1 then concat('<nav>one<nav>two</nav>three</nav>', text)
+      when 2 then concat('<html><head><title>t</title><body>', text, '</body></html>')
+      when 3 then concat('<p>', text, '<noscript>hidden', lang)
+      when 4 then concat('<ul><li>first<canvas>x</li><li>', text, '<li>last</ul>')
+      when 5 then concat('<svg width="1"><path d="m"/><g/></svg>', text, '<SVG/>end')
+      when 6 then concat('<blockquote type=cite>a<blockquote>b</blockquote>c</blockquote>', text, '</blockquote>tail')
+      when 7 then concat('<table><tr><td>', text, '<iframe src="a>b">inner<td>next</table>after')
+      when 8 then concat('<div><nav>menu<div>deep</nav>kept</div>', text, '<nav/>gone</nav>')
+      when 9 then concat('<p>', text, '</p><head><style>p { color: red }')
+      when 10 then concat('<p>', text, '<canvas></p>x</canvas>y<svg><canvas/>z</svg><blockquote>quoted</blockquote>')
+      else concat('<ul><li><nav>a<li>b</nav>', text, '</li></ul><iframe><script>"</iframe>"</script></iframe>end') end as html""",
+]
+
+
+def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*HIDDEN)
+
+
 # Landed JSON pages: every shape a source can send, broken ones included, around whole documents.
 ESCAPED_TEXT = (
     "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"

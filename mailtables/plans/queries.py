@@ -86,6 +86,12 @@ def html_text(spark, sf_dir):
     return html_to_text(pages, "html", "html_text").select("page_id", "url", "html_text")
 
 
+@query
+def html_hidden(spark, sf_dir):
+    """Mails with hidden elements in every kind of disorder, as text."""
+    return html_to_text(X.hidden(spark, sf_dir), "html", "html_text").select("doc_id", "html_text")
+
+
 @query
 def html_strip_fallback(spark, sf_dir):
     pages = dealt(spark, sf_dir, "pages")
@@ -244,6 +250,19 @@ def analysis_parsed(spark, sf_dir):
     return parsed.select(F.col("raw").isNotNull().alias("parsed"), *flat_analysis())
 
 
+@query
+def analysis_members(spark, sf_dir):
+    """Replies with further members: whole objects, corrected confidences in place."""
+    parsed = A.normalise_analysis(A.parse_analysis(X.open_responses(spark, sf_dir)))
+    return parsed.select("rec_id", *[F.to_json(c).alias(c) for c in A.OPEN])
+
+
+@query
+def analysis_result(spark, sf_dir):
+    """The whole stored result of each mail."""
+    return stored(spark, sf_dir).select("req_id", "analysis_result")
+
+
 @query
 def review_flags(spark, sf_dir):
     flagged = A.review_flags(A.parse_analysis(X.responses(spark, sf_dir)))

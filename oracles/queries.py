@@ -51,6 +51,10 @@ SQL["clean_metrics"] = (
     with_(*CLEAN) + " select rec_id, preview, original_length, cleaned_length, compression_ratio, warning from clean"
 )
 SQL["html_text"] = with_(*D.html_ctes("pages", "html")) + " select page_id, url, html_text from html"
+SQL["html_hidden"] = (
+    with_(("hidden", f"select {', '.join(X.HIDDEN)} from documents"), *D.html_ctes("hidden", "html", hidden="doc_id")).replace("with ", "with recursive ", 1)
+    + " select doc_id, html_text from html"
+)
 SQL["html_strip_fallback"] = "select page_id, " + D.trim(
     D.subs(
         D.normal("html"),
@@ -179,13 +183,7 @@ SQL["summary_prompts"] = (
     + f" select rec_id, 'summary' as kind, {R.SUMMARY_PROMPT} as prompt from raw2 where raw is not null and {R.NEEDS_SUMMARY}"
     f" and not ({R.truthy('sm')} and coalesce(json_type(cs), 'NULL') = 'NULL')"
 )
-MEMBER = "'\"' || k || '\":{\"confidence\":' || cast(cast(sd -> k ->> 'confidence' as double) as varchar) || ',\"value\":\"' || (sd -> k ->> 'value') || '\"},'"
-CONTEXT = (
-    "'{\"classification\":{' || coalesce('\"category\":\"' || category || '\",', '') || coalesce('\"priority\":\"' || priority || '\",', '')"
-    " || coalesce('\"sentiment\":\"' || sentiment || '\",', '') || '\"confidence\":' || cast(class_confidence as varchar) || '},\"structured_data\":{'"
-    f" || coalesce(array_to_string(list_transform(list_sort(list_filter(json_keys(sd), lambda k: k <> 'confidence')), lambda k: {MEMBER}), ''), '')"
-    " || '\"confidence\":' || cast(structured_confidence as varchar) || '}}'"
-)
+CONTEXT = """'{"classification":' || classification_object || ',"structured_data":' || structured_object || '}'"""
 SQL["action_prompts"] = (
     with_(*R.analysis_ctes())
     + f" select rec_id, 'action' as kind, {R.fill(PR.ACTION_TEMPLATE, CONTEXT=CONTEXT)} as prompt from acted where not requires_human_review"
@@ -194,6 +192,10 @@ SQL["analysis_parsed"] = (
     with_(D.RESPONSES, *R.raw_ctes("responses"), R.flat("raw2"))
     + f" select rec_id, raw is not null as parsed, {', '.join(R.FLAT)} from flat"
 )
+SQL["analysis_members"] = (
+    with_(("responses", f"select {', '.join(X.OPEN_RESPONSES)} from documents"), *R.raw_ctes("responses"), *R.open_ctes("raw2"))
+    + f" select rec_id, {', '.join(R.OPEN)} from opened"
+)
 SQL["review_flags"] = (
     with_(D.RESPONSES, *R.raw_ctes("responses"), *R.review_ctes("raw2")) + " select rec_id, requires_human_review, review_reason from reviewed"
 )
@@ -201,6 +203,27 @@ ANALYSED = with_(*R.analysis_ctes())
 SQL["analysis_summary"] = ANALYSED + " select rec_id, summary from acted"
 SQL["analysis_fallback"] = ANALYSED + f" select rec_id, failure, requires_human_review, review_reason, {', '.join(R.FLAT)} from acted"
 SQL["next_action"] = ANALYSED + " select rec_id, next_best_action, action_confidence, action_reasoning from acted"
+def result_member(name, value, optional=False):
+    text = f"',\"{name}\":' || {value}"
+    return f"coalesce({text}, '')" if optional else text
+
+
+RESULT_JSON = " || ".join(
+    [
+        """'{"classification":' || classification_object || ',"structured_data":' || structured_object || ',"action_items":' || action_objects""",
+        "',\"confidence_scores\":' || json_object(" + ", ".join(f"'{n}', score_{n}::double" for n in R.SCORES) + ")::varchar",
+        result_member("summary", "to_json(summary)::varchar"),
+        result_member("requires_human_review", "requires_human_review::varchar"),
+        result_member("review_reason", "to_json(review_reason)::varchar", True),
+        result_member("next_best_action", "to_json(next_best_action)::varchar"),
+        result_member("action_confidence", "to_json(action_confidence::double)::varchar"),
+        result_member("action_reasoning", "to_json(action_reasoning)::varchar"),
+        result_member("processing_time_ms", "coalesce(latency_ms, 0)::varchar"),
+        "',\"tokenUsage\":' || json_object('inputTokens', analysis_in + planning_in, 'outputTokens', analysis_out + planning_out,"
+        " 'totalTokens', analysis_in + planning_in + analysis_out + planning_out)::varchar || '}'",
+    ]
+)
+SQL["analysis_result"] = ANALYSED + f" select rec_id as req_id, {RESULT_JSON} as analysis_result from counted"
 CALLS = " union all ".join(
     f"select '{stage}' as stage, {stage}_in as i, {stage}_out as o from counted" for stage in ("translation", "analysis", "summary", "planning")
 )

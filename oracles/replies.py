@@ -104,6 +104,51 @@ FLAT = ["category", "priority", "sentiment", "class_confidence", "structured_dat
 ]
 
 
+def in_order(x, depth=4):
+    """JSON text with the members of every object in alphabetical order."""
+    if not depth:
+        return f"{x}::varchar"
+    k, i = f"k{depth}", f"i{depth}"
+    return (
+        f"case json_type({x}) when 'OBJECT' then '{{' || array_to_string(list_transform(list_sort(json_keys({x})), lambda {k}: to_json({k})::varchar || ':'"
+        f" || {in_order(f'({x} -> {k})', depth - 1)}), ',') || '}}' when 'ARRAY' then '[' || array_to_string(list_transform(range(0, json_array_length({x})::bigint),"
+        f" lambda {i}: {in_order(f'({x} -> {i}::int)', depth - 1)}), ',') || ']' else {x}::varchar end"
+    )
+
+
+def set_confidence(x, value):
+    return f"json_merge_patch({x}, json_object('confidence', {value}))"
+
+
+def open_ctes(src="raw2"):
+    """The parts of a reply with all their members, as JSON text."""
+    conf = "(sd -> 'confidence')"
+    kept = f"case when json_type(sd) = 'OBJECT' and {truthy(conf)} then {conf} else '0.7'::json end"
+    listed = "list_transform(range(0, json_array_length(sd)::bigint), lambda i: '\"' || i || '\":' || (sd -> i::int)::varchar)"
+    chars = f"list_transform(range(0, length({text('sd')})), lambda i: '\"' || i || '\":' || to_json(substr({text('sd')}, i + 1, 1))::varchar)"
+    spread = (
+        f"case json_type(sd) when 'OBJECT' then sd when 'ARRAY' then ('{{' || array_to_string({listed}, ',') || '}}')::json"
+        f" when 'VARCHAR' then ('{{' || array_to_string({chars}, ',') || '}}')::json else '{{}}'::json end"
+    )
+    item = f"case when json_type(a) = 'OBJECT' then {set_confidence('a', clamp_confidence('(a -> ' + chr(39) + 'confidence' + chr(39) + ')'))} else a end"
+    items = f"case when json_type(ai) = 'ARRAY' then list_transform(json_extract(ai, '$[*]'), lambda a: {item}) end"
+    cls_open = (
+        f"case when json_type(cls) = 'OBJECT' then {set_confidence('cls', clamp_confidence('con'))} when {truthy('cls')} then cls"
+        " else json_object('confidence', 0.7::double) end"
+    )
+    return [
+        ("open0", f"select *, {cls_open} as cls_open, {set_confidence(f'({spread})', kept)} as sd_open, {items} as ai_open from {src}"),
+        (
+            "opened",
+            f"select *, {in_order('cls_open')} as classification_object, {in_order('sd_open')} as structured_object,"
+            f" '[' || coalesce(array_to_string(list_transform(ai_open, lambda a: {in_order('a')}), ','), '') || ']' as action_objects from open0",
+        ),
+    ]
+
+
+OPEN = ["classification_object", "structured_object", "action_objects"]
+
+
 def review_ctes(src):
     con, ova = number("con"), number("ova")
     items = number("(cs -> 'action_items')")
@@ -186,12 +231,15 @@ def analysis_ctes():
         "category": "'other'", "priority": "'medium'", "sentiment": "'neutral'", "class_confidence": "0.5",
         "structured_data": "''", "structured_confidence": "0.5", "action_items": "''",
         **{f"score_{n}": "0.5" for n in SCORES},
+        "classification_object": """'{"category":"other","confidence":0.5,"priority":"medium","sentiment":"neutral"}'""",
+        "structured_object": """'{"confidence":0.5}'""", "action_objects": "'[]'",
     }
     plan_conf, action, reasoning = "(plan -> 'confidence')", "(plan -> 'action')", "(plan -> 'reasoning')"
     return [
         *input_ctes(),
         *raw_ctes("inp"),
-        flat("raw2"),
+        *open_ctes("raw2"),
+        flat("opened"),
         *review_ctes("flat"),
         (
             "judged",
@@ -203,8 +251,8 @@ def analysis_ctes():
         ),
         (
             "final",
-            f"select * exclude ({', '.join(FLAT)}, requires_human_review, review_reason), "
-            + ", ".join(f"case when failure is null then {c} else {fixed[c]} end as {c}" for c in FLAT)
+            f"select * exclude ({', '.join(FLAT + OPEN)}, requires_human_review, review_reason), "
+            + ", ".join(f"case when failure is null then {c} else {fixed[c]} end as {c}" for c in FLAT + OPEN)
             + f", case failure when 'pipeline' then 'Email processing failed. ' || {subject} || 'Requires manual review.'"
             f" when 'analysis' then 'Email analysis failed. ' || {subject} || 'First sentence: \"' || {sentence('body')} || '\"' else summary0 end as summary,"
             " failure is not null or requires_human_review as requires_human_review,"

@@ -209,3 +209,16 @@ def test_a_service_that_is_down_is_asked_a_few_times_only(spark, tmp_path):
     rows = I.infer_batches(df.coalesce(1), model, pause=0).collect()
     assert len(rows) == 40 and {r.error for r in rows} == {"ConnectionError: down"}
     assert len(open(log).read()) == 3
+
+
+def test_further_members_of_replies_are_kept(spark):
+    reply = (
+        '{"classification":{"category":"billing","confidence":2,"subcategory":"x","by":{"id":1}},"confidence_scores":{"overall":0.9},'
+        '"action_items":[{"action":"a","due":"now"},null,[1]],"structured_data":{"n":5,"acc":{"value":"v","unit":"u"}},"summary":"s"}'
+    )
+    rows = spark.createDataFrame([(1, reply), (2, "none"), (3, None)], "rec_id int, analysis_text string")
+    got = {r.rec_id: r for r in A.normalise_analysis(A.parse_analysis(rows)).select("rec_id", *[F.to_json(c).alias(c) for c in A.OPEN]).collect()}
+    assert got[1].classification_object == '{"by":{"id":1},"category":"billing","confidence":1.0,"subcategory":"x"}'
+    assert got[1].structured_object == '{"acc":{"unit":"u","value":"v"},"confidence":0.7,"n":5}'
+    assert got[1].action_objects == '[{"action":"a","confidence":0.7,"due":"now"},null,[1]]'
+    assert got[2].structured_object == got[3].classification_object == '{"confidence":0.7}' and got[3].action_objects == "[]"

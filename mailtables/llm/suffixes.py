@@ -18,12 +18,12 @@ WIDTH, SOME = 32, 4
 # The same for the parse of phrases that share a trigger.
 SHORT_WIDTH, RARE = 8, 16
 CHUNK = 8 << 20
-PIECE = 4 << 20
+PIECE = 1 << 20
 BUCKET = 16 << 20
 # Of one trigger a chunk looks up so many different phrases. A trigger that reaches this, or has MANY in all, is a
 # common one, whose phrases are compared by windows, spread by their names; no bucket gathers them.
 VARIANTS, MANY = 8, 1_000
-BATCH = 4 << 20
+BATCH = 1 << 20
 CLEAN, REPEATED, SHARED, COMMON = range(4)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CODE = mix(np.arange(1, 257, dtype=np.uint64), 3)
@@ -220,6 +220,11 @@ def large(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=9).astype(np.int64) + int.from_bytes(raw[1:9], "little", signed=True)
 
 
+def rising(a: np.ndarray) -> bytes:
+    """Rising numbers by their steps."""
+    return small(np.diff(a, prepend=0))
+
+
 class Chunk:
     """Texts in the order of their keys, one after the other."""
 
@@ -453,7 +458,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         said, rows = b.to_pylist(), []
         for row in a.to_pylist():
             chunk = Chunk(row)
-            windows, classes, low, high, begin = (np.frombuffer(row[c], "<i8") for c in ("windows", "classes", "low", "high", "begin"))
+            windows, low, begin = (np.cumsum(large(row[c])) for c in ("windows", "low", "begin"))
+            classes, high = large(row["classes"]), low + large(row["high"])
             # Class 0 is known to be repeated.
             by_name = windows[np.append(True, said_of(said) == REPEATED)[classes]]
             by_text = ranges(begin, large(row["sizes"]))[said_of(said, 1) == 1]
@@ -517,13 +523,13 @@ def decided(chunk: Chunk, said: np.ndarray, buckets: int):
         # The waiting texts move together.
         lengths = np.where(waits, chunk.ends - chunk.starts, 0)
         shift = chunk.starts - np.cumsum(lengths) + lengths
-        moved = lambda at: (at - shift[doc_of(at)]).astype("<i8")
+        moved = lambda at: at - shift[doc_of(at)]
         mine = waits[doc_of(low)]
         texts = b"".join(chunk.data[a:b].tobytes() for a, b in zip(chunk.starts[waits], chunk.ends[waits]))
         yield blank | {
             "kind": ["waiting"], "chunk": [chunk.number], "size": [len(texts)], "ids": [chunk.ids[waits].tobytes()],
             "unnamed": [chunk.unnamed[waits].tobytes()], "ends": [np.cumsum(lengths[waits]).astype("<i8").tobytes()],
-            "texts": [squeeze(texts)], "windows": [moved(windows).tobytes()], "classes": [classes.tobytes()],
-            "low": [moved(low[mine]).tobytes()], "high": [(moved(low[mine]) + high[mine] - low[mine]).tobytes()],
-            "begin": [moved(p["low"][shared]).tobytes()], "sizes": [small(size[shared])],
+            "texts": [squeeze(texts)], "windows": [rising(moved(windows))], "classes": [small(classes)],
+            "low": [rising(moved(low[mine]))], "high": [small(high[mine] - low[mine])],
+            "begin": [rising(moved(p["low"][shared]))], "sizes": [small(size[shared])],
         }

@@ -17,13 +17,13 @@ LENGTH = 100
 WIDTH, SOME = 32, 4
 # The same for the parse of phrases that share a trigger.
 SHORT_WIDTH, RARE = 8, 16
-CHUNK = 8 << 20
-PIECE = 1 << 20
+CHUNK = 4 << 20
+PIECE = 512 << 10
 BUCKET = 16 << 20
 # Of one trigger a chunk looks up so many different phrases. A trigger that reaches this, or has MANY in all, is a
 # common one, whose phrases are compared by windows, spread by their names; no bucket gathers them.
 VARIANTS, MANY = 8, 1_000
-BATCH = 1 << 20
+BATCH = 512 << 10
 CLEAN, REPEATED, SHARED, COMMON = range(4)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CODE = mix(np.arange(1, 257, dtype=np.uint64), 3)
@@ -419,7 +419,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     others and keep it; rows that repeat a key are texts of their own, in the order in which they are stored. Other
     columns are ignored, whatever their names. An empty table gives no rows.
 
-    Texts are stored in chunks of about 8 MB. Each chunk names its different phrases once, and buckets by trigger tell which of
+    Texts are stored in chunks of about 4 MB. Each chunk names its different phrases once, and buckets by trigger tell which of
     them occur earlier and which share a trigger with another phrase. Only these latter ones are compared byte by byte: buckets by
     trigger put their windows into corpus order by prefix-free parsing. So a phrase, however often it occurs, is looked up at most
     once a chunk. Phrases of a trigger with very many of them are ordered in their chunks, and their windows are looked up by name.

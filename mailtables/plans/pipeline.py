@@ -9,7 +9,7 @@ from ..config import CleanerConfig
 from ..functions.stages import pin
 from ..operators.analysis import STAGES, analyse, analysis_json
 from ..operators.cleaning import clean_body, clean_emails, describe_mail
-from ..operators.inference import infer_batches
+from ..operators import replylog
 from ..operators.keyed import join_unique, latest_per_key, number_per_key, one_per_key
 from ..operators.prompts import action_prompts, analysis_prompts, summary_prompts
 from ..operators.reports import run_report
@@ -127,8 +127,9 @@ def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency
     """The pipeline with a model function instead of a table of replies.
 
     Each phase writes its replies under the shared folder before the next one reads them: model
-    calls are expensive and not repeatable, so a lost executor must not repeat finished ones. A run
-    that is started again with the same ``work_dir`` asks only what has no stored reply.
+    calls are expensive and not repeatable, so a lost executor must not repeat finished ones. Replies are stored by
+    the content of their request (``operators.replylog``): a run that is started again with the same ``work_dir``
+    asks only what has no stored reply, and equal prompts are asked once.
     """
     spark = emails.sparkSession
     work_dir = work_dir or shared_dir(spark, "model-run")
@@ -142,19 +143,9 @@ def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency
             df.write.mode("overwrite").parquet(f"{work_dir}/{name}")
         return spark.read.parquet(f"{work_dir}/{name}")
 
-    def ask(prompts, name):
-        """Replies in parts: every failed start may leave some, and the next one asks for the rest."""
-        parts = []
-        while exists(f"{work_dir}/{name}/part={len(parts)}"):
-            parts.append(spark.read.parquet(f"{work_dir}/{name}/part={len(parts)}"))
-        known = reduce(DataFrame.unionByName, parts).filter("error is null") if parts else None
-        open_ones = prompts.join(known, "rec_id", "left_anti") if parts else prompts
-        if parts and open_ones.isEmpty():
-            return known
-        path = f"{work_dir}/{name}/part={len(parts)}"
-        infer_batches(open_ones, model, concurrency=concurrency).write.mode("overwrite").parquet(path)
-        new = spark.read.parquet(path)
-        return known.unionByName(new) if parts else new
+    def ask(prompts):
+        """Replies through the store of requests: equal prompts are asked once, finished ones never again."""
+        return replylog.ask(prompts, model, f"{work_dir}/requests", concurrency=concurrency)
 
     def add(df, replies, **columns):
         picked = replies.select("rec_id", *[F.col(v).alias(k) for k, v in columns.items()])
@@ -163,19 +154,19 @@ def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency
     good, _ = isolate_bad_rows(emails)
     cleaned = stored(clean_emails(good, "body_html", config).drop("body_html"), "cleaned")
     mails = cleaned.withColumn("body", F.col("clean_text"))
-    mails = add(mails, ask(translation_prompts(mails), "translation"), translation_text="reply",
+    mails = add(mails, ask(translation_prompts(mails)), translation_text="reply",
                 translation_in_tokens="in_tokens", translation_out_tokens="out_tokens")
     mails = stored(apply_email_translation(mails), "translated")
     mails = stored(
-        add(mails, ask(analysis_prompts(mails), "analysis"), analysis_text="reply",
+        add(mails, ask(analysis_prompts(mails)), analysis_text="reply",
             in_tokens="in_tokens", out_tokens="out_tokens", latency_ms="latency_ms"),
         "analysed",
     )
     mails = stored(
-        add(mails, ask(summary_prompts(mails), "summary"), summary_text="reply",
+        add(mails, ask(summary_prompts(mails)), summary_text="reply",
             summary_in_tokens="in_tokens", summary_out_tokens="out_tokens"),
         "summarised",
     )
-    mails = add(mails, ask(action_prompts(mails), "action"), action_text="reply",
+    mails = add(mails, ask(action_prompts(mails)), action_text="reply",
                 plan_in_tokens="in_tokens", plan_out_tokens="out_tokens")
     return analyse(mails)

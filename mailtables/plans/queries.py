@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.html import html_to_text, strip_html
 from ..functions.text import normalise
-from ..operators import analysis as A, cleaning as C, inference as I, prompts as P, reports as R
+from ..operators import analysis as A, cleaning as C, inference as I, prompts as P, replylog as L, reports as R
 from ..operators import translation as T
 from ..session import shared_dir
-from ..sources import emails as S, tables as TB
+from ..sources import buckets as B, emails as S, pages as PG, tables as TB
 from ..sources.emails import spread
-from ..streaming import streams as ST
+from ..streaming import answers as AN, deduplicate as DD, levels as LV, streams as ST
 from . import fixture as X, pipeline as PL
 from .pipeline import clean_and_join, process_emails, storage_rows
 
@@ -150,6 +150,16 @@ def deep_page(spark, sf_dir):
     return S.page_emails(good, page=5, size=20, order_by="subject").select("rec_id", "subject", "type")
 
 
+@query
+def ranked_page(spark, sf_dir):
+    """The same page from a table that was sorted when it was written: only the files that hold it are read."""
+    good, _ = S.isolate_bad_rows(X.emails(spark, sf_dir))
+    order = [("subject", False), ("rec_id", True)]
+    path = f"{shared_dir(spark, 'ranked')}/table"
+    PG.write_ranked(good.select("rec_id", "subject", "type"), path, order, files=12)
+    return PG.ranked_page(spark, path, order, 80, 20)
+
+
 @query
 def dead_letters(spark, sf_dir):
     good, bad = S.isolate_bad_rows(X.emails(spark, sf_dir))
@@ -359,6 +369,18 @@ def upsert_snapshot(spark, sf_dir):
     return created_text(snapshot).select(*FLAT_TABLE, "created_at")
 
 
+@query
+def upsert_buckets(spark, sf_dir):
+    """The same upsert into a bucketed snapshot that holds the earlier table."""
+    path = f"{shared_dir(spark, 'buckets')}/table"
+    earlier = small_current(spark, sf_dir).drop("created_at").withColumn("arrival", F.lit(0))
+    B.upsert_buckets(path, earlier, at(EARLIER_TS), buckets=16)
+    batch = deliveries(spark, sf_dir).drop("lang")
+    B.upsert_buckets(path, batch, at(RUN_TS))
+    schema = batch.select("req_id", *TB.VALUES, at(RUN_TS).alias("created_at")).schema
+    return created_text(B.read_buckets(spark, path, schema)).select(*FLAT_TABLE, "created_at")
+
+
 def history(spark, sf_dir):
     """Reprocessing history: one row per turn of a conversation, for the request of that number."""
     return X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req_id"), F.col("turn"))
@@ -462,6 +484,39 @@ def infer_batches(spark, sf_dir):
     )
 
 
+def logged(spark, sf_dir):
+    """Many equal prompts through the store of replies: the first run's model rejects some, the second asks only these."""
+
+    def model(rejected):
+        def reply(prompts):
+            if any(rejected in p for p in prompts):
+                raise ValueError("rejected")
+            return [{"reply": p.replace("|", " "), "in_tokens": len(p), "out_tokens": 3, "latency_ms": 1} for p in prompts]
+
+        return reply
+
+    prompts = X.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("rec_id"), F.col("lang").alias("kind"),
+        F.concat_ws("|", "source", (F.col("n_chars") % 10).cast("string")).alias("prompt"),
+    )
+    path = f"{shared_dir(spark, 'reply-log')}/requests"
+    L.ask(prompts, model("src3"), path, part_rows=40)
+    return L.ask(prompts, model("none"), path), path
+
+
+@query
+def reply_log(spark, sf_dir):
+    rows, path = logged(spark, sf_dir)
+    return rows.select("rec_id", "kind", "reply", "in_tokens", "error")
+
+
+@query
+def provider_totals(spark, sf_dir):
+    """Calls and tokens as the provider counts them."""
+    _, path = logged(spark, sf_dir)
+    return L.provider_totals(spark, path)
+
+
 # ---- streams ---------------------------------------------------------------------------------
 
 
@@ -508,3 +563,67 @@ def stream_dedup(spark, sf_dir):
     events = ST.read_stream(spark, f"{work}/in", twice.schema, files_per_batch=1)
     ST.stream_dedup(events.select("rec_id", "event_type"), f"{work}/out", f"{work}/checkpoint")
     return ST.first_deliveries(spark, f"{work}/out")
+
+
+@query
+def stream_dedup_bounded(spark, sf_dir):
+    """The same deliveries through a state store that forgets, with a table of what came too late for it."""
+    work = shared_dir(spark, "stream-dedup-bounded")
+    twice = X.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"),
+    )
+    twice.repartitionByRange(6, "delivery", F.desc("ts")).drop("delivery").write.parquet(f"{work}/in")
+    schema = twice.drop("delivery").schema
+    DD.stream_dedup_bounded(
+        lambda: ST.read_stream(spark, f"{work}/in", schema, files_per_batch=1), work, f"{work}/checkpoint", "rec_id", "ts", "1 hour"
+    )
+    return DD.complete(spark, work, schema, "rec_id").select("rec_id", "event_type")
+
+
+@query
+def stream_upsert_levels(spark, sf_dir):
+    """Six deliveries of growing sets of requests, upserted into merged levels."""
+    work = shared_dir(spark, "stream-levels")
+    docs = X.table(spark, sf_dir, "documents")
+    for i in range(6):
+        part = docs.filter(f"doc_id % 6 <= {i}").select(
+            F.col("doc_id").alias("req_id"), F.concat(F.lit(f"{i} "), "text").alias("core"), F.col("n_chars").alias("arrival"))
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    schema = part.schema
+    rows = ST.read_stream(spark, f"{work}/in", schema, files_per_batch=1)
+
+    def prepare(batch):
+        kinds = {"translated": "boolean", "requires_human_review": "boolean", "processing_time_ms": "int"}
+        return batch.select("*", *[F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in TB.VALUES if c != "core"])
+
+    LV.stream_upsert_levels(rows, f"{work}/table", f"{work}/checkpoint", at(RUN_TS), prepare=prepare, fan=2)
+    return created_text(LV.current_levels(spark, f"{work}/table")).select("req_id", "core", "requires_human_review", "created_at")
+
+
+@query
+def stream_answers(spark, sf_dir):
+    """Mails and replies from several files in disorder: stored rows, and history rows for replies that came late."""
+    work = shared_dir(spark, "stream-answers")
+    at_time = F.col("created_ts").cast("timestamp")
+    good, _ = S.isolate_bad_rows(X.emails(spark, sf_dir))
+    mails = good.withColumn("created_ts", at_time).select("rec_id", "subject", "body_html", "type", "created_ts")
+    replied = at_time + F.when(F.col("rec_id") % 6 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 20 minutes"))
+    times = X.emails(spark, sf_dir).filter("rec_id % 10 != 3").select("rec_id", replied.alias("replied_ts"))
+    replies = X.responses(spark, sf_dir).join(times, "rec_id")
+    # A last row on either side, long after all others, ends the waiting.
+    for name, rows, time in (("mails", mails, "created_ts"), ("replies", replies, "replied_ts")):
+        rows.repartition(3).write.parquet(f"{work}/{name}")
+        for days in (30, 60):
+            values = {time: F.col("t") + F.expr(f"interval {days} days"), "rec_id": F.lit(-1)}
+            last = rows.agg(F.max(time).alias("t")).select(
+                *[values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in rows.dtypes])
+            last.coalesce(1).write.mode("append").parquet(f"{work}/{name}")
+    arriving = [ST.read_stream(spark, f"{work}/{name}", rows.schema, files_per_batch=1) for name, rows in (("mails", mails), ("replies", replies))]
+    joined = AN.stream_answers(*arriving, "1 hour", "10 days")
+    ST.append_stream(joined, f"{work}/answered", f"{work}/checkpoint")
+    answered = spark.read.parquet(f"{work}/answered").filter("rec_id >= 0")
+    names = ["req_id", "core", "summary", "requires_human_review", "review_reason"]
+    stored = AN.stored_rows(answered).select(F.lit("emails_cleaned").alias("table"), F.lit(None).cast("string").alias("process_label"), *names)
+    late = AN.late_rows(answered, spark.read.parquet(f"{work}/replies").filter("rec_id >= 0"), history(spark, sf_dir), at(RUN_TS))
+    return stored.unionByName(late.select(F.lit("emails_reprocess").alias("table"), "process_label", *names))

@@ -356,3 +356,43 @@ SQL["deep_page"] = (
     " order by subject desc nulls last, rec_id limit 20 offset 80"
 )
 SQL["stream_dedup"] = "select event_id as rec_id, event_type from events"
+
+# ---- stores and further streams ------------------------------------------------------------------
+
+SQL["ranked_page"] = SQL["deep_page"]
+# The earlier table is itself an upsert, which fills in the defaults.
+SQL["upsert_buckets"] = (
+    "select * replace (coalesce(translated, false) as translated, coalesce(requires_human_review, false) as requires_human_review,"
+    f" coalesce(processing_time_ms, 0) as processing_time_ms) from ({SQL['upsert_snapshot']})"
+)
+SQL["reply_log"] = (
+    "select doc_id as rec_id, lang as kind, source || ' ' || (n_chars % 10) as reply, length(source || '|' || (n_chars % 10)) as in_tokens,"
+    " null::varchar as error from documents"
+)
+SQL["provider_totals"] = (
+    "with requests as (select distinct lang as kind, source || '|' || (n_chars % 10) as prompt from documents)"
+    " select kind, count(*) + count(*) filter (contains(prompt, 'src3')) as calls, count(*) as requests,"
+    " count(*) filter (contains(prompt, 'src3')) as failed, sum(length(prompt))::bigint as input_tokens, 3 * count(*) as output_tokens"
+    " from requests group by kind"
+)
+SQL["stream_dedup_bounded"] = SQL["stream_dedup"]
+SQL["stream_upsert_levels"] = (
+    "select doc_id as req_id, '5 ' || text as core, false as requires_human_review, '2025-03-01 12:00:00' as created_at from documents"
+)
+
+
+def answers(table, where, label, extra=()):
+    responses = ("responses", f"{D.RESPONSES[1]} where doc_id % 10 <> 3 and doc_id % 6 {where}")
+    return with_(*R.analysis_ctes(responses), *extra) + (
+        f" select '{table}' as \"table\", {label} as process_label, rec_id as req_id, core, summary, requires_human_review, review_reason from acted"
+    )
+
+
+SQL["stream_answers"] = (
+    f"select * from ({answers('emails_cleaned', '<> 0', 'null')}) union all select * from ("
+    + answers(
+        "emails_reprocess", "= 0", "'process' || (coalesce(done, 0) + 1)",
+        [("past", "select conv_id as rec_id, count(*) as done from conversations group by conv_id")],
+    )
+    + " left join past using (rec_id) where rec_id in (select rec_id from responses))"
+)

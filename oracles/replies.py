@@ -176,13 +176,13 @@ def sentence(body):
     return D.trim(f"coalesce(nullif(regexp_extract({body}, '\\A([^.!?]*)', 1), ''), substr({body}, 1, 100))")
 
 
-def input_ctes():
+def input_ctes(responses=D.RESPONSES):
     """Cleaned mails with replies, translation applied."""
     arabic = r"[\x{0600}-\x{06FF}]"
     has = f"(coalesce(regexp_matches(subject, {q(arabic)}), false) or coalesce(regexp_matches(clean_text, {q(arabic)}), false))"
     return [
         *D.clean_ctes(),
-        D.RESPONSES,
+        responses,
         (
             "joined0",
             f"select clean.*, {', '.join(c.split(' as ')[-1] for c in ['analysis_text', 'summary_text', 'action_text', 'translation_text', 'latency_ms', *TOKENS])},"
@@ -206,7 +206,7 @@ def input_ctes():
 CONTENT = "case when was_translated then case when subject is null then json_object('body', body) else json_object('subject', subject, 'body', body) end end"
 
 
-def analysis_ctes():
+def analysis_ctes(responses=D.RESPONSES):
     prim = "json_type({0}) in " + PRIMITIVE
     primitive_item = "list_filter(case when json_type(ai) = 'ARRAY' then json_extract(ai, '$[*]') end, lambda a: " + f"{truthy('a')} and " + prim.format("a") + ")"
     failed = (
@@ -236,7 +236,7 @@ def analysis_ctes():
     }
     plan_conf, action, reasoning = "(plan -> 'confidence')", "(plan -> 'action')", "(plan -> 'reasoning')"
     return [
-        *input_ctes(),
+        *input_ctes(responses),
         *raw_ctes("inp"),
         *open_ctes("raw2"),
         flat("opened"),

@@ -41,7 +41,7 @@ def op4_quality(spark, sf_dir):
 @query
 def op5_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return idfile.read_ids(idfile.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return idfile.read_ids(idfile.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), kind="byte"))
 
 
 @query

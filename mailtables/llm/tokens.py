@@ -53,9 +53,18 @@ class Encoder:
             shown = splitter.pre_tokenize_str(chr(code))[0][0]
             self.signs.update(zip(chr(code).encode(), shown))
         self.part = Memory(self._part)
-        self.after_blank = Memory(lambda s: self._piece(" " + s))
+        self.after_blank = Memory(self._behind_blank)
         self.other = Memory(self._piece, MEMORY // 4)
 
+    def _behind_blank(self, s):
+        """A piece and the blank before it; a word with marks behind it is put together from both."""
+        if s.isascii():
+            if s.isalpha():
+                return self._part(s if self.lower else " " + s)
+            if s[:-1].isalpha() and s[-1] in ",.;:!?":
+                return self.after_blank[s[:-1]] + self.part[s[-1]]
+        return self._piece(" " + s)
+
     def _part(self, s):
         """A piece that the vocabulary's splitting rule leaves whole."""
         if self.lower:

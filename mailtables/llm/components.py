@@ -17,7 +17,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     many links.
     """
     links = stored(links.filter("a <> b").select("a", "b").distinct(), "links")
-    steps = []
+    found = None
     for turn in range(most):
         if links.isEmpty():
             break
@@ -31,16 +31,16 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         first = F.min(F.struct("h", F.col("b").alias("m"))).alias("first")
         near = both.select("a", "b", "h").unionByName(nodes.select("a", F.col("a").alias("b"), "h"))
         step = stored(near.groupBy("a").agg(first).select("a", "first.m"), "steps")
-        steps.append(step)
+        if found is None:
+            found = step.toDF("node", "root")
+        else:
+            # Folded at once, so that plans do not grow with the rounds.
+            further = found.join(step.toDF("root", "_next"), "root", "left")
+            found = stored(further.select("node", F.coalesce("_next", "root").alias("root")), "components")
         ends = links.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").filter("x <> y")
         links = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     else:
         raise RuntimeError("links are left after the last round")
-    if not steps:
+    if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = steps[0].toDF("node", "root")
-    for step in steps[1:]:
-        found = found.join(step.toDF("root", "_next"), "root", "left").select(
-            "node", F.coalesce("_next", "root").alias("root")
-        )
-    return stored(found, "components")
+    return found

@@ -36,7 +36,7 @@ REGION_ROWS = 300_000
 HOT = 100_000
 FLUSH = 1 << 18
 BITS = 1 << 23
-GROUP = 1000
+GROUP = 64
 
 
 def class_key(shingles, at):
@@ -144,7 +144,7 @@ def has_partner(s, n, pos, percent, most=32):
     return found
 
 
-def region_rows(docs: DataFrame, text: str, size: int, percent: int, frequent: tuple, buckets: int) -> DataFrame:
+def region_rows(docs: DataFrame, text: str, size: int, percent: int, known, buckets: int) -> DataFrame:
     """``s, c, n, pos, p, near``: the documents of every region with two or more, and the region's pivot.
 
     ``pos`` is the place of the region's shingle in the document's order, ``near`` says whether the document
@@ -154,7 +154,6 @@ def region_rows(docs: DataFrame, text: str, size: int, percent: int, frequent: t
     each with a pivot of its own.
     """
     ship(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
     packed = "b long, rows binary"
     target = arrow_schema(packed)
 
@@ -340,7 +339,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     classes = stored(classes, "classes")
     amount = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(max(amount // REGION_ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = stored(region_rows(named, text, size, percent, frequent, buckets), "regions")
+    known = spark.sparkContext.broadcast(frequent)
+    rows = stored(region_rows(named, text, size, percent, known, buckets), "regions")
+    known.destroy()
 
     def checked(pairs):
         return verify(pairs.distinct(), classes, named, key, text, size, percent)

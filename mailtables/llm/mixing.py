@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import stored
+
 BUCKETS = 4096
 LEVELS = ("domain", "lang", "source")
 
@@ -57,7 +59,8 @@ def budgets(leaves: DataFrame, weights: dict, permille: int, epochs: int) -> Dat
         else:
             keys = [nodes[c].eqNullSafe(above[f"_{c}"]) for c in path[:-1]]
             nodes = nodes.join(above, keys and _all(keys)).drop(*[f"_{c}" for c in path[:-1]])
-        nodes = share(nodes, path[:-1], level)
+        # Some hundred rows; stored, so that no level plans those above it anew.
+        nodes = stored(share(nodes, path[:-1], level), f"budgets-{level}")
         above = nodes.select(*[F.col(c).alias(f"_{c}") for c in path], F.col("budget").alias("granted"))
     return nodes.select(*LEVELS, "budget")
 
@@ -93,7 +96,7 @@ def mix(df: DataFrame, key: str, tokens: Column, domain: Column, weights: dict,
     )
     path = list(LEVELS)
     same = lambda a, b: _all([a[c].eqNullSafe(b[c]) for c in path])
-    leaves = rows.groupBy(*path).agg(F.sum("_n").alias("tokens"))
+    leaves = stored(rows.groupBy(*path).agg(F.sum("_n").alias("tokens")), "leaves")
     plan = budgets(leaves, weights, permille, epochs)
     plan = plan.join(leaves.toDF("_d", "_l", "_s", "tokens"), _all(
         [F.col("domain").eqNullSafe(F.col("_d")), F.col("lang").eqNullSafe(F.col("_l")), F.col("source").eqNullSafe(F.col("_s"))]
@@ -101,7 +104,7 @@ def mix(df: DataFrame, key: str, tokens: Column, domain: Column, weights: dict,
     plan = plan.withColumn("_whole", F.expr("case when tokens = 0 then 0 else budget div tokens end"))
     plan = plan.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
     last = [F.col(c).alias(f"_{c}") for c in path] + ["_whole", "_rest"]
-    plan = plan.select(*last)
+    plan = stored(plan.select(*last), "plan")
     here = _all([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in path])
     text_of = F.coalesce(F.col("_key").cast("string"), F.lit("null key"))
     hashed = lambda epoch: F.md5(F.concat_ws(" ", F.lit(str(seed)), epoch.cast("string"), text_of).cast("binary"))
@@ -116,7 +119,7 @@ def mix(df: DataFrame, key: str, tokens: Column, domain: Column, weights: dict,
         .filter("_before <= _rest and _rest < _before + _sum")
         .select(*[F.col(c).alias(f"_{c}") for c in path], F.col("_bucket").alias("_last"), F.col("_before").alias("_base"))
     )
-    planned = planned.join(ends, here, "left").drop(*[f"_{c}" for c in path])
+    planned = planned.join(stored(ends, "ends"), here, "left").drop(*[f"_{c}" for c in path])
     full = planned.filter("_whole > 0").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)).alias("epoch")
     ).withColumn("taken", F.col("_n"))

@@ -137,3 +137,25 @@ def test_pipeline(spark, documents, duck):
     share = sum(map(words, chosen.values())) / sum(map(words, texts.values()))
     assert 0.85 < share < 1
     check_packing(stages["packing"](spark, mixed, SMALL).collect(), list(chosen.items()))
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_table(spark, stage):
+    """Clashing names, NULLs, repeated rows, no n_chars, and no rows at all."""
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    texts = [(1, words("a")), (2, words("a")), (2, words("b")), (2, words("b")), (None, words("c")), (4, None), (5, ""), (6, "mail me: x@example.org")]
+    more = ["_at", "_kept", "_chosen", "_row", "row", "place", "c0", "0", "c1", "predicted", "chosen", "uid", "length", "part", "_hash"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in more)
+    rows = [(k, t, None if k == 5 else "en", f"src{i}", *[f"{n}{i}" for n in more]) for i, (k, t) in enumerate(texts)]
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.createDataFrame(rows, schema)
+    got = run(spark, docs, SMALL)
+    if stage == "packing":
+        assert sorted((r.doc_id or 0) for r in got.collect()) == sorted((k or 0) for k, _ in texts)
+    else:
+        assert got.columns == docs.columns
+        for r in got.collect():
+            i = int(r["_at"][3:])
+            # Whatever a stage decides, a row's own values come with it.
+            assert tuple(r)[2:] == rows[i][2:] and (stage == "personal_data" or tuple(r) == rows[i])
+    assert run(spark, docs.limit(0), SMALL).isEmpty()

@@ -106,8 +106,8 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             return record(row, schema)
 
         for batch in batches:
-            for k, t in zip(batch["k"].to_pylist(), batch["t"]):
-                ids = encode(t.as_py()) + end
+            for k, t in zip(batch["k"].to_pylist(), batch["t"].to_pylist()):
+                ids = encode(t) + end
                 if held and size + len(ids) // 4 > chunk:
                     yield flush()
                     first, number = first + size, number + 1

@@ -52,6 +52,7 @@ class Encoder:
         for code in range(256):
             shown = splitter.pre_tokenize_str(chr(code))[0][0]
             self.signs.update(zip(chr(code).encode(), shown))
+        self.signs[" "] = self.signs[32]
         self.part = Memory(self._part)
         self.after_blank = Memory(self._behind_blank)
         self.other = Memory(self._piece, MEMORY // 4)
@@ -60,7 +61,7 @@ class Encoder:
         """A piece and the blank before it; a word with marks behind it is put together from both."""
         if s.isascii():
             if s.isalpha():
-                return self._part(s if self.lower else " " + s)
+                return self._ids(s.lower() if self.lower else self.signs[" "] + s)
             if s[:-1].isalpha() and s[-1] in ",.;:!?":
                 return self.after_blank[s[:-1]] + self.part[s[-1]]
         return self._piece(" " + s)
@@ -71,6 +72,9 @@ class Encoder:
             s = s.lower()
         if not s.isascii() or s[0] in " \n":
             s = s.encode().decode("latin-1").translate(self.signs)
+        return self._ids(s)
+
+    def _ids(self, s):
         return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def _line(self, s):

@@ -32,6 +32,14 @@ EMAILS = [
     f"case when n_chars % 89 = 0 then null else {HTML_BODY} end as body_html",
 ]
 
+# The same mails as they land, all text, some of them unfit; and how long their replies took, as text.
+LANDED = [
+    "doc_id",
+    "case when n_chars % 97 = 0 then null when doc_id % 31 = 0 then concat('no. ', cast(doc_id as string)) else concat(' ', cast(doc_id as string)) end as landed_id",
+    "case when doc_id % 29 = 0 then 'soon' when doc_id % 23 = 0 then null else '2024-01-01 00:00:00' end as created",
+    "case when doc_id % 37 = 0 then 'slow' when doc_id % 37 = 1 then '99999999999' when doc_id % 37 = 2 then '-5' when doc_id % 37 = 3 then null else '70' end as latency",
+]
+
 CONFIDENCE = "concat('0.', lpad(cast(n_chars % 100 as string), 2, '0'))"
 
 # One response row per document. NULL stands for a call that failed.
@@ -107,6 +115,14 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose_emails(table(spark, sf_dir, "documents"))
 
 
+def landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Mails as text, and the replies with their latency as text."""
+    docs = table(spark, sf_dir, "documents")
+    mails = docs.selectExpr(*LANDED, *[c for c in EMAILS if c.split(" as ")[-1] in ("subject", "type", "body_html")])
+    replies = responses(spark, sf_dir).join(docs.selectExpr("doc_id as rec_id", LANDED[-1]), "rec_id")
+    return mails.withColumnRenamed("landed_id", "rec_id").drop("doc_id", "latency"), replies
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*RESPONSES)
 

@@ -9,7 +9,7 @@ from ..config import CleanerConfig
 from ..functions.stages import pin
 from ..operators.analysis import STAGES, analyse, analysis_json
 from ..operators.cleaning import clean_body, clean_emails, describe_mail
-from ..operators import replylog
+from ..operators import errors, replylog
 from ..operators.keyed import join_unique, latest_per_key, number_per_key, one_per_key
 from ..operators.prompts import action_prompts, analysis_prompts, summary_prompts
 from ..operators.reports import run_report
@@ -122,6 +122,41 @@ def ingest_given(emails: DataFrame, responses: DataFrame, request_id: int = None
     return rows.withColumn("table", F.lit(target)), bad
 
 
+def ingest_checked(landed: DataFrame, responses: DataFrame, longest: int, config: CleanerConfig = CleanerConfig()):
+    """Landed mails, all columns text, into storage rows: ``(rows, dead letters, accounting)``.
+
+    ``landed`` has ``rec_id, subject, body_html, type, created`` as text, ``responses`` a ``latency`` as text. A mail that fails a
+    check of any stage is left out with the stage and the reason, and its later stages do no work; the others are not
+    held up. Marked mails and results are each written once to the shared folder, where all three tables read them.
+    """
+    spark = landed.sparkSession
+    work = shared_dir(spark, "checked")
+
+    def written(df, name):
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    number, time = F.expr("try_cast(trim(rec_id) as bigint)"), F.expr("try_cast(created as timestamp_ntz)")
+    rows = errors.check(landed, "scan", {
+        "missing rec_id": F.col("rec_id").isNull(), "rec_id is no number": F.col("rec_id").isNotNull() & number.isNull(),
+        "created is no time": F.col("created").isNotNull() & time.isNull(),
+    })
+    rows = errors.check(rows, "clean", {"body is too long": F.length("body_html") > longest})
+    rows = rows.withColumns({"key": number, "created_ts": time})
+    spent = F.expr("try_cast(latency as int)")
+    wrong = responses.select(F.col("rec_id").alias("key"), (F.col("latency").isNotNull() & (spent.isNull() | (spent < 0))).alias("_wrong"))
+    rows = join_unique(rows, wrong, "key")
+    rows = written(errors.check(rows, "reply", {"latency is no time span": F.col("_wrong")}).drop("_wrong"), "marked")
+    mails = errors.good_rows(rows).withColumn("rec_id", F.col("key")).drop("key", "created")
+    replies = responses.withColumn("latency_ms", spent.cast("long"))
+    made = storage_rows(process_emails(mails, replies, config))
+    made = written(errors.check(made, "store", {"nothing to store": F.col("clean_text") == ""}), "made")
+    dead = errors.dead_letters(rows, "rec_id").unionByName(
+        errors.dead_letters(made.withColumn("rec_id", F.col("req_id").cast("string")), "rec_id"))
+    good = errors.good_rows(made)
+    return good, dead, errors.accounting(landed, good, dead)
+
+
 def run_with_model(emails: DataFrame, model: Callable[[list], list], concurrency: int = None,
                    config: CleanerConfig = CleanerConfig(), work_dir: str = None) -> DataFrame:
     """The pipeline with a model function instead of a table of replies.

@@ -444,6 +444,52 @@ def ingest_batch(spark, sf_dir):
     return created_text(snapshot).select("req_id", "core", "summary", "requires_human_review", "created_at")
 
 
+LONGEST = 20_000
+
+
+@query
+def ingest_failures(spark, sf_dir):
+    """Landed mails that fail, by stage and reason."""
+    _, dead, _ = PL.ingest_checked(*X.landed(spark, sf_dir), LONGEST)
+    return dead.select("rec_id", "stage", "reason")
+
+
+@query
+def ingest_accounting(spark, sf_dir):
+    """Every landed mail is stored or a dead letter."""
+    _, _, sums = PL.ingest_checked(*X.landed(spark, sf_dir), LONGEST)
+    return sums
+
+
+@query
+def routed_tables(spark, sf_dir):
+    """Rows by the table that they are bound for."""
+    rows = deliveries(spark, sf_dir).withColumn("request_id", F.when(F.col("lang") == "de", F.col("req_id")))
+    cleaned, again = TB.route_target(rows)
+    return (
+        cleaned.select(F.lit("emails_cleaned").alias("table"), "req_id", "core")
+        .unionByName(again.select(F.lit("emails_reprocess").alias("table"), "req_id", "core"))
+    )
+
+
+@query
+def history_violations(spark, sf_dir):
+    """A history in which the runs of two jobs have the same labels."""
+    batch = deliveries(spark, sf_dir).drop("lang")
+    rows = TB.append_reprocess(history(spark, sf_dir), batch, at(RUN_TS)).select("req_id", "process_label")
+    twice = rows.filter("req_id % 3 = 0")
+    unlabelled = rows.withColumn("process_label", F.when(F.col("req_id") % 5 != 0, F.col("process_label")))
+    return R.check_constraints(unlabelled.unionByName(twice), "emails_reprocess")
+
+
+@query
+def null_bodies(spark, sf_dir):
+    """Mails analysed as they came: some have no body to quote."""
+    good, _ = S.isolate_bad_rows(plain_mails(spark, sf_dir))
+    joined = good.join(X.responses(spark, sf_dir), "rec_id", "left").withColumn("was_translated", F.lit(False))
+    return A.analyse(joined).select("rec_id", "failure", "summary", "review_reason", "action_confidence", "action_reasoning")
+
+
 @query
 def reprocess_batch(spark, sf_dir):
     """Reprocess the mails that a conversation number asks for."""

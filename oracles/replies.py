@@ -206,7 +206,7 @@ def input_ctes(responses=D.RESPONSES):
 CONTENT = "case when was_translated then case when subject is null then json_object('body', body) else json_object('subject', subject, 'body', body) end end"
 
 
-def analysis_ctes(responses=D.RESPONSES):
+def analysis_ctes(responses=D.RESPONSES, inputs=None):
     prim = "json_type({0}) in " + PRIMITIVE
     primitive_item = "list_filter(case when json_type(ai) = 'ARRAY' then json_extract(ai, '$[*]') end, lambda a: " + f"{truthy('a')} and " + prim.format("a") + ")"
     failed = (
@@ -236,7 +236,7 @@ def analysis_ctes(responses=D.RESPONSES):
     }
     plan_conf, action, reasoning = "(plan -> 'confidence')", "(plan -> 'action')", "(plan -> 'reasoning')"
     return [
-        *input_ctes(responses),
+        *(inputs or input_ctes(responses)),
         *raw_ctes("inp"),
         *open_ctes("raw2"),
         flat("opened"),

@@ -2,9 +2,12 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import shared_dir
+
 # Some hundred megabytes of mails.
 ROWS_PER_TASK = 50_000
-MAX_CUTS = 1000
+# Parts of a key that one window sums.
+FAN = 1000
 
 
 def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -57,53 +60,47 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, keys: DataFrame = N
     return salted_left.join(one_per_key(salted_right, key, "_salt"), [key, "_salt"], "left").drop("_salt")
 
 
+def rows_before(counts: DataFrame, key: str, parts: int, fan: int = FAN) -> DataFrame:
+    """``key, _part, _before``: of each key the rows in earlier parts, from ``key, _part, count``.
+
+    A key in at most ``fan`` parts is summed by one window. With more parts, blocks of ``fan`` of them are
+    summed in the same way, level above level, so no window has more than ``fan`` rows of a key.
+    """
+    block = F.floor(F.col("_part") / fan).cast("long") if parts > fan else F.lit(0).cast("long")
+    counts = counts.withColumn("_block", block)
+    inside = W.partitionBy(key, "_block").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    summed = counts.withColumn("_before", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    if parts > fan:
+        blocks = counts.groupBy(key, F.col("_block").alias("_part")).agg(F.sum("count").alias("count"))
+        above = rows_before(blocks, key, -(-parts // fan), fan).toDF("_key", "_above_part", "_above")
+        summed = summed.join(above, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_above_part")))
+        summed = summed.withColumn("_before", F.col("_before") + F.col("_above"))
+    return summed.select(key, "_part", "_before")
+
+
 def number_per_key(df: DataFrame, key: str, order: str, out: str, start: DataFrame = None,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, fan: int = FAN) -> DataFrame:
     """1, 2, 3, ... within each key by ``order`` (then row hash), without one task per key.
 
-    ``start`` may hold ``(key, start)``, a number to continue from. The order column is cut at
-    quantiles; a value so frequent that it fills whole quantiles gets a bucket of its own, cut
-    again by the row hash. Numbers run inside (key, bucket) and are moved up by the row counts of
-    the earlier buckets of the key. Any cut points give the same numbers; good ones give even
-    tasks. A small job over the order column fetches them at once: one row of ``MAX_CUTS`` values.
+    ``start`` may hold ``(key, start)``, a number to continue from. Rows are put into ranges of key, order and hash of about
+    ``rows_per_task`` rows, as many ranges as that takes, and written to the shared folder once; a key with a third of
+    the rows fills a third of the ranges, even if its rows are equal. Numbers run inside a range and are moved up by the
+    rows that its key has in earlier ranges.
     """
     payload = [c for c in df.columns if c != key]
-    value = F.col(order)
-    quantiles = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-    rows, points = df.agg(F.count("*"), F.percentile_approx(value, quantiles, 10_000)).first()
-    step = max(1, MAX_CUTS * rows_per_task // max(rows, 1))
-    chosen = (points or [])[step - 1 :: step]
-    cuts = sorted(set(chosen))
-    heavy = [c for c in cuts if chosen.count(c) > 1]
-    zero = F.lit(0)
-    below, at_cut, part = zero, zero, zero
-    if cuts:
-        known = F.array(*[F.lit(c) for c in cuts])
-        # A missing order value comes first, as in the sort below.
-        below = F.when(value.isNull(), 0).otherwise(F.array_size(F.filter(known, lambda c: c < value)))
-        at_cut = F.coalesce(F.array_contains(known, value), F.lit(False)).cast("int")
-    if heavy:
-        # The top bits of a signed hash sort like the hash itself.
-        part = F.when(value.isin(heavy), F.shiftright("_tie", 54)).otherwise(0).cast("int")
-    df = df.withColumn("_tie", F.xxhash64(*payload))
-    df = df.withColumns({"_a": below, "_b": at_cut, "_c": part})
-    bucket = [key, "_a", "_b", "_c"]
-    local = W.partitionBy(*bucket).orderBy(order, "_tie")
-    earlier = W.partitionBy(key).orderBy("_a", "_b", "_c").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*bucket).count()
-        .withColumn("_offset", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count")
-    )
+    df = df.withColumn("_tie", F.xxhash64(*payload)).withColumn("_equal", F.monotonically_increasing_id())
+    parts = max(-(-df.count() // rows_per_task), 1)
+    sort = [F.col(key), F.col(order), F.col("_tie"), F.col("_equal")]
+    path = shared_dir(df.sparkSession, "numbering")
+    df.repartitionByRange(parts, *sort).withColumn("_part", F.spark_partition_id().cast("long")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    local = W.partitionBy("_part", key).orderBy(order, "_tie", "_equal")
+    offsets = rows_before(rows.groupBy(key, "_part").count(), key, parts, fan)
     if start is not None:
-        offsets = (
-            offsets.join(start.withColumnRenamed("start", "_start"), key, "left")
-            .withColumn("_offset", F.col("_offset") + F.coalesce(F.col("_start"), F.lit(0)))
-            .drop("_start")
-        )
-    numbered = df.withColumn(out, F.row_number().over(local))
-    return (
-        numbered.join(offsets, bucket)
-        .withColumn(out, (F.col(out) + F.col("_offset")).cast("long"))
-        .drop("_tie", "_a", "_b", "_c", "_offset")
-    )
+        known = start.select(F.col(key).alias("_key"), F.col("start").alias("_start"))
+        offsets = offsets.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        offsets = offsets.withColumn("_before", F.col("_before") + F.coalesce("_start", F.lit(0))).drop("_start")
+    offsets = offsets.toDF("_key", "_in", "_before")
+    numbered = rows.withColumn(out, F.row_number().over(local))
+    joined = numbered.join(offsets, (F.col("_part") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(out, (F.col(out) + F.col("_before")).cast("long")).select(*df.columns[:-2], out)

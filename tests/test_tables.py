@@ -1,6 +1,8 @@
 """Sources, result tables, skew-safe shuffles, the whole pipeline and streams."""
 
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,10 +81,20 @@ def test_numbers_of_a_hot_key(spark, rows_per_task):
 
 def test_numbering_splits_the_hot_key(spark):
     df = spark.range(4000).select(F.lit(1).alias("k"), F.lit(5).alias("at"), F.col("id").alias("v"))
-    plan = K.number_per_key(df, "k", "at", "n", rows_per_task=10)
+    plan = K.number_per_key(df, "k", "at", "n", rows_per_task=10, fan=4)
     assert plan.agg(F.max("n")).first()[0] == 4000 and plan.select("n").distinct().count() == 4000
 
 
+def test_no_task_numbers_many_rows_of_a_hot_key(spark):
+    """Equal rows of one key, and levels above levels of sums."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, None).otherwise(F.lit(1)).alias("k"), F.lit(5).alias("at"))
+    got = K.number_per_key(df, "k", "at", "n", rows_per_task=100, fan=6)
+    assert got.groupBy("k").agg(F.countDistinct("n").alias("d"), F.max("n").alias("m")).orderBy("k").collect() == [(None, 2000, 2000), (1, 18000, 18000)]
+    folder = max(glob.glob(f"{shared_dir(spark, 'x').rsplit('/', 1)[0]}/numbering-*"), key=os.path.getmtime)
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_part").count().collect()]
+    assert len(sizes) >= 150 and max(sizes) <= 300
+
+
 def test_join_with_a_hot_key(spark):
     left = spark.range(3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([(7, "seven"), (7, "sept"), (8, "eight"), (9999, "unused")], "k long, name string")

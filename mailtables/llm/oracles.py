@@ -83,17 +83,20 @@ with d as (
   from d left join covered using (doc_id)
 ), judged as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts
+), failures as (
+  select source, unnest([base_failed, word_chars < 2 * n_words or word_chars > 12 * n_words, 10 * n_symbols > n_words,
+    20 * n_dup_lines > n_words]) as failed, unnest([1, 2, 3, 4]) as rule from judged
 ), hosts as (
-  select source, count(*)::double as n, sum(base_failed::int)::double as f from judged group by source
+  select source, rule, count(*)::double as n, sum(failed::int)::double as f from failures group by source, rule
 ), sums as (
-  select count(*) as hosts, sum(n) as docs, sum(f) / sum(n) as mean, sum(f * f / n) - sum(f) * sum(f) / sum(n) as spread,
-    sum(n) - sum(n * n) / sum(n) as room from hosts
+  select rule, count(*) as hosts, sum(n) as docs, sum(f) / sum(n) as mean, sum(f * f / n) - sum(f) * sum(f) / sum(n) as spread,
+    sum(n) - sum(n * n) / sum(n) as room from hosts group by rule
 ), between_hosts as (
-  select mean, case when room > 0 then (spread - (hosts - 1) * mean * (1 - mean)) / room else 0 end as v from sums
+  select rule, mean, case when room > 0 then (spread - (hosts - 1) * mean * (1 - mean)) / room else 0 end as v from sums
 ), prior as (
-  select mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 1), 1e6) else 1e6 end as weight from between_hosts
+  select rule, mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 1), 1e6) else 1e6 end as weight from between_hosts
 ), rejected as (
-  select source from hosts, prior
+  select distinct source from hosts join prior using (rule)
   where (f + greatest(mean * weight, 1e-3)) / (n + greatest(mean * weight, 1e-3) + greatest((1 - mean) * weight, 1e-3)) > 0.5
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -92,13 +92,24 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def prior(hosts: DataFrame) -> tuple:
+def rules() -> dict:
+    """What counts as a failure of a host's documents: the base rules, odd word lengths, symbols, repeated lines."""
+    n = F.col("n_words")
+    return {
+        "base": base_failed(),
+        "words": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n),
+        "symbols": 10 * F.col("n_symbols") > n,
+        "lines": 20 * F.col("n_dup_lines") > n,
+    }
+
+
+def prior(hosts: DataFrame, failed: str = "n_failed") -> tuple:
     """``(alpha, beta)`` of a beta distribution of the hosts' failure rates, by the method of moments.
 
     One row of sums over all hosts gives the mean and the spread of the rates beyond what chance
     makes of their sizes. Hosts that do not differ give a prior worth a million documents.
     """
-    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    n, f = F.col("n_docs").cast("double"), F.col(failed).cast("double")
     sums = hosts.agg(F.count("*"), F.sum(n), F.sum(f), F.sum(n * n), F.sum(f * f / n)).first()
     count, docs, failed, squares, spread = (float(x or 0) for x in sums)
     if not docs:
@@ -115,9 +126,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
           most: float = 0.5) -> DataFrame:
     """``key, host``, the counts, ``base_failed`` and ``kept`` of every row.
 
-    A document is kept if it passes the rules itself and its host does: the host's failure rate,
-    shrunk towards the rate of all hosts by an empirical beta prior, must not exceed ``most``. A host
-    with few documents therefore needs more than a few failures to be rejected.
+    A document is kept if it passes the base rules itself and its host passes every one of :func:`rules`: the host's
+    rate of failures of a rule, shrunk towards the rate of all hosts by that rule's empirical beta prior, must not
+    exceed ``most``. A host with few documents therefore needs more than a few failures to be rejected. Whole texts are
+    counted, however long; other columns are ignored, whatever their names.
 
     The counts are map-only and written once; hosts are summed by a partial aggregate, and the verdicts
     of rejected hosts meet their documents in a join that Spark can split where a host is hot. NULL is
@@ -125,13 +137,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """
     chosen = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     counted = stored(document_counts(chosen).withColumn("base_failed", base_failed()), "quality")
-    hosts = counted.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
-    )
-    hosts = stored(hosts, "hosts")
-    alpha, beta = prior(hosts)
-    rate = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    rejected = hosts.filter(rate > most).select(F.col("host").alias("_host"), F.lit(True).alias("_rejected"))
+    failures = [F.sum(F.col(f"_{name}").cast("long")).alias(name) for name in rules()]
+    flagged = counted.select("host", *[rule.alias(f"_{name}") for name, rule in rules().items()])
+    hosts = stored(flagged.groupBy("host").agg(F.count("*").alias("n_docs"), *failures), "hosts")
+    bad = F.lit(False)
+    for name in rules():
+        alpha, beta = prior(hosts, name)
+        bad = bad | ((F.col(name) + alpha) / (F.col("n_docs") + alpha + beta) > most)
+    rejected = hosts.filter(bad).select(F.col("host").alias("_host"), F.lit(True).alias("_rejected"))
     judged = counted.join(rejected, F.col("host").eqNullSafe(F.col("_host")), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull()).select(
         F.col("key").alias(key), F.col("host").alias(host), *[c.split()[0] for c in COUNTS.split(", ")],

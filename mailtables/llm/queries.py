@@ -47,7 +47,7 @@ def op5_token_files(spark, sf_dir):
 @query
 def op6_warc(spark, sf_dir):
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.reassemble(warc.read_records(archives)).select(
+    return warc.resolve(warc.reassemble(warc.read_records(archives))).select(
         warc.page_key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_key("refers_to").alias("refers_to"), "error",
     )

@@ -2,12 +2,11 @@
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, arrow_schema, record, ship, stored
 
-SEGMENT = 64 << 10
+SEGMENT = 2 << 10
 PORTION = 16 << 10
 ARCHIVE = 4 << 20
 SMALLEST = 100
@@ -79,7 +78,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     The smallest key of each payload comes from a partial aggregate; rows meet it in a join, in which a
     payload with a third of all rows is split by Spark's handling of skewed joins. A row with a NULL
     key is never revisited. Rows with equal keys each have a record of their own, told apart by a
-    running number; if theirs is the smallest key, all of them are responses. NULL urls are left out
+    running number; if theirs is the smallest key, all of them are responses, and revisits refer to one. NULL urls are left out
     of the header, other columns are ignored, and an empty table gives no archives.
     """
     ship(pages.sparkSession)
@@ -87,12 +86,13 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").alias("u"), body.alias("p"),
-        F.sha2(body, 256).alias("d"),
+        F.sha2(body, 256).alias("d"), F.monotonically_increasing_id().alias("n"),
     )
+    # The running number of a row is that of its place in the scan, which is the same each time.
     firsts = (
-        rows.filter(F.length("p") >= smallest).groupBy("d")
-        .agg(F.min("k").alias("f"), F.count("*").alias("n"))
-        .filter("n > 1 and f is not null").select("d", "f")
+        rows.filter(F.length("p") >= smallest).filter("k is not null").groupBy("d")
+        .agg(F.min(F.struct("k", "n")).alias("f"), F.count("*").alias("rows"))
+        .filter("rows > 1").select("d", F.col("f.k").alias("f"), F.col("f.n").alias("m"))
     )
     firsts = stored(firsts, "first-pages")
     joined = rows.join(firsts, "d", "left")
@@ -100,14 +100,12 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     def run(batches):
         from pyspark import TaskContext
 
-        part, number, held, size, seen = TaskContext.get().partitionId(), 0, [], 0, 0
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for d, k, u, p, f in zip(*[batch[c] for c in ("d", "k", "u", "p", "f")]):
-                d, k, u, p, f = d.as_py(), k.as_py(), u.as_py(), p.as_py(), f.as_py()
-                for made in page_records(k, u, p, d, f, f"{part}-{seen}", segment):
+            for d, k, u, p, n, f, m in zip(*[batch[c].to_pylist() for c in ("d", "k", "u", "p", "n", "f", "m")]):
+                for made in page_records(k, u, p, d, n, f, m, segment):
                     held.append(made)
                     size += len(made)
-                seen += 1
                 if size >= archive:
                     yield record({"archive": [f"{part:06d}-{number:06d}"], "content": [b"".join(held)]}, schema)
                     held, size, number = [], 0, number + 1
@@ -117,15 +115,15 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     return stored(joined.mapInArrow(run, ARCHIVES), "archives")
 
 
-def page_records(key, url, payload, digest, first, copy, segment):
-    """The record of a page, in segments if it is long."""
+def page_records(key, url, payload, digest, copy, first, first_copy, segment):
+    """The record of a page, in segments if it is long; a revisit names the record of its response."""
     own = name_of(key, copy)
     about = [("WARC-Target-URI", url and url.replace("\r", "%0D").replace("\n", "%0A")),
              ("WARC-Payload-Digest", f"sha256:{digest}")]
     if first is not None and key != first:
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload)
         yield warc_record([
-            ("WARC-Type", "revisit"), ("WARC-Record-ID", own), *about, ("WARC-Refers-To", name_of(first, "")),
+            ("WARC-Type", "revisit"), ("WARC-Record-ID", own), *about, ("WARC-Refers-To", name_of(first, first_copy)),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ], http)
         return
@@ -188,7 +186,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Complete records: segments of one origin joined in order, checked and decoded.
 
     Unsegmented records are decoded where they are read. Segments are grouped by their origin's
-    identifier, one document a group, ordered by number; a missing first or middle segment, or a length
+    identifier and ordered by number, and a task joins them as they come; a missing first or middle segment, or a length
     other than the total of the last one, gives ``error`` and no payload. Repeated segments count once.
     """
     ship(records.sparkSession)
@@ -203,23 +201,51 @@ def reassemble(records: DataFrame) -> DataFrame:
             "payload_bytes": columns[0], "payload_digest": columns[1], "payload": columns[2], "error": columns[3]
         }
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("segment").sort_values("segment")
-        lead, numbers = group.iloc[0], group["segment"].tolist()
-        block, total = b"".join(group["block"]), int(group["total"].iloc[-1])
+    target = arrow_schema(PAGES)
+
+    def joined(parts):
+        parts = list({p["segment"]: p for p in parts}.values())
+        lead, numbers = parts[0], [p["segment"] for p in parts]
+        block, total = b"".join([p["block"] for p in parts]), parts[-1]["total"]
         got = (None, None, None, "segments are missing")
         if numbers == list(range(1, len(numbers) + 1)) and total:
             got = (None, None, None, f"{len(block)} bytes instead of {total}")
             if len(block) == total:
                 got = whole(lead["record_type"], block, lead["digest"] or "")
-        return pd.DataFrame([{
-            "record_id": lead["origin_id"], "record_type": lead["record_type"], "uri": lead["uri"],
-            "refers_to": lead["refers_to"], "payload_bytes": got[0], "payload_digest": got[1], "payload": got[2],
-            "error": got[3],
-        }])
+        return (lead["origin_id"], lead["record_type"], lead["uri"], lead["refers_to"], *got)
+
+    def join(batches):
+        held = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if held and held[0]["origin_id"] != row["origin_id"]:
+                    out.append(joined(held))
+                    held = []
+                held.append(row)
+            yield record(dict(zip(target.names, zip(*out) if out else [[]] * len(target.names))), target)
+        if held:
+            yield record(dict(zip(target.names, ([v] for v in joined(held)))), target)
 
     single = arrow_map(records.filter("segment = 0"), decode, PAGES)
-    return single.unionByName(records.filter("segment > 0").groupBy("origin_id").applyInPandas(join, PAGES))
+    parts = records.filter("segment > 0").repartition("origin_id").sortWithinPartitions("origin_id", "segment")
+    return single.unionByName(parts.mapInArrow(join, PAGES))
+
+
+def resolve(pages: DataFrame) -> DataFrame:
+    """``pages`` without payloads, revisits checked against the response that they name.
+
+    A revisit has the ``error`` "no response" if there is no such whole record, and "differs from its response" if length or digest are
+    not the same. The join is on the responses' identifiers, which are unique; Spark splits a response that very many name.
+    """
+    pages = stored(pages.drop("payload"), "pages")
+    found = pages.filter("record_type = 'response' and error is null").select(
+        F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    revisits = pages.filter("record_type = 'revisit'").join(found, F.col("refers_to") == F.col("_id"), "left")
+    same = (F.col("payload_bytes") == F.col("_bytes")) & (F.col("payload_digest") == F.col("_digest"))
+    wrong = F.when(F.col("_id").isNull(), "no response").when(~same, "differs from its response")
+    checked = revisits.withColumn("error", F.coalesce("error", wrong)).select(*pages.columns)
+    return pages.filter("record_type <> 'revisit' or record_type is null").unionByName(checked)
 
 
 def page_key(name: str):

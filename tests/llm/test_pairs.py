@@ -129,6 +129,22 @@ def test_hosts(spark):
     assert quality.judge(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("line", ["#*$%&|<>", "word word", "x", "averyveryverylongword"])
+def test_every_rule_can_reject_a_host(spark, line):
+    """Symbols, repeated lines, short and long words: the counts decide, though no document fails the base rules."""
+    fine = lambda i: " ".join(f"word{i}x{j}" for j in range(80))
+    odd = {
+        "#*$%&|<>": lambda i: fine(i) + " " + "#" * 20, "word word": lambda i: fine(i) + "\n{}\n{}\n{}\n{}\n{}\n{}".format(*["same"] * 6),
+        "x": lambda i: " ".join(chr(97 + (i * j + j * j // 7) % 26) for j in range(90)),
+        "averyveryverylongword": lambda i: " ".join(f"averyveryverylong{i}x{j}" for j in range(80)),
+    }[line]
+    rows = [("good", fine(i)) for i in range(120)] + [("odd", odd(i)) for i in range(60)]
+    docs = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = quality.judge(docs).collect()
+    assert {(r.source, r.kept) for r in got if not r.base_failed} == {("good", True), ("odd", False)}
+    assert sum(not r.base_failed for r in got if r.source == "odd") > 30
+
+
 def test_prior_is_kept_between_hosts_that_do_not_differ(spark):
     hosts = spark.createDataFrame([(str(i), 100, 10) for i in range(8)], "host string, n_docs long, n_failed long")
     alpha, beta = quality.prior(hosts)

@@ -144,6 +144,15 @@ def test_archives_round_trip(spark):
             assert r.payload_bytes == len(raw) and r.payload_digest == hashlib.sha256(raw).hexdigest()
             assert r.record_type == ("revisit" if revisit else "response")
             assert revisit or bytes(r.payload) == raw
+    own = {r.record_id: r for r in got}
+    assert all(own[r.refers_to].payload_digest == r.payload_digest for r in got if r.refers_to)
+    resolved = warc.resolve(warc.reassemble(records))
+    assert resolved.filter("error is not null").isEmpty() and resolved.count() == len(rows)
+    lost = warc.resolve(warc.reassemble(records.filter("record_type = 'revisit'"))).collect()
+    assert lost and all(r.error == "no response" for r in lost)
+    other = F.when(F.col("record_type") == "revisit", "sha256:00").otherwise(F.col("digest"))
+    wrong = warc.resolve(warc.reassemble(records.withColumn("digest", other))).filter("record_type = 'revisit'").collect()
+    assert len(wrong) == len(lost) and all(r.error == "differs from its response" for r in wrong)
     payloads = {k: html or "" for k, _, html, _ in rows}
     assert all(int(r.refers_to.split(":")[2]) == first[payloads[r.key]] for r in got if r.refers_to)
     assert warc.reassemble(warc.read_records(warc.write_archives(pages(spark, [])))).isEmpty()

@@ -89,11 +89,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, items: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` (a stored table with ``uid`` and ``length``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (a stored table with ``uid`` and ``length``) with ``sequence_id`` and ``offset``, and what certifies them.
 
     Pieces of full length fill a sequence alone. The others are dealt at random over partitions of
-    about ``items``; each packs its own by best fit decreasing and compares its bins with its lower
-    bound. Partitions that need more bins than their bound (a gap) give up their emptiest bins, four
+    about ``items``, at first two or more; each packs its own by best fit decreasing and compares its bins with its lower
+    bound, in every round. ``round, part`` name the partition that a piece stays in, ``part_pieces, part_bins, part_bound`` say what
+    that one packed, with those that it gave up; all NULL for pieces of full length. Partitions that need more bins than their bound (a gap) give up their emptiest bins, four
     for each bin too many; certified ones only their emptiest. What was given up is dealt anew over
     fewer partitions and packed again, until one partition holds all of it or the rounds end.
 
@@ -111,27 +112,32 @@ def pack(pieces: DataFrame, length: int = LENGTH, items: int = ITEMS, rounds: in
             bins, places = best_fit(sizes, length)
             filled = np.bincount(bins, sizes)
             give = np.zeros(len(filled), bool)
+            bound = lower_bound(sizes, length)
             if not final:
-                gap = len(filled) - lower_bound(sizes, length)
+                gap = len(filled) - bound
                 emptiest = np.argsort(filled, kind="stable")[: 4 * gap + 1]
                 give[emptiest[filled[emptiest] < length]] = True
-            first = (turn << 55) + (int(group["part"].iloc[0]) << 20)
-            return group[columns].assign(sequence_id=first + bins, offset=places, given=give[bins])
+            part = int(group["part"].iloc[0])
+            first = (turn << 55) + (part << 20)
+            return group[columns].assign(
+                sequence_id=first + bins, offset=places, round=turn, part=part, part_pieces=len(sizes), part_bins=len(filled),
+                part_bound=bound, given=give[bins])
 
         return run
 
     whole = pieces.filter(F.col("length") >= length)
-    done = whole.select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    said = [F.lit(None).cast("int").alias(c) for c in ("round", "part", "part_pieces", "part_bins", "part_bound")]
+    done = whole.select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *said)
     rest = pieces.filter(F.col("length") < length)
     for turn in range(1, rounds + 1):
         left = rest.count()
         if not left:
             break
-        parts = -(-left // items)
+        parts = max(-(-left // items), min(left, 2) if turn == 1 else 1)
         final = parts == 1 or turn == rounds
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         made = dealt.groupBy("part").applyInPandas(
-            packer(turn, final), f"{schema}, sequence_id long, offset long, given boolean"
+            packer(turn, final), f"{schema}, sequence_id long, offset long, round int, part int, part_pieces int, part_bins int, part_bound int, given boolean"
         )
         made = stored(made, "packed")
         done = done.unionByName(made.filter("not given").drop("given"))
@@ -139,11 +145,18 @@ def pack(pieces: DataFrame, length: int = LENGTH, items: int = ITEMS, rounds: in
     return done
 
 
+def certificates(packed: DataFrame) -> DataFrame:
+    """``round, part, pieces, bins, bound, gap`` of each partition that keeps pieces; a gap of 0 proves that it could not do with fewer."""
+    one = packed.filter("round is not null").groupBy("round", "part").agg(
+        F.max("part_pieces").alias("pieces"), F.max("part_bins").alias("bins"), F.max("part_bound").alias("bound"))
+    return one.withColumn("gap", F.col("bins") - F.col("bound"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0,
                    length: int = LENGTH, items: int = ITEMS) -> DataFrame:
     """Sequences of at most ``length`` ids that hold every document once, as few as the bounds allow.
 
-    Returns a row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Only
+    Returns a row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and the columns of ``pack``. Only
     documents longer than a sequence are cut. NULL texts count as empty and hold just their end;
     NULL and repeated keys are packed row by row; ties in length go by the piece's number; an empty
     table gives no rows; other columns are ignored.

@@ -212,6 +212,14 @@ def test_pack_documents(spark):
     filled = got.groupby("sequence_id")["length"].sum()
     assert filled.max() <= 64 and len(filled) <= packing.lower_bound(got["length"].to_numpy(), 64) + 3
     assert packing.pack_documents(docs.limit(0), path).isEmpty()
+    # Small tables are certified too, in two partitions or more.
+    for items in (50, 20_000):
+        packed = packing.pack_documents(docs, path, length=64, items=items).cache()
+        proofs = packing.certificates(packed).collect()
+        assert len({p.part for p in proofs if p.round == 1}) >= 2 and all(p.gap >= 0 and p.bound > 0 for p in proofs)
+        kept = packed.filter("round is not null").groupBy("round", "part").agg(F.countDistinct("sequence_id").alias("n")).collect()
+        assert all(k.n <= next(p.bins for p in proofs if (p.round, p.part) == (k["round"], k.part)) for k in kept)
+        assert sum(p.gap for p in proofs) <= 3
 
 
 # ---- personal data ---------------------------------------------------------------------------

@@ -1,7 +1,5 @@
 """Session defaults and the shared folder for intermediate tables."""
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,15 +37,3 @@ def shared_dir(spark, purpose):
 
 def checkpoint_dir(spark):
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-
-def with_shared_dir(query):
-    """``query`` for sessions that may name no shared folder: one of its own if all runs in this process."""
-
-    @functools.wraps(query)
-    def run(spark, sf_dir):
-        if not checkpoint_dir(spark) and spark.sparkContext.master.startswith("local["):
-            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mailtables-"))
-        return query(spark, sf_dir)
-
-    return run

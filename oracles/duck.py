@@ -123,6 +123,7 @@ def hidden_ctes(src, column, key):
 
 def html_ctes(src, column, out="html_text", keep="*", hidden=None):
     """``hidden`` names the key of mails whose hidden elements may be in any disorder."""
+    # The markup that goes first, hidden elements, and the clean-up of the plain text, each in this order.
     noise = [
         (r"(?is)<o:p>\s*</o:p>", ""),
         (r"(?is)<v:.*?>\s*</v:.*?>", ""),

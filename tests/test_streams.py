@@ -21,3 +21,21 @@ def test_streams_read_tables_of_several_files(spark, files):
     # The later delivery of an English text has its source instead.
     rows = {r.req_id: r.core for r in Q.stream_upsert(spark, sf_dir).collect()}
     assert rows == {i: f"src{i % 3}" if i % 2 else f"text {i}" for i in range(1, 13)}
+
+
+def test_levels_take_a_delivery_of_several_files_as_one_batch(spark, monkeypatch):
+    sf_dir = shared_dir(spark, "test-tables")
+    table = documents(spark, [(i, f"text {i}", 100 + i) for i in range(1, 41)])
+    table.repartition(4).write.parquet(f"{sf_dir}/documents.parquet")
+    added, add_run = [], Q.LV.add_run
+
+    def noted(spark, path, rows, batch_id, fan):
+        held = rows.inputFiles()
+        added.append((batch_id, len(held), rows.count()))
+        add_run(spark, path, rows, batch_id, fan)
+
+    monkeypatch.setattr(Q.LV, "add_run", noted)
+    rows = {r.req_id: r.core for r in Q.stream_upsert_levels(spark, sf_dir).collect()}
+    assert rows == {i: f"5 text {i}" for i in range(1, 41)}
+    assert [b for b, _, _ in added] == list(range(6))
+    assert [n for _, _, n in added] == [sum(i % 6 <= k for i in range(1, 41)) for k in range(6)]

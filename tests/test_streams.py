@@ -39,3 +39,20 @@ def test_levels_take_a_delivery_of_several_files_as_one_batch(spark, monkeypatch
     assert rows == {i: f"5 text {i}" for i in range(1, 41)}
     assert [b for b, _, _ in added] == list(range(6))
     assert [n for _, _, n in added] == [sum(i % 6 <= k for i in range(1, 41)) for k in range(6)]
+
+
+def test_answers_are_written_by_more_than_three_tasks(spark, monkeypatch):
+    sf_dir = shared_dir(spark, "test-tables")
+    documents(spark, [(i, f"text {i} of some length", 100 + i) for i in range(1, 201)]).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.range(0).selectExpr("id as conv_id", "id as turn").write.parquet(f"{sf_dir}/conversations.parquet")
+    limits, read_stream = [], Q.ST.read_stream
+
+    def noted(spark, path, schema, files_per_batch=1000, **options):
+        limits.append((files_per_batch, len(spark.read.parquet(path).inputFiles())))
+        return read_stream(spark, path, schema, files_per_batch, **options)
+
+    monkeypatch.setattr(Q.ST, "read_stream", noted)
+    rows = Q.stream_answers(spark, sf_dir)
+    good = {i for i in range(1, 201) if (100 + i) % 97}
+    assert {r.req_id for r in rows.filter("table = 'emails_cleaned'").collect()} == good
+    assert all(limit > 1 and files > 5 for limit, files in limits)

@@ -17,6 +17,10 @@ components are left, and of those only pairs that two windows allow: their dista
 pivot must not differ by more than the radius (triangle inequality), and the places of the region's
 shingle in both must leave enough room for what they have to share. Every pair that could link is thus
 compared, or lies in one component already.
+
+Texts travel to be compared only if they may link by their sketches: counts of shingles by range of
+hashes, of which the smaller ones add up to a bound of what two sets share. Other pairs have a distance
+beyond the radius, and its lower bound serves the triangle inequality.
 """
 
 import numpy as np
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, arrow_schema, record, ship, stored
 from .components import components
+from .tokens import release
 from .words import U, mix, pieces, shingle_sets
 
 SIZE = 5
@@ -37,6 +42,9 @@ HOT = 100_000
 FLUSH = 1 << 18
 BITS = 1 << 23
 GROUP = 64
+SKETCH = 256
+SKETCH_MOST = 255
+SKETCH_ROWS = 1024
 
 
 def class_key(shingles, at):
@@ -65,6 +73,7 @@ def scan_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
         return record({"doc_id": pa.nulls(len(s), pa.int64()), "n": n, "c": s, "frequent": np.ones(len(s), bool)}, target)
 
     def run(batches):
+        release()
         held, amount, seen = [], 0, set()
         for batch in batches:
             for first, data, rows in pieces(batch["t"]):
@@ -172,6 +181,7 @@ def region_rows(docs: DataFrame, text: str, size: int, percent: int, known, buck
         }
 
     def send(batches):
+        release()
         heavy, number = known.value
         held, amount, sent = [], 0, set()
         for batch in batches:
@@ -252,15 +262,79 @@ def in_bitmap(marks: np.ndarray, rows) -> np.ndarray:
     return (marks[rows >> 3] >> (rows & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def sketch(shingles, at):
+    """A row for each set: how many of its shingles lie in each of ``SKETCH`` ranges, ``SKETCH_MOST`` for that many or more."""
+    rows = np.zeros((len(at) - 1, SKETCH), np.uint8)
+    for i in range(0, len(rows), SKETCH_ROWS):
+        j = min(i + SKETCH_ROWS, len(rows))
+        cell = (shingles[at[i] : at[j]] // U((1 << 64) // SKETCH)).astype(np.int64)
+        cell += SKETCH * np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        counts = np.bincount(cell, minlength=SKETCH * (j - i))
+        rows[i:j] = np.minimum(counts, SKETCH_MOST).reshape(-1, SKETCH)
+    return rows
+
+
+def most_common(x, y, n, m):
+    """The most shingles that sets of ``n`` and ``m`` with the sketches ``x`` and ``y`` can share."""
+    low, smaller = np.minimum(x, y), np.minimum(n, m)
+    most = np.minimum(low.sum(axis=1, dtype=np.int64), smaller)
+    return np.where((low == SKETCH_MOST).any(axis=1), smaller, most)
+
+
+def bounded(pairs: DataFrame, rows: DataFrame, keep, size: int, percent: int) -> DataFrame:
+    """``a, b, d, may`` of pairs of classes, stored: whether they may link by their sketches, and the least distance they can have.
+
+    ``keep`` picks from a batch of ``rows`` the texts ``t`` of all classes of the pairs, and perhaps others.
+    """
+    held = "c long, n long, sketch binary"
+
+    def measure(batch):
+        for _, data, at_rows in pieces(keep(batch)["t"]):
+            shingles, at = shingle_sets(data, at_rows, size)
+            made = sketch(shingles, at)
+            yield {"c": class_key(shingles, at), "n": np.diff(at), "sketch": [row.tobytes() for row in made]}
+
+    sketches = arrow_map(rows, measure, held).groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = stored(sketches, "sketches")
+    both = pairs.join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b")
+
+    def judge(batch):
+        x, y = [np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(-1, SKETCH) for k in ("x", "y")]
+        n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+        most = most_common(x, y, n, m)
+        yield {
+            "a": batch["a"], "b": batch["b"], "d": 1 - most / (n + m - most), "may": (100 + percent) * most >= percent * (n + m)
+        }
+
+    return stored(arrow_map(both, judge, "a long, b long, d double, may boolean"), "bounded")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int,
            percent: int) -> DataFrame:
-    """``a, b, d, linked`` of pairs of classes: exact distances from whole texts, stored.
+    """``a, b, lo, hi, linked`` of pairs of classes, stored: bounds of their distances, exact ones for pairs that may link.
 
-    The text of ``b`` travels to the one of ``a``, once for each pair; what many pairs share as ``a`` is copied
-    for every ``GROUP`` of them, so that no task gets more of one document's pairs. Rows arrive in order and are
-    compared one by one with the last ``a``.
+    The text of ``b`` travels to the one of ``a``, once for each pair that may link by the sketches; what many pairs share
+    as ``a`` is copied for every ``GROUP`` of them, so that no task gets more of one document's pairs. Rows arrive in order
+    and are compared one by one with the last ``a``.
     """
     pairs = stored(pairs, "pairs")
+    rows = docs.select(
+        F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"), bit_of(key).alias("bit")
+    )
+
+    def keeper(wanted):
+        marks = bitmap(wanted, "doc_id")
+
+        def keep(batch):
+            wanted_here = pa.array(in_bitmap(marks, batch["bit"].to_numpy()))
+            return {k: batch[k].filter(wanted_here) for k in ("doc_id", "t")}
+
+        return keep
+
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    ends = stored(ends.join(classes.select("c", "doc_id"), "c"), "ends")
+    judged = bounded(pairs, rows, keeper(ends), size, percent)
+    pairs = judged.filter("may").select("a", "b")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     groups = stored(groups.withColumn("groups", F.col("groups").cast("int")), "groups")
     members = pairs.join(groups, "a").select(
@@ -269,29 +343,30 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     leads = groups.select(
         F.col("a").alias("c"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("turn")
     )
-    wanted = members.unionByName(leads).join(classes.select("c", "doc_id"), "c")
+    wanted = members.unionByName(leads).join(ends, "c")
     wanted = stored(wanted, "wanted")
-    rows = docs.select(
-        F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"), bit_of(key).alias("bit")
-    )
-    marks = bitmap(wanted, "doc_id")
+    keep = keeper(wanted)
 
-    def perhaps(batch):
-        wanted_here = pa.array(in_bitmap(marks, batch["bit"].to_numpy()))
-        yield {k: batch[k].filter(wanted_here) for k in ("doc_id", "t")}
+    def squeeze(batch):
+        kept = keep(batch)
+        texts = [(t or "").encode() for t in kept["t"].to_pylist()]
+        yield {
+            "doc_id": kept["doc_id"], "bytes": [len(t) for t in texts], "t": [pa.compress(t, "zstd", asbytes=True) for t in texts]
+        }
 
-    rows = arrow_map(rows, perhaps, "doc_id long, t string")
-    sent = rows.join(wanted, "doc_id").select("a", "part", "turn", "c", "t")
+    sent = arrow_map(rows, squeeze, "doc_id long, bytes long, t binary").join(wanted, "doc_id").drop("doc_id")
     sent = sent.repartition("a", "part").sortWithinPartitions("a", "part", "turn")
     found = "a long, b long, d double, linked boolean"
     target = arrow_schema(found)
 
     def compare(batches):
+        release()
         at_hand, own = None, None
         for batch in batches:
             out = [[], [], [], []]
             keys = list(zip(*[batch[k].to_pylist() for k in ("a", "part", "turn", "c")]))
-            for first, data, at_rows in pieces(batch["t"]):
+            texts = [pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(batch["t"].to_pylist(), batch["bytes"].to_pylist())]
+            for first, data, at_rows in pieces(pa.array(texts, pa.large_binary())):
                 shingles, at = shingle_sets(data, at_rows, size)
                 classes_here = class_key(shingles, at).tolist()
                 for k, one in enumerate(classes_here):
@@ -312,7 +387,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
                         raise RuntimeError("a pair without its first document")
             yield record(dict(zip(("a", "b", "d", "linked"), out)), target)
 
-    return stored(sent.mapInArrow(compare, found).distinct(), "distances")
+    exact = sent.mapInArrow(compare, found).distinct().select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi"), "linked")
+    apart = judged.filter("not may").select("a", "b", F.col("d").alias("lo"), F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+    return stored(exact.unionByName(apart), "distances")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -357,14 +434,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     open_rows = stored(rooted.join(stored(mixed.select("s"), "mixed"), "s"), "open")
     counts = open_rows.groupBy("s", "root").agg(F.count("*").alias("k"))
     main = counts.groupBy("s").agg(F.max(F.struct("k", "root")).alias("m")).select("s", F.col("m.root").alias("main"))
-    to_pivot = distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    placed = open_rows.join(stored(main, "mains"), "s").join(to_pivot.toDF("p", "c", "d"), ["p", "c"], "left")
-    placed = placed.withColumn("d", F.when(F.col("p") == F.col("c"), 0.0).otherwise(F.col("d")))
+    ends, bounds = ("a", "b"), ("lo", "hi")
+    to_pivot = distances.select(*ends, *bounds).unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), *bounds))
+    placed = open_rows.join(stored(main, "mains"), "s").join(to_pivot.toDF("p", "c", *bounds), ["p", "c"], "left")
+    # Nothing is known of those that cannot link with the pivot through this region.
+    placed = placed.withColumns({
+        k: F.when(F.col("p") == F.col("c"), 0.0).otherwise(F.coalesce(k, F.lit(unknown))) for k, unknown in zip(bounds, (0.0, 1.0))
+    })
     placed = stored(placed, "placed")
     # The pairs across components that the places and the windows allow.
     outside = placed.filter("root <> main").alias("x")
     x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
-    window = F.coalesce((x("p") != y("p")) | (F.abs(x("d") - y("d")) <= 1 - percent / 100 + 1e-9), F.lit(True))
+    radius = F.lit(1 - percent / 100 + 1e-9)
+    window = (x("p") != y("p")) | ((x("lo") - y("hi") <= radius) & (y("lo") - x("hi") <= radius))
     pairs = outside.join(placed.alias("y"), "s").filter(
         (x("root") != y("root")) & ((y("root") == y("main")) | (x("c") < y("c"))) & window
         & may_link(x("n"), x("pos"), y("n"), y("pos"), percent)

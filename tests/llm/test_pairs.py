@@ -185,3 +185,35 @@ def test_topk(spark, monkeypatch, block):
     got = sorted(tuple(r) for r in topk.search(df, k=20).collect())
     assert got == sorted(brute_topk(rows, 20, 20))
     assert topk.search(df.limit(0)).isEmpty()
+
+
+# ---- what of a pair travels ------------------------------------------------------------------
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 3000, 90).tolist() + [1, 90_000, 80_000]
+    pool = rng.integers(0, 2**64, 100_000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in sizes]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    rows = jaccard.sketch(np.concatenate(sets), at)
+    n = np.diff(at)
+    for i in range(len(sets)):
+        x, m = np.repeat(rows[i : i + 1], len(sets), 0), np.repeat(n[i], len(sets))
+        most = jaccard.most_common(x, rows, m, n)
+        assert all(len(np.intersect1d(sets[i], s)) <= k <= min(len(sets[i]), len(s)) for s, k in zip(sets, most.tolist()))
+        assert most[i] == n[i]
+    assert jaccard.sketch(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [[0] * jaccard.SKETCH]
+
+
+def test_texts_that_share_a_passage_only_do_not_travel(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = " ".join("p%d" % i for i in range(60))
+    fresh = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(150))
+    rows = [(i, f"{fresh()} {passage}") for i in range(30)]
+    rows += [(100 + i, t + " end") for i, t in rows[:5]]
+    tables = {}
+    monkeypatch.setattr(jaccard, "stored", lambda df, purpose, keep=jaccard.stored: tables.setdefault(purpose, []).append(keep(df, purpose)) or tables[purpose][-1])
+    same(spark, rows)
+    wanted = [r.doc_id for t in tables["wanted"] for r in t.collect()]
+    assert len(wanted) <= 2 * 5 and {d % 100 for d in wanted} <= set(range(5))

@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, arrow_schema, record, ship, stored
+from .common import arrow_map, arrow_schema, fresh, record, ship, stored
 from .components import components
-from .tokens import release
 from .words import U, mix, pieces, shingle_sets
 
 SIZE = 5
@@ -67,13 +66,17 @@ def scan_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     target = arrow_schema(schema)
 
     def counted(held):
-        s, n = np.unique(np.concatenate(held), return_counts=True)
+        # All but the first of each are counted: few, so nothing as long as the block is made beside its copy.
+        s = np.concatenate(held)
+        s.sort()
+        s, n = np.unique(s[1:][s[1:] == s[:-1]], return_counts=True)
+        n += 1
         often = n >= HEAVY_LEAST
         s, n = s[often].view(np.int64), n[often]
         return record({"doc_id": pa.nulls(len(s), pa.int64()), "n": n, "c": s, "frequent": np.ones(len(s), bool)}, target)
 
     def run(batches):
-        release()
+        fresh()
         held, amount, seen = [], 0, set()
         for batch in batches:
             for first, data, rows in pieces(batch["t"]):
@@ -181,7 +184,7 @@ def region_rows(docs: DataFrame, text: str, size: int, percent: int, known, buck
         }
 
     def send(batches):
-        release()
+        fresh()
         heavy, number = known.value
         held, amount, sent = [], 0, set()
         for batch in batches:
@@ -360,7 +363,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     target = arrow_schema(found)
 
     def compare(batches):
-        release()
+        fresh()
         at_hand, own = None, None
         for batch in batches:
             out = [[], [], [], []]

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, arrow_schema, record, ship, stored
+from .common import arrow_map, arrow_schema, record, ship, small_batches, stored
 
 SEGMENT = 2 << 10
 PORTION = 16 << 10
@@ -112,7 +112,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         if held:
             yield record({"archive": [f"{part:06d}-{number:06d}"], "content": [b"".join(held)]}, schema)
 
-    return stored(joined.mapInArrow(run, ARCHIVES), "archives")
+    with small_batches(pages.sparkSession):
+        return stored(joined.mapInArrow(run, ARCHIVES), "archives", group=1)
 
 
 def page_records(key, url, payload, digest, copy, first, first_copy, segment):
@@ -238,7 +239,8 @@ def resolve(pages: DataFrame) -> DataFrame:
     A revisit has the ``error`` "no response" if there is no such whole record, and "differs from its response" if length or digest are
     not the same. The join is on the responses' identifiers, which are unique; Spark splits a response that very many name.
     """
-    pages = stored(pages.drop("payload"), "pages")
+    with small_batches(pages.sparkSession):
+        pages = stored(pages.drop("payload"), "pages")
     found = pages.filter("record_type = 'response' and error is null").select(
         F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     revisits = pages.filter("record_type = 'revisit'").join(found, F.col("refers_to") == F.col("_id"), "left")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,26 @@ def test_archives_round_trip(spark):
     assert warc.reassemble(warc.read_records(warc.write_archives(pages(spark, [])))).isEmpty()
 
 
+def test_archives_are_read_and_sent_few_at_a_time(spark, monkeypatch):
+    """Neither a row group nor a batch for Python holds all archives that one task has written."""
+    name, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", [], warc.stored
+
+    def noted(df, *options, **more):
+        seen.append((options[0], int(spark.conf.get(name).rstrip("b"))))
+        return stored(df, *options, **more)
+
+    monkeypatch.setattr(warc, "stored", noted)
+    before = spark.conf.get(name)
+    rows = pages(spark, [(i, "u", f"{i} " + "x" * 3000, "") for i in range(40)]).coalesce(1)
+    archives = warc.write_archives(rows, archive=9_000)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in archives.inputFiles()]
+    held = [g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)]
+    assert sum(held) > 10 and max(held) == 1
+    assert warc.resolve(warc.reassemble(warc.read_records(archives))).filter("error is null").count() == 40
+    assert [size for purpose, size in seen if purpose in ("archives", "pages")] == [4 << 20] * 2
+    assert spark.conf.get(name) == before
+
+
 def test_broken_segments(spark):
     html = "x" * 9000
     records = warc.read_records(warc.write_archives(pages(spark, [(1, "u", html, ""), (2, "v", html + "y", "")]), segment=2000))

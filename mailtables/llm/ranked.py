@@ -5,8 +5,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import arrow_map, arrow_schema, record, ship, stored
-from .words import MARKS, PIECE_BYTES, Words, pieces
+from .common import arrow_map, arrow_schema, fresh, record, ship, small_batches, stored
+from .words import MARKS, Words, pieces
 
 # Texts of one segment of the index, documents of one block of segments, items of one group: bounds of a cell of work.
 SEGMENT_BYTES = 16 << 20
@@ -20,7 +20,7 @@ SEGMENT = "seg long, n_docs long, n_terms long, ids binary, lengths binary, term
 def tokens(column) -> tuple:
     """``(hash, text)`` of every term of a run of texts."""
     hashes, text = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for row, data, starts in pieces(column, 4 * PIECE_BYTES):
+    for row, data, starts in pieces(column):
         words = Words(data, starts, lower=True, between=MARKS)
         hashes.append(words.hash)
         text.append(row + np.repeat(np.arange(len(words.count)), words.count))
@@ -28,11 +28,19 @@ def tokens(column) -> tuple:
 
 
 def postings(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple:
-    """``(terms, dfs, docs, tfs)``: terms in order, and of each its documents in order with the occurrences."""
-    terms, place = np.unique(hashes, return_inverse=True)
-    pairs, tfs = np.unique(place * np.int64(max(n, 1)) + text, return_counts=True)
-    owner, docs = np.divmod(pairs, max(n, 1))
-    return terms, np.bincount(owner, minlength=len(terms)), docs, tfs
+    """``(terms, dfs, docs, tfs)``: terms in order, and of each its documents in order with the occurrences.
+
+    ``text`` ascends and stays below ``n``.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes, text = hashes[order], text.astype(np.min_scalar_type(n))[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    pair = first.copy()
+    pair[1:] |= text[1:] != text[:-1]
+    at = np.flatnonzero(pair)
+    tfs, begins = np.diff(at, append=len(hashes)), np.flatnonzero(first[at])
+    return hashes[first], np.diff(begins, append=len(at)), text[at], tfs
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,24 +52,34 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     ship(docs.sparkSession)
     target = arrow_schema(SEGMENT)
 
+    def segment(made, held):
+        ids, hashes, lengths = (np.concatenate(part) for part in zip(*held))
+        terms, dfs, at, tfs = postings(hashes, np.repeat(np.arange(len(ids), dtype="<u4"), lengths), len(ids))
+        return record({
+            "seg": [(TaskContext.get().partitionId() << 32) + made], "n_docs": [int((lengths > 0).sum())],
+            "n_terms": [len(hashes)], "ids": [ids.tobytes()],
+            "lengths": [lengths.astype("<i8").tobytes()], "terms": [terms.view(np.int64)], "dfs": [dfs],
+            "docs": [at.astype("<u4").tobytes()], "tfs": [tfs.astype("<u4").tobytes()],
+        }, target)
+
     def run(batches):
-        made = 0
+        fresh()
+        made, held, size = 0, [], 0
         for batch in batches:
             ids, column = batch.column(0).to_numpy(), batch.column(1)
-            for row, _, starts in pieces(column, SEGMENT_BYTES):
+            for row, data, starts in pieces(column, SEGMENT_BYTES):
                 n = len(starts) - 1
+                if held and size + len(data) > SEGMENT_BYTES:
+                    yield segment(made, held)
+                    made, held, size = made + 1, [], 0
                 hashes, owner = tokens(column.slice(row, n))
-                lengths = np.bincount(owner, minlength=n)
-                terms, dfs, at, tfs = postings(hashes, owner, n)
-                yield record({
-                    "seg": [(TaskContext.get().partitionId() << 32) + made], "n_docs": [int((lengths > 0).sum())],
-                    "n_terms": [len(hashes)], "ids": [ids[row : row + n].astype("<i8").tobytes()],
-                    "lengths": [lengths.astype("<i8").tobytes()], "terms": [terms.view(np.int64)], "dfs": [dfs],
-                    "docs": [at.astype("<u4").tobytes()], "tfs": [tfs.astype("<u4").tobytes()],
-                }, target)
-                made += 1
+                held.append((ids[row : row + n].astype("<i8"), hashes, np.bincount(owner, minlength=n)))
+                size += len(data)
+        if held:
+            yield segment(made, held)
 
-    return stored(rows.mapInArrow(run, SEGMENT), "segments")
+    with small_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(run, SEGMENT), "segments", group=1)
 
 
 def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,7 +92,8 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
         terms, dfs, at, tfs = postings(hashes, owner, batch.num_rows)
         yield {"item": batch.column(0).to_numpy()[at], "term": np.repeat(terms, dfs).view(np.int64), "repeats": tfs}
 
-    return stored(arrow_map(rows, split, "item long, term long, repeats long"), "items")
+    with small_batches(items.sparkSession):
+        return stored(arrow_map(rows, split, "item long, term long, repeats long"), "items")
 
 
 class Lists:
@@ -181,6 +200,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     The index is cut by documents and made without a shuffle of texts. Every block of about 16,384 documents
     meets every group of 256 items once and gives at most k rows an item; entry scores carry over from segment to segment.
+    A group comes before the segments of its block, which a worker takes one at a time.
     """
     index = build_index(docs, key, text)
     asked = item_terms(items, item, item_text)
@@ -199,32 +219,48 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         return pa.table({"grp": group["grp"][:1]} | {
             c: [group[c].to_numpy().astype("<i8").tobytes()] for c in ("item", "term", "weight")})
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return target.empty_table()
-        asked_items, term, weights = (np.frombuffer(a[c][0].as_py(), "<i8") for c in ("item", "term", "weight"))
-        vocabulary, place = np.unique(term.view(np.uint64), return_inverse=True)
-        names, owner = np.unique(asked_items, return_inverse=True)
-        order = np.argsort(owner, kind="stable")
-        ends = np.cumsum(np.bincount(owner))
-        of = [order[i:j] for i, j in zip([0, *ends[:-1]], ends)]
-        best = [Best(k) for _ in names]
-        for i in range(b.num_rows):
-            one = b.slice(i, 1).combine_chunks()
-            row = {c: one[c][0].as_py() for c in ("ids", "lengths", "docs", "tfs")}
-            lists = Lists(row | {c: one[c].chunk(0).flatten().to_numpy() for c in ("terms", "dfs")}, vocabulary, n_all, l_all)
-            for one, rows in zip(best, of):
-                walk(lists, place[rows], weights[rows], one)
-        return pa.Table.from_batches([record({
+    def cells(batches):
+        fresh()
+        of, best = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c).slice(i, 1) for c in batch.schema.names}
+                now = one["grp"][0].as_py(), one["block"][0].as_py()
+                if not one["seg"].null_count:
+                    # A group without items has no row of its own.
+                    if of == now:
+                        lists = Lists(
+                            {c: one[c][0].as_buffer() for c in ("ids", "lengths", "docs", "tfs")}
+                            | {c: one[c].flatten().to_numpy() for c in ("terms", "dfs")}, vocabulary, n_all, l_all)
+                        for found, rows in zip(best, places):
+                            walk(lists, place[rows], weights[rows], found)
+                    continue
+                if best:
+                    yield offered(names, best)
+                asked_items, term, weights = (np.frombuffer(one[c][0].as_py(), "<i8") for c in ("item", "term", "weight"))
+                vocabulary, place = np.unique(term.view(np.uint64), return_inverse=True)
+                names, owner = np.unique(asked_items, return_inverse=True)
+                order = np.argsort(owner, kind="stable")
+                ends = np.cumsum(np.bincount(owner))
+                places = [order[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+                of, best = now, [Best(k) for _ in names]
+        if best:
+            yield offered(names, best)
+
+    def offered(names, best):
+        return record({
             "item_id": np.repeat(names, [len(o.ids) for o in best]),
             "doc_id": np.concatenate([o.ids for o in best]), "score": np.concatenate([o.scores for o in best]),
-        }, target)])
+        }, target)
 
     left = weighed.groupBy("grp").applyInArrow(pack, "grp int, item binary, term binary, weight binary")
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = index.withColumn("block", F.pmod(F.xxhash64("seg"), F.lit(blocks)).cast("int")).withColumn(
+    # Tasks write about equal numbers of segments, which take turns.
+    turn = F.shiftright("seg", 32) + F.col("seg").bitwiseAND((1 << 32) - 1)
+    right = index.withColumn("block", F.pmod(turn, F.lit(blocks)).cast("int")).withColumn(
         "grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    best = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(
-        cell, "item_id long, doc_id long, score long")
+    met = left.unionByName(right, allowMissingColumns=True).repartition("grp", "block").sortWithinPartitions("grp", "block", "seg")
+    with small_batches(docs.sparkSession):
+        best = stored(met.mapInArrow(cells, "item_id long, doc_id long, score long"), "best")
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

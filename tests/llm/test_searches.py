@@ -68,6 +68,47 @@ def test_ranks_of_odd_tables(spark):
     assert got == sorted(brute_ranks(docs, [(7, "a")]))
 
 
+def test_segments_are_read_and_sent_one_at_a_time(spark, monkeypatch):
+    """Neither a row group nor a batch for Python holds the segments of a block, however many there are."""
+    import pyarrow.parquet as pq
+
+    name, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", [], ranked.stored
+
+    def noted(df, purpose, **more):
+        made = stored(df, purpose, **more)
+        seen.append((purpose, int(spark.conf.get(name).rstrip("b")), made))
+        return made
+
+    monkeypatch.setattr(ranked, "stored", noted)
+    monkeypatch.setattr(ranked, "SEGMENT_BYTES", 1_000)
+    before = spark.conf.get(name)
+    docs = [(i, f"w{i % 7} w{i % 11} common {'x' * (i % 50)}") for i in range(200)]
+    items = [(1, "w3 common"), (2, "w5 w9")]
+    assert ranks(spark, docs, items) == brute_ranks(docs, items)
+    assert [(purpose, size) for purpose, size, _ in seen] == [("segments", 4 << 20), ("items", 4 << 20), ("best", 4 << 20)]
+    held = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in seen[0][2].inputFiles()]
+    held = [one.row_group(i).num_rows for one in held for i in range(one.num_row_groups)]
+    assert sum(held) >= 8 and max(held) == 1
+    assert spark.conf.get(name) == before
+
+
+def test_segments_go_on_over_batches(spark, monkeypatch):
+    """The size of a segment does not follow that of the batches."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} common") for i in range(100)], "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10)
+        one = ranked.build_index(docs).collect()
+        monkeypatch.setattr(ranked, "SEGMENT_BYTES", 300)
+        several = ranked.build_index(docs).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(one) == 1 and len(one[0].ids) == 800 and sorted(one[0].dfs)[-1] == 100 and len(one[0].terms) == 8
+    assert 3 <= len(several) <= 6 and sum(r.n_docs for r in several) == 100
+    assert sum(r.n_terms for r in several) == one[0].n_terms == 200
+
+
 def test_passing_over():
     """Long lists are not read where their bounds cannot reach the entry score."""
     n = 4_000

@@ -1,11 +1,13 @@
 """Stores that are switched by a manifest: reply log, bucketed snapshot, ranked pages, levels; bounded streams."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mailtables.operators import replylog as L
+from mailtables.operators.keyed import latest_of_repeated, latest_per_key
 from mailtables.session import shared_dir
 from mailtables.sources import buckets as B, pages as PG, tables as TB
 from mailtables.sources.manifest import Manifest
@@ -119,6 +121,38 @@ def test_levels_stay_few_and_a_restart_changes_nothing(spark, monkeypatch):
     assert LV.current_levels(spark, path).count() == 20
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_levels_merge_in_one_step_and_leave_new_rows_where_they_are(spark, fan):
+    path, rng, want = shared_dir(spark, "levels"), random.Random(fan), {}
+    for batch in range(9):
+        keys = rng.sample([*range(12), None], rng.randrange(0, 9))
+        got = [(k, rng.choice([None, f"b{batch}"])) for k in keys]
+        rows = spark.createDataFrame(got, "req_id long, core string")
+        rows = rows.withColumn("created_at", F.expr(AT) + F.expr(f"interval {batch} days"))
+        LV.add_run(spark, path, rows, batch, fan=fan)
+        want |= {k: (core, want[k][1] if k in want else 1 + batch) for k, core in got}
+        assert sorted(((r.req_id, r.core, r.created_at.day) for r in LV.current_levels(spark, path).collect()), key=str) == sorted(
+            ((k, *v) for k, v in want.items()), key=str)
+    # No run was written only to be merged.
+    written = {2: {"0-0-0", "1-0-1", "0-2-2", "2-0-3", "0-4-4", "1-4-5", "0-6-6", "3-0-7", "0-8-8"},
+               3: {"0-0-0", "0-1-1", "1-0-2", "0-3-3", "0-4-4", "1-3-5", "0-6-6", "0-7-7", "2-0-8"}}
+    assert {f for f in os.listdir(path) if f.startswith("level")} == {f"level-{w}" for w in written[fan]}
+    whole = spark.read.parquet(f"{path}/level-0-0-0")
+    plan = LV.merged_rows(whole, whole)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_rows_of_repeated_keys_are_shuffled(spark):
+    rows = [(k, n % 3, f"{k} {n}") for n in range(4) for k in (1, 2, None) if n < 3 or k == 1] + [(k, 0, "alone") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "req_id long, arrival long, core string")
+    want = sorted(map(str, latest_per_key(df, "req_id", "arrival").collect()))
+    assert len(want) == 33
+    for few in (100, 3, 1):
+        assert sorted(map(str, latest_of_repeated(df, "req_id", "arrival", few=few).collect())) == want
+    alone = latest_of_repeated(df.filter("core = 'alone'"), "req_id", "arrival")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 30
+
+
 def test_bounded_state_loses_no_late_delivery(spark):
     work = shared_dir(spark, "bounded")
     schema = "rec_id long, ts timestamp, word string"

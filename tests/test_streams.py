@@ -1,9 +1,12 @@
 """Streaming queries on tables of several files, with rows of their own."""
 
+import os
+
 import pytest
 
 from mailtables.plans import queries as Q
 from mailtables.session import shared_dir
+from mailtables.sources.manifest import Manifest
 
 
 def documents(spark, rows):
@@ -41,6 +44,26 @@ def test_levels_take_a_delivery_of_several_files_as_one_batch(spark, monkeypatch
     assert [n for _, _, n in added] == [sum(i % 6 <= k for i in range(1, 41)) for k in range(6)]
 
 
+def test_levels_keep_only_what_is_still_needed(spark, monkeypatch):
+    """A delivery goes once it is taken, merged runs and shuffle files once their micro-batch has ended."""
+    sf_dir, seen, add_run = shared_dir(spark, "test-tables"), [], Q.LV.add_run
+    documents(spark, [(i, f"text {i}", 100 + i) for i in range(1, 41)]).write.parquet(f"{sf_dir}/documents.parquet")
+
+    def noted(session, path, rows, batch_id, fan):
+        waiting = spark.read.parquet(f"{os.path.dirname(path)}/in").count()
+        runs = [f for f in (os.listdir(path) if os.path.exists(path) else []) if f.startswith("level")]
+        seen.append((path, waiting == rows.count(), len(runs), len(Manifest(spark, path).read())))
+        add_run(session, path, rows, batch_id, fan)
+
+    monkeypatch.setattr(Q.LV, "add_run", noted)
+    rows = {r.req_id: r.core for r in Q.stream_upsert_levels(spark, sf_dir).collect()}
+    assert rows == {i: f"5 text {i}" for i in range(1, 41)}
+    assert all(alone and runs == live for _, alone, runs, live in seen)
+    path = seen[0][0]
+    assert sorted(f for f in os.listdir(path) if f.startswith("level")) == sorted(e["folder"] for e in Manifest(spark, path).read())
+    assert not os.path.exists(f"{os.path.dirname(path)}/in")
+
+
 def test_answers_are_written_by_more_than_three_tasks(spark, monkeypatch):
     sf_dir = shared_dir(spark, "test-tables")
     documents(spark, [(i, f"text {i} of some length", 100 + i) for i in range(1, 201)]).write.parquet(f"{sf_dir}/documents.parquet")
